@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import segments as S
@@ -30,20 +30,18 @@ CONFIGS = {"baseline": Config(False, False), "stage1": Config(), "stage2": Confi
 
 
 def inspected_segments(requests: DataFrame, config: Config = Config(stage2=True)) -> DataFrame:
-    """A row for each segment, with stage1 and stage2; a stage that did not run is null."""
+    """A row for each segment, with stage1 and stage2; a stage that did not run is null.
+
+    Stage II sees no text of a request that Stage I blocks: one window over the request, whose partitioning the grouping by
+    request uses again.
+    """
     segs = S.normalised(S.segments(requests)).withColumn("scannable", S.scannable(F.col("text"), F.col("variants")))
-    if config.stage1:
-        segs = stage1.scanned(segs, F.col("scannable"), F.col("flags"), config.block_severity)
-    else:
-        segs = stage1.scanned(segs.limit(0), F.col("scannable"), F.col("flags")).unionByName(segs, allowMissingColumns=True)
-    if not config.stage2:
-        return stage2.scored(segs.limit(0), F.col("scannable")).unionByName(segs, allowMissingColumns=True)
-    if not config.stage1:
-        return stage2.scored(segs, F.col("scannable"), config.scorer, config.attributor)
-    blocked = segs.groupBy("request_id").agg(F.bool_or("stage1.should_block").alias("_blocked"))
-    segs = segs.join(blocked, "request_id")
-    run = stage2.scored(segs.where("not _blocked"), F.col("scannable"), config.scorer, config.attributor)
-    return run.unionByName(segs.where("_blocked"), allowMissingColumns=True).drop("_blocked")
+    segs = stage1.scanned(segs, F.col("scannable") if config.stage1 else F.lit(None).cast("array<string>"), F.col("flags"), config.block_severity)
+    blocked = F.bool_or("stage1.should_block").over(Window.partitionBy("request_id")) if config.stage1 else F.lit(False)
+    segs = segs.withColumn("_open", ~blocked if config.stage2 else F.lit(False))
+    segs = stage2.scored(segs, F.when(F.col("_open"), F.col("scannable")), config.scorer, config.attributor)
+    segs = segs.withColumn("stage2", F.when(F.col("_open"), F.col("stage2"))).drop("_open")
+    return segs if config.stage1 else segs.withColumn("stage1", F.when(F.lit(False), F.col("stage1")))
 
 
 def first_by(segs: Column, key, when) -> Column:

@@ -47,7 +47,7 @@ def tokens_to_chars(tokens: int) -> int:
 def snapped(text: Column, end: Column) -> Column:
     """Where a window that should end there does end."""
     back = F.substring(text, end - LOOK_BACK + 1, F.lit(LOOK_BACK))
-    tail = F.length(F.regexp_extract(back, rf"([^{WS}]*)$", 1))
+    tail = F.length(F.regexp_extract(back, rf"([^{WS}]*)\z", 1))
     return F.when(end >= F.length(text), F.length(text)).when(tail >= LOOK_BACK, end).otherwise(end - tail)
 
 

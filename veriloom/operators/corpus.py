@@ -180,6 +180,6 @@ def signal_position(samples: DataFrame, least_chars: int = 200, limit: int = 4_0
     from .stage1 import rule_hits
 
     df = samples.where((F.col("label") == 1) & (F.length("text") >= least_chars)).orderBy("ord").limit(limit)
-    df = df.withColumn("hit", F.try_element_at(rule_hits(F.col("text"), F.lit(0)), F.lit(1))["matched"]).where("hit is not null")
+    df = df.withColumn("hit", F.try_element_at(rule_hits("text"), F.lit(1))["matched"]).where("hit is not null")
     share = F.expr("locate(hit, text) - 1") / F.length("text")
     return df.groupBy(F.when(share < 0.33, "head").when(share < 0.66, "middle").otherwise("tail").alias("bucket")).agg(F.count("*").alias("n"))

@@ -143,18 +143,23 @@ def normalised(segs: DataFrame) -> DataFrame:
     """
     is_html = F.col("source_tag").isin(*markup.MARKUP_TAGS) & markup.looks_like_html(F.coalesce(F.col("raw_text"), F.lit("")))
     plain = plain_normalised(segs.where(~is_html))
-    keys = ["request_id", "seg_idx"]
+    keys, own = ["request_id", "seg_idx"], segs.columns
     parsed = segs.where(is_html).withColumn("_c", markup.channels(F.col("raw_text")))
-    parts = parsed.select(*keys, F.col("_c.flags").alias("_html"), F.posexplode_outer(markup.pieces(F.col("_c"))).alias("_k", "_piece"))
+    parts = parsed.select(*own, F.col("_c.flags").alias("_html"), F.posexplode_outer(markup.pieces(F.col("_c"))).alias("_k", "_piece"))
     done = plain_normalised(parts, "_piece")
     item = F.struct("_k", "text", "variants", "flags", "script")
-    merged = done.groupBy(*keys).agg(F.array_sort(F.collect_list(item)).alias("x"), F.first("_html").alias("_html"))
+    rest = [F.first(c).alias(c) for c in own if c not in keys]
+    merged = done.groupBy(*keys).agg(F.array_sort(F.collect_list(item)).alias("x"), F.first("_html").alias("_html"), *rest)
     first = F.element_at("x", 1)
-    rest = F.flatten(F.transform(F.slice("x", 2, 1 << 30), lambda p: F.concat(F.array(p["text"]), p["variants"])))
+    others = F.flatten(F.transform(F.slice("x", 2, 1 << 30), lambda p: F.concat(F.array(p["text"]), p["variants"])))
     merged = merged.select(
-        *keys, first["text"].alias("text"), F.concat(first["variants"], rest).alias("variants"), F.array_distinct(F.concat(F.col("_html"), F.flatten(F.col("x.flags")))).alias("flags"), F.element_at(F.array_append(F.filter(F.col("x.script"), lambda s: s.isNotNull()), F.lit(None)), 1).alias("script")
+        *own,
+        first["text"].alias("text"),
+        F.concat(first["variants"], others).alias("variants"),
+        F.array_distinct(F.concat(F.col("_html"), F.flatten(F.col("x.flags")))).alias("flags"),
+        F.try_element_at(F.filter(F.col("x.script"), lambda s: s.isNotNull()), F.lit(1)).alias("script"),
     )
-    return plain.unionByName(segs.where(is_html).join(merged, keys).select(plain.columns))
+    return plain.unionByName(merged)
 
 
 def scannable(text: Column, variants: Column) -> Column:

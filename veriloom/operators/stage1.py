@@ -6,8 +6,6 @@ are in order of text, window and rule; flags come after all texts.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,46 +15,45 @@ from .rules import DETECTORS, FLAG_RULES, PATTERNS, SEVERITIES, Rule
 SIZE, OVERLAP, MOST_CHARS, MOST_MATCH = 20_000, 512, 100_000, 120
 WINDOWS = Windows(SIZE, OVERLAP, count_for(MOST_CHARS, Windows(SIZE, OVERLAP)))
 DETECTION = "struct<detector_id:string,attack_type:string,severity:string,evidence:string,matched_text:string>"
-_HIT = "array<struct<pos:bigint,rank:int,detector:int,attack_type:string,evidence:string,matched:string>>"
 #: Positions are text, window and rule in one number.
 _TEXT, _WINDOW = 1 << 40, 1 << 12
 
 
-def match(text: Column, lowered: Column, rule: Rule) -> Column:
-    """What the rule matches first, or ''. The pattern runs only where one of its literals occurs."""
-    found = F.regexp_extract(text, rule.pattern, 0)
-    if not rule.needs:
-        return found
-    return F.when(reduce(lambda a, b: a | b, [lowered.contains(x) for x in rule.needs]), found).otherwise("")
+def literal(text: str) -> str:
+    """A raw SQL string; quotes are written as escapes, which patterns may hold."""
+    return "r'" + text.replace("'", r"\x27") + "'"
+
+
+def word(text: str) -> str:
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def rule_hits(text: Column, base: Column, rules: tuple[Rule, ...] = PATTERNS) -> Column:
-    """Hits of every rule in a text, in rule order, as one projection."""
-    lowered = F.lower(text)
+def hits_sql(text: str, base: str, rules: tuple[Rule, ...] = PATTERNS) -> str:
+    """Hits of every rule in a text, in rule order, as one SQL expression. A pattern runs only where one of its literals occurs."""
     each = []
     for k, r in enumerate(rules):
-        m = match(text, lowered, r)
-        each.append(F.when(m != "", F.struct((base + k).cast("bigint").alias("pos"), F.lit(r.rank).alias("rank"), F.lit(DETECTORS.index(r.detector)).alias("detector"), F.lit(r.attack_type).alias("attack_type"), F.lit(r.pattern).alias("evidence"), F.substring(m, 1, MOST_MATCH).alias("matched"))))
-    return F.array_compact(F.array(*each))
+        found = f"regexp_extract(z.t, {literal(r.pattern)}, 0)"
+        guard = "(" + " or ".join(f"contains(z.l, {word(x)})" for x in r.needs) + ") and " if r.needs else ""
+        each.append(f"if({guard}{found} <> '', named_struct('pos', {base} + {k}L, 'rank', {r.rank}, 'detector', {DETECTORS.index(r.detector)}, 'attack_type', {word(r.attack_type)}, 'evidence', {literal(r.pattern)}, 'matched', substring({found}, 1, {MOST_MATCH})), null)")
+    return f"transform(array(named_struct('t', {text}, 'l', lower({text}))), z -> array_compact(array({', '.join(each)})))[0]"
+
+
+def rule_hits(text: str, rules: tuple[Rule, ...] = PATTERNS) -> Column:
+    """The hits in a text column."""
+    return F.expr(hits_sql(text, "0L", rules))
 
 
-def flag_hits(flags: Column) -> Column:
+def flag_hits_sql(flags: str) -> str:
     """Hits of flags with a rule, in the order of the flags."""
-    table = F.create_map(*[x for k, r in enumerate(FLAG_RULES) for x in (F.lit(r.flag), F.struct(F.lit(r.rank).alias("rank"), F.lit(DETECTORS.index(r.detector)).alias("detector"), F.lit(r.attack_type).alias("attack_type")))])
-    hits = F.transform(flags, lambda f, i: F.when(table[f].isNotNull(), F.struct((F.lit(1 << 60) + i).cast("bigint").alias("pos"), table[f]["rank"].alias("rank"), table[f]["detector"].alias("detector"), table[f]["attack_type"].alias("attack_type"), f.alias("evidence"), F.lit("").alias("matched"))))
-    return F.coalesce(F.array_compact(hits), F.array().cast(_HIT))
+    table = "map(" + ", ".join(f"{word(r.flag)}, named_struct('rank', {r.rank}, 'detector', {DETECTORS.index(r.detector)}, 'attack_type', {word(r.attack_type)})" for r in FLAG_RULES) + ")"
+    hit = f"named_struct('pos', {1 << 60}L + i, 'rank', x.rank, 'detector', x.detector, 'attack_type', x.attack_type, 'evidence', f, 'matched', '')"
+    return f"array_compact(transform({flags}, (f, i) -> transform(array({table}[f]), x -> if(x is null, null, {hit}))[0]))"
 
 
-def per_detector(hits: Column) -> Column:
-    """array<DETECTION> of hits."""
-    best = []
-    for d in range(len(DETECTORS)):
-        own = F.filter(hits, lambda h, d=d: h["detector"] == d)
-        top = F.array_max(F.transform(own, lambda h: F.struct(h["rank"].alias("rank"), (-h["pos"]).alias("late"), h["attack_type"].alias("attack_type"), h["evidence"].alias("evidence"), h["matched"].alias("matched"))))
-        first = F.array_min(F.transform(own, lambda h: h["pos"]))
-        best.append(F.when(first.isNotNull(), F.struct(first.alias("first"), F.lit(DETECTORS[d]).alias("detector_id"), top["attack_type"].alias("attack_type"), F.element_at(F.array(*map(F.lit, SEVERITIES)), top["rank"] + 1).alias("severity"), top["evidence"].alias("evidence"), top["matched"].alias("matched_text"))))
-    ordered = F.array_sort(F.array_compact(F.array(*best)))
-    return F.transform(ordered, lambda x: F.struct(*[x[n].alias(n) for n in ("detector_id", "attack_type", "severity", "evidence", "matched_text")]))
+#: Detections of hits `_h` in order of position: detectors by their first hit, each with the first of its most severe ones.
+PER_DETECTOR = f"""transform(array_distinct(transform(_h, h -> h.detector)), d -> transform(
+  array(array_max(transform(filter(_h, h -> h.detector = d), h -> named_struct('rank', h.rank, 'late', -h.pos, 'attack_type', h.attack_type, 'evidence', h.evidence, 'matched', h.matched)))),
+  b -> named_struct('detector_id', element_at(array({", ".join(map(word, DETECTORS))}), d + 1), 'attack_type', b.attack_type, 'severity', element_at(array({", ".join(map(word, SEVERITIES))}), b.rank + 1), 'evidence', b.evidence, 'matched_text', b.matched))[0])"""
 
 
 def rank_of(severity: Column) -> Column:
@@ -82,20 +79,19 @@ def outcome(detections: Column, truncated: Column, threshold: str = "high") -> C
 def scanned(df: DataFrame, texts: Column, flags: Column | None = None, threshold: str = "high") -> DataFrame:
     """df with stage1: detections, chars, windows, truncated, should_block, outcome of an array of texts and of flags."""
     none = F.array().cast("array<string>")
+    df = df.withColumn("_f", none if flags is None else F.coalesce(flags, none))
     df = df.withColumn("_w", F.transform(F.coalesce(texts, none), lambda t: F.struct(F.length(t).alias("n"), windows(t, WINDOWS).alias("w"))))
-    hits = F.flatten(F.transform("_w", lambda t, i: F.flatten(F.transform(t["w"], lambda w: rule_hits(w["text"], i.cast("bigint") * _TEXT + w["index"].cast("bigint") * _WINDOW)))))
-    if flags is not None:
-        hits = F.concat(hits.cast(_HIT), flag_hits(F.coalesce(flags, none)))
-    df = df.withColumn("_h", hits.cast(_HIT)).withColumn("_d", per_detector(F.col("_h")))
-    last = F.transform("_w", lambda t: F.coalesce(F.array_max(t["w"]["end"]), F.lit(0)))
-    total = lambda a: F.aggregate(a, F.lit(0), lambda x, y: x + y)
-    df = df.withColumn("_cut", F.exists("_w", lambda t: F.coalesce(F.array_max(t["w"]["end"]), F.lit(0)) < t["n"]))
+    of_texts = f"flatten(transform(_w, (t, i) -> flatten(transform(t.w, w -> {hits_sql('w.text', f'i * {_TEXT}L + w.index * {_WINDOW}L')}))))"
+    hits = of_texts if flags is None else f"concat({of_texts}, {flag_hits_sql('_f')})"
+    df = df.withColumn("_h", F.expr(hits)).withColumn("_d", F.expr(PER_DETECTOR).cast(f"array<{DETECTION}>"))
+    df = df.withColumn("_e", F.expr("transform(_w, t -> named_struct('end', coalesce(array_max(t.w.end), 0), 'n', t.n, 'k', size(t.w)))"))
+    df = df.withColumn("_cut", F.expr("exists(_e, e -> e.end < e.n)"))
     stage1 = F.struct(
         F.col("_d").alias("detections"),
-        total(last).alias("chars"),
-        total(F.transform("_w", lambda t: F.size(t["w"]))).alias("windows"),
+        F.expr("aggregate(_e, 0, (a, e) -> a + e.end)").alias("chars"),
+        F.expr("aggregate(_e, 0, (a, e) -> a + e.k)").alias("windows"),
         F.col("_cut").alias("truncated"),
         should_block(F.col("_d"), threshold).alias("should_block"),
         outcome(F.col("_d"), F.col("_cut"), threshold).alias("outcome"),
     )
-    return df.withColumn("stage1", stage1).drop("_w", "_h", "_d", "_cut")
+    return df.withColumn("stage1", stage1).drop("_w", "_h", "_d", "_cut", "_e", "_f")

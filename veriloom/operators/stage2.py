@@ -20,14 +20,14 @@ Scorer = Callable[[Column], Column]
 
 def keyword_score(text: Column) -> Column:
     """The weights of the words in a text, in sum 1 at most."""
-    low = F.lower(text)
-    return F.least(F.lit(1.0), reduce(lambda a, b: a + b, [F.when(low.contains(w), F.lit(x)).otherwise(0.0) for w, x in KEYWORDS.items()]))
+    total = lambda low: reduce(lambda a, b: a + b, [F.when(low.contains(w), F.lit(x)).otherwise(0.0) for w, x in KEYWORDS.items()])
+    return F.transform(F.array(F.lower(text)), lambda low: F.least(F.lit(1.0), total(low)))[0]
 
 
 def keyword_tokens(text: Column) -> Column:
     """The heaviest words in a text, TOP_TOKENS at most; of equal weights the one named first."""
-    low = F.lower(text)
-    hits = F.array_compact(F.array(*[F.when(low.contains(w), F.struct(F.lit(-x).alias("w"), F.lit(k).alias("k"), F.lit(w).alias("token"))) for k, (w, x) in enumerate(KEYWORDS.items())]))
+    table = F.array(*[F.struct(F.lit(-x).alias("w"), F.lit(k).alias("k"), F.lit(w).alias("token")) for k, (w, x) in enumerate(KEYWORDS.items())])
+    hits = F.transform(F.array(F.lower(text)), lambda low: F.filter(table, lambda h: F.contains(low, h["token"])))[0]
     return F.transform(F.slice(F.array_sort(hits), 1, TOP_TOKENS), lambda h: F.struct(h["token"].alias("token"), (-h["w"]).alias("weight")))
 
 
