@@ -1,7 +1,7 @@
 import pytest
 
 DATA = "/root/testdata/sf0.001"
-EXTRA = "doc_id long, text string, lang string, source string, n_chars long, label int, path string, digest string, keep boolean"
+EXTRA = "doc_id long, text string, lang string, source string, n_chars long, label int, path string, digest string, keep boolean, TEXT string, shard int"
 
 
 @pytest.fixture(scope="session")
@@ -9,7 +9,7 @@ def hard(spark):
     """Nulls in any column, empty and blank and very long texts, repeated rows and ids, and columns with clashing names."""
     long = "the quick word of many words " * 20_000
     rows = [(1, "plain words of a short text here", "en"), (1, "plain words of a short text here", "en"), (2, None, "en"), (3, "", None), (4, "   \n\t ", "en"), (5, long, "en"), (6, "!!! ??? ...", "fr"), (None, "a row without any id at all", "en"), (7, "é ▁ \x00 😀 日本語", None), (8, "plain words of a short text here", "de")]
-    return spark.createDataFrame([(i, t, g, None, None, 7, "p", "d", None) for i, t, g in rows], EXTRA)
+    return spark.createDataFrame([(i, t, g, None, None, 7, "p", "d", None, "upper", 1) for i, t, g in rows], EXTRA)
 
 
 @pytest.fixture(scope="session")
@@ -30,10 +30,3 @@ def labels(spark):
 @pytest.fixture(scope="session")
 def pages(spark):
     return spark.read.parquet(f"{DATA}/pages.parquet")
-
-
-def with_clashes(df):
-    """df with columns that operators use names like."""
-    from pyspark.sql import functions as F
-
-    return df.withColumns({c: F.lit(None).cast("string") for c in ("shard", "fp", "path", "digest", "host", "score", "keep", "rank") if c not in df.columns})

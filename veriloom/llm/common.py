@@ -140,14 +140,20 @@ def array_of_lists(values: pa.Array, offsets: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), values)
 
 
+def numbered(df: DataFrame) -> DataFrame:
+    """df with columns _0, _1, ...: names that clash, even but for case, can then be told apart."""
+    return df.toDF(*[f"_{k}" for k in range(len(df.columns))])
+
+
 def only(df: DataFrame, **columns: str) -> DataFrame:
-    """The named columns under plain names, whatever else df holds; names match by exact case."""
-    have = df.columns
-    missing = [c for c in columns.values() if c not in have]
-    if missing:
-        raise ValueError(f"no column {missing[0]!r} in {have}")
-    quoted = {k: "`" + c.replace("`", "``") + "`" for k, c in columns.items()}
-    return df.select(*[df[q].alias(k) for k, q in quoted.items()])
+    """The named columns under plain names, whatever else df holds: exact case goes first, then the first in any case."""
+    have, low = df.columns, [c.lower() for c in df.columns]
+    for c in columns.values():
+        if c.lower() not in low:
+            raise ValueError(f"no column {c!r} in {have}")
+    place = {k: have.index(c) if c in have else low.index(c.lower()) for k, c in columns.items()}
+    plain = numbered(df)
+    return plain.select(*[plain[f"_{p}"].alias(k) for k, p in place.items()])
 
 
 def filtered(docs: DataFrame, text_col: str, decide) -> DataFrame:
@@ -158,4 +164,10 @@ def filtered(docs: DataFrame, text_col: str, decide) -> DataFrame:
         for b in steps(batches, place):
             yield b.filter(pa.array(np.asarray(decide(b.column(place).cast(pa.string())), bool)))
 
-    return docs.mapInArrow(run, docs.schema)
+    plain = numbered(docs)
+    return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)
+
+
+def worded(texts: pa.Array) -> np.ndarray:
+    """Whether each text has anything but white space."""
+    return pc.fill_null(pc.not_equal(pc.utf8_trim_whitespace(texts), ""), False).to_numpy(zero_copy_only=False)

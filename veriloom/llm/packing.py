@@ -162,8 +162,8 @@ def packed(docs: DataFrame, id_col: str = "doc_id", length: Column | None = None
     if length is None:
         src = only(docs, doc_id=id_col, text=text_col).select(F.col("doc_id").cast("long").alias("doc_id"), token_count(F.col("text")).alias("n"))
     else:
-        src = docs.select(docs["`" + id_col + "`"].cast("long").alias("doc_id"), F.coalesce(length, F.lit(0)).cast("long").alias("n"))
-    cuts = src.where("n > 0").select("doc_id", F.posexplode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(capacity).cast("long"))).alias("piece", "start"), "n")
+        src = only(docs.withColumn("__n", F.coalesce(length, F.lit(0)).cast("long")), doc_id=id_col, n="__n").withColumn("doc_id", F.col("doc_id").cast("long"))
+    cuts = src.where("n > 0").select("doc_id", F.posexplode(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("n") - 1, F.lit(0)), F.lit(capacity).cast("long"))).alias("piece", "start"), "n")
     cuts = cuts.select("doc_id", "piece", "start", F.least(F.lit(capacity), F.col("n") - F.col("start")).cast("int").alias("n_tokens"))
     cuts = written(cuts.withColumn("part", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(PARTS)).cast("int")), f"{at}/pieces")
     tally = cuts.groupBy("n_tokens", "part").count().toPandas()  # at most capacity x PARTS rows

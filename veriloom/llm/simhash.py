@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cleaned, mix, only, shared_dir, steps, tokens, word_hashes, written
+from .common import cleaned, mix, numbered, only, shared_dir, steps, tokens, word_hashes, written
 
 BITS, BUCKETS = 256, 8192
 #: Near duplicates: at most RADIUS of the 256 bits differ, and feature counts differ by a quarter octave at most.
@@ -247,4 +247,5 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     found = near_duplicates(docs, id_col, text_col, radius).where("not keep").select(F.col("doc_id").alias("__gone"))
     gone = written(found, f"{shared_dir(docs.sparkSession)}/gone")
-    return docs.join(gone, docs["`" + id_col + "`"].cast("long") == gone["__gone"], "left_anti")
+    plain = numbered(docs)
+    return plain.join(gone, plain[f"_{docs.columns.index(id_col)}"].cast("long") == gone["__gone"], "left_anti").toDF(*docs.columns)
