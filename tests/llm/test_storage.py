@@ -46,7 +46,9 @@ def test_slices_add_up():
     b = K.Block(np.arange(100), rng.standard_normal((100, 9)))
     w = rng.integers(-31, 32, 9)
     code = np.rint((b.vectors - b.low) / b.step).astype(int)
-    want = (np.where(w >= 0, code, 2**K.BITS - 1 - code) * np.abs(w)).sum(1)
+    digits = K.signed_digits(w)
+    assert np.array_equal(sum(d << k for k, d in enumerate(digits)), w)
+    want = sum((np.where(d > 0, code, 2**K.BITS - 1 - code) * np.abs(d)).sum(1) << k for k, d in enumerate(digits))
     got = sum(np.isin(np.arange(100), K.rows_of(s, 100)).astype(int) << k for k, s in enumerate(b.score_slices(w)))
     assert np.array_equal(got, want)
     few = [len(b.candidates(q, 3)) for q in b.vectors]

@@ -20,7 +20,7 @@ from .common import filesystem, only, shared_dir
 
 TOP, BITS, WEIGHT_BITS = 10, 7, 5
 #: Rows of an index block, and of a query task.
-BLOCK, QUERIES = 16_384, 512
+BLOCK, QUERIES = 32_768, 512
 FOUND = "vec_id long, rank int, neighbor_id long, score double"
 
 
@@ -36,6 +36,16 @@ def rows_of(bitmap: np.ndarray, n: int) -> np.ndarray:
     return np.flatnonzero(np.unpackbits(bitmap.view(np.uint8), bitorder="little")[:n])
 
 
+def signed_digits(weights: np.ndarray) -> list[np.ndarray]:
+    """Digits -1, 0, 1 by place, least first, no two in a row of one weight."""
+    left, out = weights.astype(np.int64), []
+    while left.any():
+        digit = np.where(left & 1, 2 - (left & 3), 0)
+        left = (left - digit) >> 1
+        out.append(digit)
+    return out
+
+
 class Block:
     """The slices of a block of rows. vectors: rows x dimensions."""
 
@@ -47,17 +57,20 @@ class Block:
         # slices of each attribute and of its complement, which stands for negative weights
         both = np.stack((code, (2**BITS - 1) - code)) if self.n else np.zeros((2, *vectors.shape), np.uint8)
         self.slices = np.stack([packed_bits((both >> b & 1).astype(bool).transpose(0, 2, 1)) for b in range(BITS)], 2)
-        self.lost = self.vectors - (low + code * self.step)  # what quantising the rows hides
+        lost = self.vectors - (low + code * self.step)
+        self.lost = float(np.linalg.norm(lost, axis=1).max(initial=0))  # the most that quantising a row hides
         self.far = np.abs(self.vectors).max(0, initial=0)
 
     def score_slices(self, weights: np.ndarray) -> list[np.ndarray]:
-        """Bitmaps of the bits of sum(|w| * attribute), least first; an attribute of negative weight counts by complement."""
-        level: list[list[np.ndarray]] = [[] for _ in range(BITS + WEIGHT_BITS + len(weights).bit_length() + 1)]
-        size, side = np.abs(weights), (weights < 0).astype(int)
-        for w in range(WEIGHT_BITS):
-            dims = np.flatnonzero(size >> w & 1)
+        """Bitmaps of the bits of the sum of weight * attribute plus a constant, least first.
+
+        Weights are taken in signed digits, the fewest there are; an attribute counts by its complement where a digit is -1.
+        """
+        level: list[list[np.ndarray]] = [[] for _ in range(BITS + WEIGHT_BITS + len(weights).bit_length() + 2)]
+        for w, digit in enumerate(signed_digits(weights)):
+            dims = np.flatnonzero(digit)
             if len(dims):
-                part = self.slices[side[dims], dims]  # dims x bits x words
+                part = self.slices[(digit[dims] < 0).astype(int), dims]  # dims x bits x words
                 for b in range(BITS):
                     level[w + b].append(part[:, b])
         out = []
@@ -87,7 +100,7 @@ class Block:
         slices = self.score_slices(weights)
         # |exact and rounded - quantised| for any row: the weights' own error, and the error of the rows, by Cauchy-Schwarz and by sum
         weight_error = np.abs(query - weights * unit)
-        rows_error = min(float(np.abs(weights).sum()) * unit * self.step / 2, float(np.linalg.norm(weights * unit)) * float(np.linalg.norm(self.lost, axis=1).max()))
+        rows_error = min(float(np.abs(weights).sum()) * unit * self.step / 2, float(np.linalg.norm(weights * unit)) * self.lost)
         slack = int(np.ceil(2 * (float(weight_error @ self.far) + rows_error + 1e-6) / (unit * self.step))) + 1
         everyone = packed_bits(np.ones(self.n, bool))
         threshold, taken, open_rows = 0, 0, everyone
