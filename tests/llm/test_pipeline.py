@@ -6,6 +6,7 @@ import __spark_entry__
 import corpus_pipeline
 from veriloom.llm import langid, packing, quality
 from veriloom.llm import simhash as S
+from veriloom.llm.common import only
 from tests.llm.test_simhash import brute_groups
 
 SF = "/root/testdata/sf0.001"
@@ -53,7 +54,7 @@ def test_clean_documents_stay(spark, docs, labels):
 
 def test_pipeline_hard_rows(spark, hard, empty):
     for docs in (hard, empty):
-        docs = docs.select("doc_id", "text", "lang", "source", "n_chars")
+        docs = only(docs, **{c: c for c in ("doc_id", "text", "lang", "source", "n_chars")})
         for _, stage in corpus_pipeline.STAGES:
             docs = stage(spark, docs, SF)
         docs.collect()
