@@ -20,6 +20,8 @@ from .common import STEP_CHARS, array_of_lists, cleaned, codepoints, filtered, g
 #: Fitted on at most this many documents with a known language, those of least hash: SPANS spans of SPAN words of each.
 MOST_LABELLED, SPANS, SPAN = 4000, 3, 20
 BUCKETS, EPOCHS, RATE = 1 << 16, 4, 0.4
+#: Distinct words whose features are laid out at a time.
+WORDS_AT_ONCE = 30_000
 #: The label of words of no known language.
 OTHER = "und"
 #: A document stays if this share of its words, by expectation, is of one known language.
@@ -190,14 +192,15 @@ def label(texts: pa.Array, m: Model):
     """(offsets by text, marginals by word, whether each word has letters or digits)."""
     offsets, codes, words = tokens(texts)
     clean = cleaned(words)
-    bucket, at = features(clean)
     scores = np.zeros((len(words), len(m.languages)), np.float32)
-    for lo in range(0, len(words), 50_000):
-        hi = min(lo + 50_000, len(words))
-        scores[lo:hi] = summed(m.weights[bucket[at[lo] : at[hi]]], at[lo : hi + 1] - at[lo])
+    for lo in range(0, len(words), WORDS_AT_ONCE):
+        hi = min(lo + WORDS_AT_ONCE, len(words))
+        bucket, at = features(clean.slice(lo, hi - lo))
+        scores[lo:hi] = summed(m.weights[bucket], at)
+    real = pc.not_equal(clean, "").to_numpy(zero_copy_only=False)
     em = factors(scores)[codes] if len(words) else np.ones((0, len(m.languages)), np.float32)
     post = forward_backward(em, offsets[:-1], np.diff(offsets), m.moves)
-    return offsets, post, (np.diff(at) > 0)[codes] if len(words) else np.zeros(0, bool)
+    return offsets, post, real[codes] if len(words) else np.zeros(0, bool)
 
 
 def totals(offsets: np.ndarray, post: np.ndarray, real: np.ndarray):
@@ -260,8 +263,9 @@ def kept(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_c
     def decide(texts: pa.Array) -> np.ndarray:
         m = shared.value
         if m is None:
-            _, codes, words = tokens(texts)
-            return np.array([bool(x and x.strip()) for x in texts.to_pylist()])
+            offsets, codes, words = tokens(texts)
+            real = pc.not_equal(cleaned(words), "").to_numpy(zero_copy_only=False).astype(np.int64)[codes]
+            return summed(real[:, None], offsets)[:, 0] > 0
         offsets, post, real = label(texts, m)
         lang, share, _ = totals(offsets, post, real)
         return kept_of(lang, share, m)

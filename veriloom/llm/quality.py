@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cleaned, only, shared_dir, steps, tokens, word_hashes, written
+from .common import cleaned, filtered, only, steps, tokens, word_hashes, worded
 
 #: The model is fitted on at most this many labelled documents, those of least hash; every document is scored.
 MOST_LABELLED = 6000
@@ -83,6 +83,7 @@ def train(doc: np.ndarray, feature: np.ndarray, n: np.ndarray, quality: np.ndarr
     """Features are those most frequent and those most associated with a label; latent axes are from a truncated SVD."""
     rows = len(quality)
     every, place = np.unique(feature, return_inverse=True)
+    place = place.astype(np.int32)
     df = np.bincount(place, minlength=len(every)).astype(float)
 
     def association(label: np.ndarray) -> np.ndarray:
@@ -162,8 +163,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     ids = got["doc_id"].to_numpy()
     got = got.filter(pa.array(np.concatenate(([True], ids[1:] != ids[:-1]))))
     f, n = got["f"].combine_chunks(), got["n"].combine_chunks()
-    doc = np.repeat(np.arange(got.num_rows), pc.list_value_length(f).to_numpy(zero_copy_only=False))
-    return train(doc, f.flatten().to_numpy().view(np.uint64), n.flatten().to_numpy().astype(float), got["quality"].to_numpy(), got["toxic"].to_numpy())
+    doc = np.repeat(np.arange(got.num_rows, dtype=np.int32), pc.list_value_length(f).to_numpy(zero_copy_only=False))
+    return train(doc, f.flatten().to_numpy().view(np.uint64), n.flatten().to_numpy(), got["quality"].to_numpy(), got["toxic"].to_numpy())
 
 
 def classified(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = MOST_LABELLED) -> DataFrame:
@@ -178,8 +179,7 @@ def classified(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
         m = shared.value
         for b in steps(batches):
             if m is None:
-                words = np.diff(tokens(b.column(1))[0]) > 0
-                quality, toxic = words.astype(float), np.zeros(b.num_rows)
+                quality, toxic = worded(b.column(1)).astype(float), np.zeros(b.num_rows)
             else:
                 quality, toxic = score(b.column(1), m)
             keep = (quality >= REJECT_BELOW) & (toxic < REJECT_BELOW)
@@ -191,14 +191,12 @@ def classified(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
 
 def kept(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = MOST_LABELLED) -> DataFrame:
     """The documents that stay, with all their columns. Decided by text: rows with null or repeated ids are each judged."""
-    from .common import filtered
-
     shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, id_col, text_col, most))
 
     def decide(texts: pa.Array) -> np.ndarray:
         m = shared.value
         if m is None:
-            return np.diff(tokens(texts)[0]) > 0
+            return worded(texts)
         quality, toxic = score(texts, m)
         return (quality >= REJECT_BELOW) & (toxic < REJECT_BELOW)
 
