@@ -77,6 +77,32 @@ def test_planted_copies_are_found_and_others_left(spark):
     assert all(got[k] == k for k in range(60))
 
 
+def test_contained_texts_of_other_sizes_are_found(spark):
+    rng = np.random.default_rng(5)
+    texts = [["w" + str(x) for x in rng.integers(0, 10**6, 400)] for _ in range(20)]
+    rows = [(k, " ".join(words)) for k, words in enumerate(texts)] + [(1000 + k, " ".join(words[:300])) for k, words in enumerate(texts)]
+    got = {r["doc_id"]: r["group_id"] for r in S.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: i % 1000 for i in got} and len(got) == 40
+
+
+def test_strips_group_by_plain_hamming_distance(spark, docs, monkeypatch):
+    monkeypatch.setattr(S, "SHARD_ROWS", 12)
+    monkeypatch.setattr(S, "STRIP", 3)
+    rows = docs.select("doc_id", "text").collect()
+    ids, texts = [r[0] for r in rows], [r[1] for r in rows]
+    fps, n = S.sketch(pa.array(texts, pa.string()), S.planes())
+    bits = np.unpackbits(np.frombuffer(b"".join(fps), np.uint8).reshape(len(fps), -1), axis=1)
+    label = np.arange(len(ids))
+    near = (bits[:, None] != bits[None]).sum(axis=2) <= S.RADIUS
+    near &= (n[:, None] >= S.LEAST_FEATURES) & (n[None] >= S.LEAST_FEATURES) | (bits[:, None] == bits[None]).all(axis=2) & (n[:, None] == n[None]) & (n[:, None] > 0)
+    S.unite(label, *np.nonzero(near))
+    while (label[label] != label).any():
+        label = label[label]
+    least = {k: min(i for i, x in zip(ids, label) if x == k) for k in set(label.tolist())}
+    got = {r["doc_id"]: r["group_id"] for r in S.near_duplicates(docs).collect()}
+    assert got == {i: least[k] for i, k in zip(ids, label.tolist())}
+
+
 def test_long_chains_are_one_group(spark):
     edges = spark.createDataFrame([(k, k + 1) for k in range(40)] + [(100, 50), (7, 7)], "a long, b long")
     got = dict(tuple(r) for r in S.components(edges, shared_dir(spark)).collect())

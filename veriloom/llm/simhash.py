@@ -1,11 +1,11 @@
 """SimHash near-duplicates, found by vantage-point trees.
 
-A document's fingerprint has 256 bits over the set of its words and word pairs. The distance of two documents is
-max(Hamming distance, SIZE_SCALE * |log2 of the ratio of their feature counts|), a metric, so the triangle inequality
-holds for it. A vantage-point tree over that metric cuts the fingerprints into shards; every fingerprint lies in one
-shard and visits those later shards that its ball of radius r overlaps, so that each pair within r meets in exactly one
-shard and is compared there. Pairs are exact in the metric; shards emit only edges to the smallest member, which keep
-the groups.
+A document's fingerprint has 256 bits over the set of its words and word pairs. The distance of two documents is the
+Hamming distance of their fingerprints, a metric, so the triangle inequality holds for it. A vantage-point tree over that
+metric cuts the fingerprints into shards; every fingerprint lies in one shard and visits those later shards that its ball
+of radius r overlaps, so that each pair within r meets in exactly one shard and is compared there. The visitors of a shard
+come in strips, by their own shards, so that no task holds more than a strip. Pairs are exact in the metric; shards emit
+only edges to the smallest member, which keep the groups.
 """
 
 from __future__ import annotations
@@ -20,13 +20,14 @@ from pyspark.sql import functions as F
 from .common import cleaned, mix, numbered, only, shared_dir, steps, tokens, word_hashes, written
 
 BITS, BUCKETS = 256, 8192
-#: Near duplicates: at most RADIUS of the 256 bits differ, and feature counts differ by a quarter octave at most.
+#: Near duplicates: at most RADIUS of the 256 bits differ.
 RADIUS = 56
-SIZE_SCALE = RADIUS / 0.25
 #: Fewer features than this say too little: such documents are duplicates only if their fingerprints are equal.
 LEAST_FEATURES = 12
 #: The tree's shape is taken from so many fingerprints; every fingerprint is routed through it.
 TREE_SAMPLE, SHARD_ROWS, MOST_SHARDS = 8192, 6000, 96
+#: A shard takes its visitors from so many shards at a time.
+STRIP = 8
 
 FINGERPRINT = "doc_id long, fp binary, n_features int"
 
@@ -82,9 +83,8 @@ def words64(fps) -> np.ndarray:
 
 
 def distance(a: np.ndarray, na: np.ndarray, b: np.ndarray, nb: np.ndarray) -> np.ndarray:
-    """The metric between rows of a and one row b (or rows of the same number)."""
-    hamming = np.bitwise_count(a ^ b).sum(axis=1)
-    return np.maximum(hamming, SIZE_SCALE * np.abs(np.log2(np.maximum(na, 1)) - np.log2(np.maximum(nb, 1))))
+    """The metric between rows of a and one row b (or rows of the same number). The feature counts have no part in it."""
+    return np.bitwise_count(a ^ b).sum(axis=1, dtype=np.int64)
 
 
 def grow(fp: np.ndarray, n: np.ndarray, shards: int) -> list:
@@ -135,6 +135,17 @@ def route(tree, fp: np.ndarray, n: np.ndarray, r: float) -> tuple[np.ndarray, np
     return row[kept], shard[kept], is_home[kept]
 
 
+def strips(row: np.ndarray, shard: np.ndarray, home: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(row, shard, strip, is home): visitors go to the strip of their own shard, rows at home to every strip of theirs."""
+    own = np.zeros(row.max() + 1 if len(row) else 0, np.int32)
+    own[row[home]] = shard[home]
+    copies = np.where(home, shard // width + 1, 1)
+    at = np.repeat(np.arange(len(row)), copies)
+    nth = np.arange(len(at)) - np.repeat(np.cumsum(copies) - copies, copies)
+    strip = np.where(home[at], nth, own[row[at]] // width).astype(np.int32)
+    return row[at], shard[at], strip, home[at]
+
+
 def unite(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
     """Join the groups of i and j in place; a group's label is its smallest index."""
     while len(i):
@@ -151,29 +162,27 @@ def unite(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
 
 
 def pairs_within(fp: np.ndarray, n: np.ndarray, home: np.ndarray, r: int, block: int = 256):
-    """Blocks (i, j) of all pairs within r of which j, or both, are at home. Rows must be in order of n."""
-    size = np.log2(np.maximum(n, 1))
-    cols = [np.ascontiguousarray(fp[:, k]) for k in range(fp.shape[1])]
+    """Blocks (i, j) of all pairs within r of which j, or both, are at home."""
     at_home = np.flatnonzero(home)
+    order = np.concatenate((at_home, np.flatnonzero(~home)))
+    *cols, last = (np.ascontiguousarray(fp[order, k]) for k in range(fp.shape[1]))
     for lo in range(0, len(at_home), block):
-        rows = at_home[lo : lo + block]
-        a, b = np.searchsorted(size, size[rows[0]] - r / SIZE_SCALE - 1e-9), np.searchsorted(size, size[rows[-1]] + r / SIZE_SCALE + 1e-9, "right")
-        for c in range(a, b, 4096):
-            e = min(c + 4096, b)
-            d = np.bitwise_count(cols[0][rows, None] ^ cols[0][None, c:e])
-            d += np.bitwise_count(cols[1][rows, None] ^ cols[1][None, c:e])
-            i, j = np.nonzero(d <= r)
-            i, j = rows[i], j + c
-            once = (i != j) & (~home[j] | (i < j))
-            i, j = i[once], j[once]
-            close = distance(fp[i], n[i], fp[j], n[j]) <= r
+        hi = min(lo + block, len(at_home))
+        for c in range(lo, len(order), 4096):
+            e = min(c + 4096, len(order))
+            d = np.zeros((hi - lo, e - c), np.uint8)
+            for x in cols:
+                d += np.bitwise_count(x[lo:hi, None] ^ x[None, c:e])
+            near = np.flatnonzero(d <= r)
+            i, j = lo + near // (e - c), c + near % (e - c)
+            close = (i < j) & (d.ravel()[near].astype(np.int64) + np.bitwise_count(last[i] ^ last[j]) <= r)
             if close.any():
-                yield i[close], j[close]
+                yield order[i[close]], order[j[close]]
 
 
 def shard_edges(pdf: pd.DataFrame, r: int) -> pd.DataFrame:
-    """Edges from each member of a group within one shard to the group's smallest id."""
-    pdf = pdf.sort_values(["n_features", "rep"], kind="stable")
+    """Edges from each member of a group within one strip of a shard to the group's smallest id."""
+    pdf = pdf.sort_values("rep", kind="stable")
     fp, n, ids = words64(pdf["fp"].tolist()), pdf["n_features"].to_numpy(), pdf["rep"].to_numpy()
     label = np.arange(len(ids))
     for i, j in pairs_within(fp, n, pdf["home"].to_numpy(), r):
@@ -228,11 +237,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     def send(batches):
         for pdf in batches:
-            row, shard, home = route(tree, words64(pdf["fp"].tolist()), pdf["n_features"].to_numpy(), radius)
-            yield pd.DataFrame({"shard": shard, "home": home, "rep": pdf["rep"].to_numpy()[row], "fp": pdf["fp"].to_numpy()[row], "n_features": pdf["n_features"].to_numpy()[row]})
+            row, shard, strip, home = strips(*route(tree, words64(pdf["fp"].tolist()), pdf["n_features"].to_numpy(), radius), STRIP)
+            yield pd.DataFrame({"shard": shard, "strip": strip, "home": home, "rep": pdf["rep"].to_numpy()[row], "fp": pdf["fp"].to_numpy()[row], "n_features": pdf["n_features"].to_numpy()[row]})
 
-    routed = rich.select("rep", "fp", "n_features").mapInPandas(send, "shard int, home boolean, rep long, fp binary, n_features int")
-    edges = routed.groupBy("shard").applyInPandas(lambda pdf: shard_edges(pdf, radius), "a long, b long")
+    routed = rich.select("rep", "fp", "n_features").mapInPandas(send, "shard int, strip int, home boolean, rep long, fp binary, n_features int")
+    routed = routed.repartition(sum(k // STRIP + 1 for k in range(shards)), "shard", "strip")
+    edges = routed.groupBy("shard", "strip").applyInPandas(lambda pdf: shard_edges(pdf, radius), "a long, b long")
     label = components(edges, at)
     groups = worded.join(exact, ["fp", "n_features"]).join(label.withColumnRenamed("id", "rep"), "rep", "left")
     groups = groups.select("doc_id", F.coalesce("label", "rep").alias("group_id"), "n_features")
