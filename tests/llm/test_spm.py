@@ -92,3 +92,20 @@ def test_words_of_equal_length_advance_together():
     ids, at = P.encode_words(pa.array(words), v)
     assert [ids[a:b].tolist() for a, b in zip(at, at[1:])] == alone
     assert np.array_equal(at, np.sort(at))
+
+
+def test_query_gives_the_models_own_ids(spark, docs, pieces):
+    odd = ["hello world", "  two  blanks ", " ", " " * 300 + "x", "\n\ttabs\n", "naïve café 日本 😀", "a" * 70, "banana" * 200 + " the", "Ünïcödé\r\n", "￿𐀀"]
+    texts = odd + [r["text"] for r in docs.select("text").collect() if r["text"] and P.MARK not in r["text"]]
+    rows = P.tokenized(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert len(rows) == len(texts) and all(r["decodes"] for r in rows)
+    for r in rows:
+        assert r["ids"] == pieces[1].encode(texts[r["doc_id"]])
+
+
+def test_long_words_merge_as_short_ones(monkeypatch):
+    words = pa.array([" banana", "ananas", " transformations", "    ", "日本語x"])
+    want = P.encode_words(words, P.vocabulary(), m=P.merges())
+    monkeypatch.setattr(P, "LONG", 0)
+    got = P.encode_words(words, P.vocabulary(), m=P.merges())
+    assert all(np.array_equal(a, b) for a, b in zip(got, want))

@@ -1,13 +1,16 @@
-"""SentencePiece encoding and decoding by batched Viterbi in numpy.
+"""SentencePiece encoding and decoding in numpy: batched merges for BPE models, batched Viterbi for unigram models.
 
 A text is cut into words where a space follows something else (no piece crosses such a place), so the best segmentation of
-the text is that of its words. The distinct words of a batch are laid out by length and advance together: hashes of all
-substrings probe the sorted hashes of the pieces, and vectorised maxima store the backpointers. Scores are the model's own;
-characters without a piece become byte pieces.
+the text is that of its words. The distinct words of a batch are laid out by length and advance together. For Viterbi,
+hashes of all substrings probe the sorted hashes of the pieces, and vectorised maxima store the backpointers. For a BPE
+model every word joins its best-scored pair of neighbours, the leftmost of equal ones, until none is a piece, as the model
+does. Scores are the model's own; characters without a piece become byte pieces, and so does a text's own MARK, which the
+model itself would take for a space.
 """
 
 from __future__ import annotations
 
+import heapq
 from dataclasses import dataclass
 from functools import lru_cache
 from itertools import chain
@@ -27,6 +30,8 @@ PENALTY = 10.0
 ENCODED = "doc_id long, ids array<int>, n_tokens int, n_bytes long, decodes boolean"
 SPACE, MARK = " ", "▁"
 BASE = np.uint64(0x9E3779B97F4A7C15)
+#: Words longer than this are merged one by one with a heap.
+LONG = 256
 
 
 @dataclass
@@ -86,6 +91,115 @@ def vocabulary(model_file: str = MODEL_FILE) -> Vocabulary:
     return Vocabulary(keys[order], np.array(usable, np.int32)[order], scores[order], points[order], longest, byte_ids, np.frombuffer(b"".join(shown), np.uint8), np.concatenate(([0], np.cumsum([len(x) for x in shown]))), float(scores.min()), maybe)
 
 
+@dataclass
+class Merges:
+    chars: np.ndarray  # sorted code points that are symbols
+    char_symbols: np.ndarray  # of each
+    keys: np.ndarray  # sorted: left symbol * number of symbols + right symbol
+    joined: np.ndarray  # the symbol that each pair makes
+    rank: np.ndarray  # of each symbol by score, the greater the sooner
+    ids: np.ndarray  # piece of each symbol, -1 for characters that are none
+    table: dict  # keys to joined
+
+
+@lru_cache(maxsize=4)
+def merges(model_file: str = MODEL_FILE) -> Merges | None:
+    """The pairs that a BPE model joins; None for a model of another kind."""
+    import sentencepiece
+    from sentencepiece import sentencepiece_model_pb2
+
+    m = sentencepiece.SentencePieceProcessor(model_file=model_file)
+    spec = sentencepiece_model_pb2.ModelProto.FromString(m.serialized_model_proto()).trainer_spec
+    if spec.model_type != spec.BPE:
+        return None
+    usable = [k for k in range(m.get_piece_size()) if not (m.is_control(k) or m.is_unknown(k) or m.is_byte(k))]
+    if any(m.is_unused(k) for k in usable):
+        raise ValueError("a BPE model with unused pieces")
+    symbols = {m.id_to_piece(k).replace(MARK, SPACE): i for i, k in enumerate(usable)}
+    scores = [m.get_score(k) for k in usable]
+    for piece in list(symbols):
+        for c in piece:
+            symbols.setdefault(c, len(symbols))
+    table = {}
+    for piece, i in symbols.items():
+        for k in range(1, len(piece)):
+            a, b = symbols.get(piece[:k]), symbols.get(piece[k:])
+            if a is not None and b is not None:
+                table[a * len(symbols) + b] = i
+    keys, joined = np.array(list(table), np.int64), np.array(list(table.values()), np.int32)
+    order = np.argsort(keys)
+    chars = sorted((ord(x), i) for x, i in symbols.items() if len(x) == 1)
+    rank = np.zeros(len(symbols), np.int32)
+    rank[: len(usable)] = np.unique(scores, return_inverse=True)[1]
+    ids = np.full(len(symbols), -1, np.int32)
+    ids[: len(usable)] = usable
+    return Merges(np.array([c for c, _ in chars], np.uint32), np.array([i for _, i in chars], np.int32), keys[order], joined[order], rank, ids, table)
+
+
+def merge(points: np.ndarray, v: Vocabulary, m: Merges) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, offsets by word) of the BPE segmentation of words of one length: rows of code points."""
+    rows, length = points.shape
+    at = np.minimum(np.searchsorted(m.chars, points), len(m.chars) - 1)
+    symbol = np.where(m.chars[at] == points, m.char_symbols[at], -1).astype(np.int32)  # -1: no piece has it; -2: joined to the left
+
+    def probe(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        key = np.where((a >= 0) & (b >= 0), a.astype(np.int64) * len(m.ids) + b, -1)
+        at = np.minimum(np.searchsorted(m.keys, key), len(m.keys) - 1)
+        return np.where(m.keys[at] == key, m.joined[at], -1)
+
+    if length > LONG:
+        for k in range(rows):
+            symbol[k] = merge_long(symbol[k], m)
+    else:
+        left, right = np.tile(np.arange(length, dtype=np.int32) - 1, (rows, 1)), np.tile(np.arange(length, dtype=np.int32) + 1, (rows, 1))
+        to = np.full((rows, length), -1, np.int32)
+        to[:, :-1] = probe(symbol[:, :-1], symbol[:, 1:])
+        rank = np.where(to >= 0, m.rank[to], -1)
+        live = np.arange(rows)
+        while len(live):
+            k = rank[live].argmax(axis=1)
+            some = rank[live, k] >= 0
+            live, k = live[some], k[some]
+            gone = right[live, k]
+            after = right[live, gone]
+            symbol[live, k], symbol[live, gone], rank[live, gone], right[live, k] = to[live, k], -2, -1, after
+            ends = after >= length
+            to[live, k] = np.where(ends, -1, probe(symbol[live, k], symbol[live, np.minimum(after, length - 1)]))
+            rank[live, k] = np.where(to[live, k] >= 0, m.rank[to[live, k]], -1)
+            left[live[~ends], after[~ends]] = k[~ends]
+            before = left[live, k]
+            r, b, k = live[before >= 0], before[before >= 0], k[before >= 0]
+            to[r, b] = probe(symbol[r, b], symbol[r, k])
+            rank[r, b] = np.where(to[r, b] >= 0, m.rank[to[r, b]], -1)
+    row, start = np.nonzero(symbol != -2)
+    found = symbol[row, start]
+    return with_bytes(points, row, start, np.where(found >= 0, m.ids[found], -1).astype(np.int32), v)
+
+
+def merge_long(symbol: np.ndarray, m: Merges) -> list[int]:
+    """The symbols of one word after all joins, -2 where one was joined to the left."""
+    s, length, n = symbol.tolist(), len(symbol), len(m.ids)
+    left, right, heap = list(range(-1, length - 1)), list(range(1, length + 1)), []
+
+    def offer(a: int, b: int):
+        if s[a] >= 0 and s[b] >= 0 and (t := m.table.get(s[a] * n + s[b])) is not None:
+            heapq.heappush(heap, (-int(m.rank[t]), a, s[a], b, s[b], t))
+
+    for k in range(length - 1):
+        offer(k, k + 1)
+    while heap:
+        _, a, x, b, y, t = heapq.heappop(heap)
+        if s[a] != x or s[b] != y or right[a] != b:
+            continue
+        s[a], s[b], right[a] = t, -2, right[b]
+        if right[a] < length:
+            left[right[a]] = a
+            offer(a, right[a])
+        if left[a] >= 0:
+            offer(left[a], a)
+    return s
+
+
 def viterbi(points: np.ndarray, v: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
     """(ids, offsets by word) of the best segmentation of words of one length: rows of code points.
 
@@ -126,7 +240,12 @@ def viterbi(points: np.ndarray, v: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
         live = live[here[live] > 0]
     row, start, ids = (np.concatenate([t[k] for t in taken]) for k in range(3))
     order = np.lexsort((start, row))
-    row, start, ids = row[order], start[order], ids[order]
+    return with_bytes(points, row[order], start[order], ids[order], v)
+
+
+def with_bytes(points: np.ndarray, row: np.ndarray, start: np.ndarray, ids: np.ndarray, v: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, offsets by row) of pieces in order; -1 stands for the character at (row, start) in bytes."""
+    rows = len(points)
     lone = np.flatnonzero(ids < 0)
     if len(lone):  # byte pieces, one to four for each character
         c = points[row[lone], start[lone]]
@@ -140,8 +259,8 @@ def viterbi(points: np.ndarray, v: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
     return ids, np.concatenate(([0], np.cumsum(np.bincount(row, minlength=rows))))
 
 
-def encode_words(words: pa.Array, v: Vocabulary, cells: int = 1_000_000) -> tuple[np.ndarray, np.ndarray]:
-    """(ids, offsets by word) of distinct words, those of equal length together."""
+def encode_words(words: pa.Array, v: Vocabulary, cells: int = 1_000_000, m: Merges | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, offsets by word) of distinct words, those of equal length together; by merges if there are any."""
     points, at = codepoints(words)
     n = np.diff(at)
     order = np.argsort(n, kind="stable")
@@ -151,7 +270,8 @@ def encode_words(words: pa.Array, v: Vocabulary, cells: int = 1_000_000) -> tupl
         length = int(n[order[lo]])
         hi = min(int(np.searchsorted(n[order], length, "right")), lo + max(1, cells // length))
         rows = order[lo:hi]
-        got, cut = viterbi(points[at[rows, None] + np.arange(length)], v)
+        laid = points[at[rows, None] + np.arange(length)]
+        got, cut = viterbi(laid, v) if m is None else merge(laid, v, m)
         ids.append(got), sizes.append(np.diff(cut))
         lo = hi
     size = np.zeros(len(words), np.int64)
@@ -162,15 +282,15 @@ def encode_words(words: pa.Array, v: Vocabulary, cells: int = 1_000_000) -> tupl
     return flat[gather(begin, size)].astype(np.int32), np.concatenate(([0], np.cumsum(size)))
 
 
-def encode(texts: pa.Array, v: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
-    """(ids, offsets by text). A space is put before each text, as the model asks; null and empty texts have no ids."""
+def encode(texts: pa.Array, v: Vocabulary, m: Merges | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, offsets by text), by merges if there are any, else of the best total score. A space is put before each text, as the model asks; null and empty texts have no ids."""
     texts = pc.fill_null(texts, "")
     spaced = pc.if_else(pc.not_equal(texts, ""), pc.binary_join_element_wise(SPACE, texts, ""), "")
     cut = next(c for c in map(chr, chain([0], range(0xF0000, 0x110000))) if not pc.any(pc.match_substring(texts, c)).as_py())
     lists = pc.split_pattern(pc.replace_substring_regex(spaced, "([^ ]) ", f"\\1{cut} "), cut)
     at = lists.offsets.to_numpy().astype(np.int64)
     words = lists.values.slice(at[0], at[-1] - at[0]).dictionary_encode()
-    ids, cuts = encode_words(words.dictionary, v)
+    ids, cuts = encode_words(words.dictionary, v, m=m)
     code = words.indices.to_numpy(zero_copy_only=False)
     n = (cuts[1:] - cuts[:-1])[code] if len(code) else np.zeros(0, np.int64)
     total = np.concatenate(([0], np.cumsum(n)))
@@ -199,10 +319,10 @@ def tokenized(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
     """
 
     def run(batches):
-        v = vocabulary(model_file)
+        v, m = vocabulary(model_file), merges(model_file)
         for b in steps(batches, size=3 * STEP_CHARS):
             text = b.column(1)
-            ids, offsets = encode(text, v)
+            ids, offsets = encode(text, v, m)
             data, at = decode(ids, offsets, v)
             was, starts = raw(pc.fill_null(text, ""))
             if np.array_equal(data, was) and np.array_equal(at, starts):
