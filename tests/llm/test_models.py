@@ -22,6 +22,19 @@ def test_quality_held_out(spark):
     assert clean.keep.mean() > 0.97
 
 
+def test_toxic_documents_are_found_in_every_language(spark):
+    docs, labels = spark.read.parquet("/root/testdata/sf0.1/documents.parquet"), spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
+    held = labels.where("doc_id % 3 = 0")
+    asked = docs.join(F.broadcast(held.select("doc_id")), "doc_id")
+    m = Q.fit(docs, labels.where("doc_id % 3 <> 0"))
+    rows = asked.join(F.broadcast(held), "doc_id").select("text", "lang", "toxic").toPandas()
+    said = Q.score(pa.array(rows.text, pa.string()), m)[1] >= Q.REJECT_BELOW
+    recall = {g: said[(rows.toxic == 1) & (rows.lang == g)].mean() for g in ("en", "de", "fr", "es")}
+    print(recall, said[rows.toxic == 1].sum(), (rows.toxic == 1).sum(), said[rows.toxic == 0].sum(), (rows.toxic == 0).sum())
+    assert said[rows.toxic == 1].mean() > 0.8 and min(recall.values()) > 0.5
+    assert said[rows.toxic == 0].mean() < 0.01
+
+
 def test_votes_are_of_the_exact_neighbours():
     rng = np.random.default_rng(0)
     unit = lambda x: (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)

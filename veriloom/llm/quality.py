@@ -1,4 +1,8 @@
-"""Quality by nearest neighbours: labelled documents in a latent-semantic space vote, weighted by similarity."""
+"""Quality by nearest neighbours: labelled documents in a latent-semantic space vote, weighted by similarity.
+
+Toxicity has a space of its own, of the features that speak for it, weighted by their log odds over the class prior, so
+that a word of a language with few toxic documents counts as much as one of many.
+"""
 
 from __future__ import annotations
 
@@ -17,6 +21,9 @@ MOST_LABELLED = 6000
 #: The feature of a word that repeats the word before it.
 REPEAT = np.uint64(0x5EED0FACADE)
 FEATURES, DIMS, NEIGHBOURS = 3000, 96, 15
+#: Of toxicity's own space: its features, and the weight of the axis that all documents share, against a weight of 1 of the
+#: most telling feature. It keeps documents with little that is toxic beside those with nothing.
+TOXIC_FEATURES, SHARED = 300, 0.3
 #: Documents are compared with the labelled ones in blocks of this many.
 BLOCK = 2048
 REJECT_BELOW = 0.5
@@ -64,6 +71,8 @@ class Model:
     vectors: np.ndarray  # unit vectors of the labelled documents
     quality: np.ndarray
     toxic: np.ndarray
+    shared: float = 0.0  # weight of the axis that all documents have, the last row of axes; 0: there is none
+    own: Model | None = None  # toxicity's own space; None: no feature speaks for it
 
 
 def embed(doc: np.ndarray, feature: np.ndarray, n: np.ndarray, rows: int, m: Model) -> np.ndarray:
@@ -72,8 +81,10 @@ def embed(doc: np.ndarray, feature: np.ndarray, n: np.ndarray, rows: int, m: Mod
     for lo in range(0, rows, BLOCK):
         a, b = np.searchsorted(doc, (lo, lo + BLOCK))
         size = min(BLOCK, rows - lo)
-        x = np.zeros((size, len(m.known)), np.float32)
+        x = np.zeros((size, len(m.axes)), np.float32)
         x[doc[a:b] - lo, feature[a:b]] = (1 + np.log(n[a:b])) * m.weight[feature[a:b]]
+        if m.shared:
+            x[:, -1] = m.shared
         x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
         out[lo : lo + size] = x @ m.axes
     return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-12)
@@ -111,6 +122,31 @@ def train(doc: np.ndarray, feature: np.ndarray, n: np.ndarray, quality: np.ndarr
     _, _, vt = np.linalg.svd(x @ q, full_matrices=False)
     m = Model(known, weight, (q @ vt.T)[:, :dims].astype(np.float32), np.zeros((0, dims), np.float32), quality, toxic)
     m.vectors = embed(d, f, c, rows, m)
+    m.own = train_toxic(doc, place, every, df, association(toxic), quality, toxic)
+    return m
+
+
+def train_toxic(doc: np.ndarray, place: np.ndarray, every: np.ndarray, df: np.ndarray, phi: np.ndarray, quality: np.ndarray, toxic: np.ndarray) -> Model | None:
+    """Toxicity's own space: a document has a feature or not, however often."""
+    rows, p = len(toxic), toxic.sum()
+    both = np.bincount(place, toxic[doc].astype(float), len(every))
+    odds = np.log((both + 0.5) / (df - both + 0.5) * (rows - p + 0.5) / (p + 0.5))
+    able = np.flatnonzero((df >= 3) & (phi > 0) & (odds > 0))
+    if not len(able):
+        return None
+    chosen = np.sort(able[np.argsort(-phi[able], kind="stable")[:TOXIC_FEATURES]])
+    inside = np.full(len(every), -1)
+    inside[chosen] = np.arange(len(chosen))
+    kept = inside[place] >= 0
+    d, f = doc[kept], inside[place[kept]]
+    weight = (odds[chosen] / odds[chosen].max()).astype(np.float32)
+    x = np.zeros((rows, len(chosen) + 1), np.float32)
+    x[d, f] = weight[f]
+    x[:, -1] = SHARED
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    axes = np.linalg.eigh(x.T @ x)[1][:, ::-1][:, :DIMS]
+    m = Model(every[chosen], weight, np.ascontiguousarray(axes, np.float32), np.zeros((0, axes.shape[1]), np.float32), quality, toxic, SHARED)
+    m.vectors = embed(d, f, np.ones(len(d)), rows, m)
     return m
 
 
@@ -129,11 +165,25 @@ def vote(vectors: np.ndarray, m: Model, k: int = NEIGHBOURS) -> tuple[np.ndarray
 
 def score(texts: pa.Array, m: Model) -> tuple[np.ndarray, np.ndarray]:
     """(quality, toxicity) of each text, 0 to 1. A text without any word has quality 0 and toxicity 0."""
-    doc, feature, n = counts(texts, m.known)
-    vectors = embed(doc, feature, n, len(texts), m)
-    quality, toxic = vote(vectors, m)
-    none = ~vectors.any(axis=1)
-    quality[none], toxic[none] = 0.0, 0.0
+    known = m.known if m.own is None else np.union1d(m.known, m.own.known)
+    doc, feature, n = counts(texts, known)
+
+    def within(part: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        at = np.full(len(known), -1)
+        at[np.searchsorted(known, part)] = np.arange(len(part))
+        hit = at[feature] >= 0
+        return doc[hit], at[feature[hit]], n[hit]
+
+    vectors = embed(*within(m.known), len(texts), m)
+    quality = vote(vectors, m)[0]
+    quality[~vectors.any(axis=1)] = 0.0
+    toxic = np.zeros(len(texts))
+    if m.own is not None:
+        at, f, _ = within(m.own.known)
+        some, row = np.unique(at, return_inverse=True)
+        got = vote(embed(row, f, np.ones(len(f)), len(some) + 1, m.own), m.own)[1]  # the last has no toxic feature
+        toxic[np.unique(doc)] = got[-1]
+        toxic[some] = got[:-1]
     return quality, toxic
 
 
