@@ -101,6 +101,12 @@ def test_language_held_out_and_switches(spark):
     assert not L.kept_of(strange, share, m).any()
 
 
+def test_rare_languages_are_in_the_model(spark):
+    rows = [(k, "the words of the text are here", "en") for k in range(2000)] + [(5000, "les mots du texte sont ici", "fr"), (5001, "die worte sind hier", "de")]
+    m = L.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), most=6)
+    assert {"en", "fr", "de"} <= set(m.languages)
+
+
 def test_language_hard_rows(hard, empty):
     rows = L.identified(hard).collect()
     assert len(rows) == hard.count()

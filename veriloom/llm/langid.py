@@ -12,12 +12,12 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import STEP_CHARS, array_of_lists, cleaned, codepoints, filtered, gather, mix, only, steps, tokens
 
-#: Fitted on at most this many documents with a known language, those of least hash: SPANS spans of SPAN words of each.
+#: Fitted on at most this many documents with a known language, those of least hash of each language in turn: SPANS spans of SPAN words of each.
 MOST_LABELLED, SPANS, SPAN = 4000, 3, 20
 BUCKETS, EPOCHS, RATE = 1 << 16, 4, 0.4
 #: Distinct words whose features are laid out at a time.
@@ -163,7 +163,9 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     """A model of the languages named in lang_col, from at most `most` documents; None if no document names one."""
     src = only(docs, doc_id=id_col, text=text_col, lang=lang_col).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.lower(F.trim("lang")).alias("lang"))
     src = src.where("text is not null and lang is not null and lang not in ('', 'und')")
-    chosen = src.select(F.xxhash64("doc_id").alias("h"), "doc_id").orderBy("h", "doc_id").limit(most).select("doc_id").distinct()
+    nth = F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))
+    ranked = src.select("lang", F.xxhash64("doc_id").alias("h"), "doc_id").withColumn("nth", nth).where(F.col("nth") <= most)
+    chosen = ranked.orderBy("nth", "h", "doc_id").limit(most).select("doc_id").distinct()
 
     def run(batches):
         for b in steps(batches):
