@@ -21,9 +21,7 @@ def brute_groups(ids, texts):
     for a in range(len(ids)):
         for b in range(a + 1, len(ids)):
             if n[a] and n[b]:
-                same = fps[a] == fps[b] and n[a] == n[b]
-                near = n[a] >= S.LEAST_FEATURES and n[b] >= S.LEAST_FEATURES and S.distance(fp[a : a + 1], n[a : a + 1], fp[b], n[b])[0] <= S.RADIUS
-                if same or near:
+                if S.distance(fp[a], fp[b]) <= S.RADIUS:
                     x, y = find(ids[a]), find(ids[b])
                     label[max(x, y)] = min(x, y)
     return {i: find(i) for i in ids}
@@ -37,25 +35,60 @@ def test_groups_match_brute_force(spark, docs):
     assert len(set(want.values())) < len(want)
 
 
-@pytest.mark.parametrize("shards", [1, 3, 7])
-def test_shards_meet_every_pair_once(shards):
+@pytest.mark.parametrize("leaf_rows", [4, 16, 1000])
+def test_triangle_bounds_lose_no_pair(leaf_rows):
     rng = np.random.default_rng(3)
     base = rng.integers(0, 1 << 63, (60, 4), dtype=np.uint64)
-    fp, n = np.repeat(base, 5, axis=0), np.repeat(rng.integers(12, 3000, 60), 5)
+    fp = np.repeat(base, 5, axis=0)
     fp[:, 1] ^= rng.integers(0, 1 << 20, len(fp), dtype=np.uint64)
-    n = n + rng.integers(0, 3, len(n))
-    tree = S.grow(fp, n, shards)
-    row, shard, home = S.route(tree, fp, n, S.RADIUS)
-    assert sorted(row[home]) == list(range(len(fp)))
-    seen = []
-    for s in set(shard.tolist()):
-        own = row[shard == s]
-        own = own[np.argsort(n[own], kind="stable")]
-        is_home = np.isin(own, row[home & (shard == s)])
-        for i, j in S.pairs_within(fp[own], n[own], is_home, S.RADIUS, block=16):
-            seen += [tuple(sorted(p)) for p in zip(own[i].tolist(), own[j].tolist())]
-    want = [(a, b) for a in range(len(fp)) for b in range(a + 1, len(fp)) if S.distance(fp[a : a + 1], n[a : a + 1], fp[b], n[b])[0] <= S.RADIUS]
-    assert sorted(seen) == want
+    tree = S.grow(fp, leaf_rows)
+    leaf = S.leaves(tree, fp)
+    assert (leaf.max() == 0) == (leaf_rows == 1000)
+    for r in (2, 20, S.RADIUS):
+        near = np.bitwise_count(fp[:, None] ^ fp[None]).sum(2) <= r
+        for k in range(leaf.max() + 1):
+            assert S.reaching(tree, k, k, fp, r)[near[leaf == k].any(axis=0)].all()
+    cut = S.reaching(tree, 0, 0, fp, 2)
+    assert cut[leaf == 0].all() and (leaf_rows == 1000 or not cut.all())
+    for width in (7, 64):
+        got = [p for i, j in S.pairs_within(fp, fp, 20, True, 16, width) for p in zip(i.tolist(), j.tolist())]
+        want = np.bitwise_count(fp[:, None] ^ fp[None]).sum(2) <= 20
+        assert sorted(got) == list(zip(*(x.tolist() for x in np.nonzero(np.triu(want, 1)))))
+        got = [p for i, j in S.pairs_within(fp[:40], fp[40:], 20, False, 16, width) for p in zip(i.tolist(), j.tolist())]
+        assert sorted(got) == list(zip(*(x.tolist() for x in np.nonzero(want[:40, 40:]))))
+
+
+def test_many_shards_through_the_query(spark):
+    """13,000 different texts, more than a shard holds, a third of the rows copies of one, near copies planted far apart."""
+    words = [f"w{k}" for k in range(5000)]
+    rng = np.random.default_rng(8)
+    texts = [[words[k] for k in row] for row in rng.integers(0, 5000, (13_000, 14))]
+    rows = [(k, " ".join(t)) for k, t in enumerate(texts)]
+    near = {}
+    for k in range(0, 13_000, 65):
+        near[20_000 + k] = k
+        rows.append((20_000 + k, " ".join([*texts[k][:13], "changed"])))
+    rows += [(40_000 + k, rows[7][1]) for k in range(6600)]
+    fps, _ = S.sketch(pa.array([t for _, t in rows[: 13_000 + len(near)]]), S.planes())
+    fp, at = S.words64(fps), [i for i, _ in rows[: 13_000 + len(near)]]
+    label = np.arange(len(fp))
+    for lo in range(0, len(fp), 500):
+        d = sum(np.bitwise_count(fp[lo : lo + 500, None, k] ^ fp[None, :, k]).astype(np.int16) for k in range(4))
+        i, j = np.nonzero(d <= S.RADIUS)
+        S.unite(label, i + lo, j)
+    while (label[label] != label).any():
+        label = label[label]
+    want = {i: at[k] for i, k in zip(at, label)} | {40_000 + k: at[label[7]] for k in range(6600)}
+    got = {r["doc_id"]: r["group_id"] for r in S.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(8)).collect()}
+    assert got == want
+    assert np.mean([got[a] == got[b] for a, b in near.items()]) > 0.9
+
+
+def test_short_texts_are_compared(spark):
+    rows = [(1, "alpha beta gamma"), (2, "Alpha, beta gamma!"), (3, "delta epsilon zeta"), (4, "alpha"), (5, "Alpha."), (6, "omega"), (7, "one two three four five six seven"), (8, "one two three four five six eight")]
+    got = {r["doc_id"]: r["group_id"] for r in S.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute_groups(*zip(*rows))
+    assert got[2] == 1 and got[5] == 4 and got[3] == 3 and got[6] == 6 and got[8] == 7
 
 
 def test_planted_copies_are_found_and_others_left(spark):
@@ -89,18 +122,8 @@ def test_strips_group_by_plain_hamming_distance(spark, docs, monkeypatch):
     monkeypatch.setattr(S, "SHARD_ROWS", 12)
     monkeypatch.setattr(S, "STRIP", 3)
     rows = docs.select("doc_id", "text").collect()
-    ids, texts = [r[0] for r in rows], [r[1] for r in rows]
-    fps, n = S.sketch(pa.array(texts, pa.string()), S.planes())
-    bits = np.unpackbits(np.frombuffer(b"".join(fps), np.uint8).reshape(len(fps), -1), axis=1)
-    label = np.arange(len(ids))
-    near = (bits[:, None] != bits[None]).sum(axis=2) <= S.RADIUS
-    near &= (n[:, None] >= S.LEAST_FEATURES) & (n[None] >= S.LEAST_FEATURES) | (bits[:, None] == bits[None]).all(axis=2) & (n[:, None] == n[None]) & (n[:, None] > 0)
-    S.unite(label, *np.nonzero(near))
-    while (label[label] != label).any():
-        label = label[label]
-    least = {k: min(i for i, x in zip(ids, label) if x == k) for k in set(label.tolist())}
-    got = {r["doc_id"]: r["group_id"] for r in S.near_duplicates(docs).collect()}
-    assert got == {i: least[k] for i, k in zip(ids, label.tolist())}
+    want = brute_groups([r[0] for r in rows], [r[1] for r in rows])
+    assert {r["doc_id"]: r["group_id"] for r in S.near_duplicates(docs).collect()} == want
 
 
 def test_long_chains_are_one_group(spark):

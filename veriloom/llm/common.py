@@ -46,6 +46,21 @@ def written(df: DataFrame, at: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(at)
 
 
+def files_of(uri: str) -> list[str]:
+    """The data files of a written table, in order."""
+    from pyarrow import fs
+
+    at, path = filesystem(uri)
+    found = at.get_file_info(fs.FileSelector(path))
+    return sorted(f"{uri}/{x.base_name}" for x in found if x.type == fs.FileType.File and x.base_name.startswith("part-"))
+
+
+def dropped(uri: str) -> None:
+    """Delete a table in shared storage that nothing reads any more."""
+    at, path = filesystem(uri)
+    at.delete_dir(path)
+
+
 def steps(batches: Iterator[pa.RecordBatch], column: int = 1, size: int = STEP_CHARS) -> Iterator[pa.RecordBatch]:
     """Record batches cut so that the text column of each holds about `size` bytes at most (or one row)."""
     for b in batches:

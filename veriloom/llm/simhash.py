@@ -2,32 +2,32 @@
 
 A document's fingerprint has 256 bits over the set of its words and word pairs. The distance of two documents is the
 Hamming distance of their fingerprints, a metric, so the triangle inequality holds for it. A vantage-point tree over that
-metric cuts the fingerprints into shards; every fingerprint lies in one shard and visits those later shards that its ball
-of radius r overlaps, so that each pair within r meets in exactly one shard and is compared there. The visitors of a shard
-come in strips, by their own shards, so that no task holds more than a strip. Pairs are exact in the metric; shards emit
-only edges to the smallest member, which keep the groups.
+metric orders the fingerprints by leaf, and they are cut in that order into shards of SHARD_ROWS, however many there are.
+Every shard is compared with itself and with the shards behind it, a strip of STRIP shards a task; of a visiting shard
+only those rows take part whose ball of the radius overlaps a leaf of the home shard. So each pair within the radius meets
+exactly once, no task holds more than a strip, and its work is bounded whatever the table's size. Pairs are exact in the
+metric; tasks emit only edges to the smallest member, which keep the groups.
 """
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cleaned, mix, numbered, only, shared_dir, steps, tokens, word_hashes, written
+from .common import cleaned, dropped, files_of, filesystem, mix, numbered, only, shared_dir, steps, tokens, word_hashes, written
 
 BITS, BUCKETS = 256, 8192
 #: Near duplicates: at most RADIUS of the 256 bits differ.
 RADIUS = 56
-#: Fewer features than this say too little: such documents are duplicates only if their fingerprints are equal.
-LEAST_FEATURES = 12
-#: The tree's shape is taken from so many fingerprints; every fingerprint is routed through it.
-TREE_SAMPLE, SHARD_ROWS, MOST_SHARDS = 8192, 6000, 96
-#: A shard takes its visitors from so many shards at a time.
-STRIP = 8
+#: The tree's shape is taken from so many fingerprints, LEAF_SAMPLE of them a leaf; every fingerprint is routed through it.
+TREE_SAMPLE, LEAF_SAMPLE = 8192, 16
+#: A shard has about so many rows; a task compares one shard with so many others.
+SHARD_ROWS, STRIP = 8192, 16
+#: Tasks of the comparison: beyond so many a task takes several strips, one after the other.
+MOST_TASKS = 20_000
 
 FINGERPRINT = "doc_id long, fp binary, n_features int"
 
@@ -82,68 +82,67 @@ def words64(fps) -> np.ndarray:
     return np.frombuffer(b"".join(fps), np.uint64).reshape(-1, BITS // 64)
 
 
-def distance(a: np.ndarray, na: np.ndarray, b: np.ndarray, nb: np.ndarray) -> np.ndarray:
-    """The metric between rows of a and one row b (or rows of the same number). The feature counts have no part in it."""
-    return np.bitwise_count(a ^ b).sum(axis=1, dtype=np.int64)
+def distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Differing bits between rows of a and one row b (or rows of the same number)."""
+    return np.bitwise_count(a ^ b).sum(axis=-1, dtype=np.int64)
 
 
-def grow(fp: np.ndarray, n: np.ndarray, shards: int) -> list:
-    """A vantage-point tree as nested lists [vantage, its size, threshold, inside, outside]; a leaf is its number.
+def grow(fp: np.ndarray, leaf_rows: int = LEAF_SAMPLE) -> list | int:
+    """A vantage-point tree as nested lists [vantage, threshold, inside, outside]; a leaf is its number, from the left.
 
-    The vantage point is the one farthest from the smallest member, the threshold the median distance from it.
+    The vantage point is the one farthest from the least member, the threshold the median distance from it.
     """
     leaf = iter(range(1 << 30))
 
-    def build(rows: np.ndarray, k: int):
-        if k <= 1 or len(rows) < 4:
+    def build(rows: np.ndarray):
+        if len(rows) < 2 * leaf_rows:
             return next(leaf)
-        first = rows[np.lexsort((fp[rows, 0], n[rows]))[0]]
-        v = rows[np.argmax(distance(fp[rows], n[rows], fp[first], n[first]))]
-        d = distance(fp[rows], n[rows], fp[v], n[v])
+        first = rows[np.lexsort(fp[rows].T)[0]]
+        v = rows[np.argmax(distance(fp[rows], fp[first]))]
+        d = distance(fp[rows], fp[v])
         mu = float(np.median(d))
         near = d <= mu
         if near.all():
             return next(leaf)
-        return [fp[v].tobytes(), int(n[v]), mu, build(rows[near], k // 2), build(rows[~near], k - k // 2)]
+        return [fp[v].tobytes(), mu, build(rows[near]), build(rows[~near])]
 
-    return build(np.arange(len(fp)), shards)
+    return build(np.arange(len(fp)))
 
 
-def route(tree, fp: np.ndarray, n: np.ndarray, r: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, shard, is home): each row's own shard, and the later shards that its ball overlaps."""
-    out: list[tuple[np.ndarray, int, np.ndarray]] = []
+def leaves(tree, fp: np.ndarray) -> np.ndarray:
+    """The leaf of each row."""
+    out = np.zeros(len(fp), np.int32)
 
-    def walk(node, rows: np.ndarray, home: np.ndarray):
-        if not len(rows):
+    def walk(node, rows: np.ndarray):
+        if not isinstance(node, list):
+            out[rows] = node
+            return
+        near = distance(fp[rows], np.frombuffer(node[0], np.uint64)) <= node[1]
+        walk(node[2], rows[near])
+        walk(node[3], rows[~near])
+
+    walk(tree, np.arange(len(fp)))
+    return out
+
+
+def reaching(tree, lo: int, hi: int, fp: np.ndarray, r: float) -> np.ndarray:
+    """Whether the ball of radius r about each row overlaps one of the leaves lo to hi, by the triangle inequality."""
+    out = np.zeros(len(fp), bool)
+    last = lambda node: last(node[3]) if isinstance(node, list) else node
+
+    def walk(node, least: int, rows: np.ndarray):
+        rows = rows[~out[rows]]
+        if not len(rows) or least > hi or last(node) < lo:
             return
         if not isinstance(node, list):
-            out.append((rows, node, home))
+            out[rows] = True
             return
-        d = distance(fp[rows], n[rows], np.frombuffer(node[0], np.uint64), np.array(node[1]))
-        near = d <= node[2]
-        go_in, go_out = np.where(near, True, d - r <= node[2]), np.where(near, d + r > node[2], True)
-        walk(node[3], rows[go_in], home[go_in] & near[go_in])
-        walk(node[4], rows[go_out], home[go_out] & ~near[go_out])
-
-    walk(tree, np.arange(len(fp)), np.ones(len(fp), bool))
-    row = np.concatenate([x[0] for x in out] or [np.zeros(0, np.int64)])
-    shard = np.concatenate([np.full(len(x[0]), x[1], np.int32) for x in out] or [np.zeros(0, np.int32)])
-    is_home = np.concatenate([x[2] for x in out] or [np.zeros(0, bool)])
-    own = np.zeros(len(fp), np.int32)
-    own[row[is_home]] = shard[is_home]
-    kept = is_home | (own[row] < shard)
-    return row[kept], shard[kept], is_home[kept]
-
-
-def strips(row: np.ndarray, shard: np.ndarray, home: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(row, shard, strip, is home): visitors go to the strip of their own shard, rows at home to every strip of theirs."""
-    own = np.zeros(row.max() + 1 if len(row) else 0, np.int32)
-    own[row[home]] = shard[home]
-    copies = np.where(home, shard // width + 1, 1)
-    at = np.repeat(np.arange(len(row)), copies)
-    nth = np.arange(len(at)) - np.repeat(np.cumsum(copies) - copies, copies)
-    strip = np.where(home[at], nth, own[row[at]] // width).astype(np.int32)
-    return row[at], shard[at], strip, home[at]
+        d = distance(fp[rows], np.frombuffer(node[0], np.uint64))
+        walk(node[2], least, rows[d - r <= node[1]])
+        walk(node[3], last(node[2]) + 1, rows[d + r > node[1]])
+
+    walk(tree, 0, np.arange(len(fp)))
+    return out
 
 
 def unite(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
@@ -161,31 +160,63 @@ def unite(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
         np.minimum.at(label, np.maximum(a, b), np.minimum(a, b))
 
 
-def pairs_within(fp: np.ndarray, n: np.ndarray, home: np.ndarray, r: int, block: int = 256):
-    """Blocks (i, j) of all pairs within r of which j, or both, are at home."""
-    at_home = np.flatnonzero(home)
-    order = np.concatenate((at_home, np.flatnonzero(~home)))
-    *cols, last = (np.ascontiguousarray(fp[order, k]) for k in range(fp.shape[1]))
-    for lo in range(0, len(at_home), block):
-        hi = min(lo + block, len(at_home))
-        for c in range(lo, len(order), 4096):
-            e = min(c + 4096, len(order))
-            d = np.zeros((hi - lo, e - c), np.uint8)
-            for x in cols:
-                d += np.bitwise_count(x[lo:hi, None] ^ x[None, c:e])
+def pairs_within(a: np.ndarray, b: np.ndarray, r: int, same: bool = False, block: int = 16, width: int = 4096):
+    """Blocks (i, j) of the pairs of rows of a and b within r; if a and b are the same rows, those with i < j."""
+    *rows, row = (np.ascontiguousarray(a[:, k]) for k in range(a.shape[1]))
+    *cols, col = (np.ascontiguousarray(b[:, k]) for k in range(b.shape[1]))
+    d = None
+    for lo in range(0, len(a), block):
+        hi = min(lo + block, len(a))
+        for c in range(lo // width * width if same else 0, len(b), width):
+            e = min(c + width, len(b))
+            if d is None or d.shape != (hi - lo, e - c):
+                x, p, d = (np.empty((hi - lo, e - c), t) for t in (np.uint64, np.uint8, np.uint8))
+            for k, (u, v) in enumerate(zip(rows, cols)):
+                np.bitwise_xor(u[lo:hi, None], v[None, c:e], out=x)
+                np.bitwise_count(x, out=p if k else d)
+                if k:
+                    d += p
             near = np.flatnonzero(d <= r)
-            i, j = lo + near // (e - c), c + near % (e - c)
-            close = (i < j) & (d.ravel()[near].astype(np.int64) + np.bitwise_count(last[i] ^ last[j]) <= r)
-            if close.any():
-                yield order[i[close]], order[j[close]]
+            if len(near):
+                i, j = lo + near // (e - c), c + near % (e - c)
+                close = d.ravel()[near].astype(np.int64) + np.bitwise_count(row[i] ^ col[j]) <= r
+                if same:
+                    close &= i < j
+                if close.any():
+                    yield i[close], j[close]
+
+
+def read_shard(uri: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(ids, fingerprints, leaves) of a shard's file."""
+    import pyarrow.parquet as pq
 
+    fs, path = filesystem(uri)
+    with fs.open_input_file(path) as f:
+        t = pq.read_table(f, columns=["rep", "fp", "leaf"])
+    return t["rep"].to_numpy(), words64(t["fp"].to_pylist()), t["leaf"].to_numpy()
 
-def shard_edges(pdf: pd.DataFrame, r: int) -> pd.DataFrame:
-    """Edges from each member of a group within one strip of a shard to the group's smallest id."""
-    pdf = pdf.sort_values("rep", kind="stable")
-    fp, n, ids = words64(pdf["fp"].tolist()), pdf["n_features"].to_numpy(), pdf["rep"].to_numpy()
+
+def strip_edges(home: str, others: list[str], tree, r: int) -> tuple[np.ndarray, np.ndarray]:
+    """Edges (a, b) from each member of a group within a shard and a strip of shards to the group's smallest id.
+
+    The home shard may be one of the strip; its pairs are then compared too.
+    """
+    ids, fp, leaf = read_shard(home)
+    if not len(ids):
+        return ids, ids
+    members, links, n = [ids], [], len(ids)
+    for other in others:
+        if other == home:
+            links += [(i, j) for i, j in pairs_within(fp, fp, r, same=True)]
+            continue
+        ids2, fp2, _ = read_shard(other)
+        visit = reaching(tree, int(leaf.min()), int(leaf.max()), fp2, r)
+        links += [(i, j + n) for i, j in pairs_within(fp, fp2[visit], r)]
+        members.append(ids2[visit])
+        n += int(visit.sum())
+    ids = np.concatenate(members)
     label = np.arange(len(ids))
-    for i, j in pairs_within(fp, n, pdf["home"].to_numpy(), r):
+    for i, j in links:
         unite(label, i, j)
     while ((x := label[label]) != label).any():
         label = x
@@ -193,7 +224,37 @@ def shard_edges(pdf: pd.DataFrame, r: int) -> pd.DataFrame:
     np.minimum.at(least, label, ids)
     to = least[label]
     moved = to != ids
-    return pd.DataFrame({"a": ids[moved], "b": to[moved]})
+    return ids[moved], to[moved]
+
+
+def edges_within(exact: DataFrame, at: str, radius: int, count: int) -> DataFrame:
+    """(a, b) edges that join the groups of fingerprints (rep, fp) within the radius, from all pairs of shards."""
+    spark = exact.sparkSession
+    taken = exact.orderBy(F.xxhash64("rep"), "rep").limit(TREE_SAMPLE).select("fp").toArrow()["fp"].to_pylist()
+    tree = grow(words64(taken))  # TREE_SAMPLE rows, whatever the table's size
+
+    def place(batches):
+        for b in batches:
+            fp = b.column(1)
+            yield pa.RecordBatch.from_arrays([b.column(0), fp, pa.array(leaves(tree, words64(fp.to_pylist())))], ["rep", "fp", "leaf"])
+
+    shards = max(1, -(-count // SHARD_ROWS))
+    placed = exact.select("rep", "fp").mapInArrow(place, "rep long, fp binary, leaf int")
+    placed.repartitionByRange(shards, "leaf", "rep").write.mode("overwrite").parquet(f"{at}/shards")
+    names = files_of(f"{at}/shards")  # a name for every SHARD_ROWS rows
+    homes = np.minimum((np.arange(-(-len(names) // STRIP)) + 1) * STRIP, len(names))  # of each strip: all shards up to its end
+    ends, strip = np.cumsum(homes), STRIP
+
+    def compare(batches):
+        for b in batches:
+            for k in b.column(0).to_pylist():
+                nth = int(np.searchsorted(ends, k, "right"))
+                home = k - int(ends[nth] - homes[nth])
+                a, to = strip_edges(names[home], names[max(home, nth * strip) : (nth + 1) * strip], tree, radius)
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(to)], ["a", "b"])
+
+    total = int(ends[-1]) if len(ends) else 0
+    return spark.range(0, total, 1, max(1, min(total, MOST_TASKS))).mapInArrow(compare, "a long, b long")
 
 
 def components(edges: DataFrame, at: str) -> DataFrame:
@@ -212,7 +273,9 @@ def components(edges: DataFrame, at: str) -> DataFrame:
         new = written(small.unionByName(low.select("a", F.col("m").alias("b"))).where("a <> b").distinct(), f"{at}/star{k}")
         total = lambda d: d.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if total(new) == total(cur):
+            dropped(f"{at}/star{k - 1}")
             return new.select(F.col("a").alias("id"), F.col("b").alias("label"))
+        dropped(f"{at}/star{k - 1}")
         cur = new
 
 
@@ -220,31 +283,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """doc_id, group_id (the smallest id of its group), n_features, keep (the group's one document that stays).
 
     Documents are in one group if a chain of pairs within `radius` joins them. Rows with a null id are left out. Of rows
-    that share an id, one counts, and the result has one row of that id. Texts without words are no duplicates of
-    anything, and stay. Texts under LEAST_FEATURES features join only equal fingerprints. An empty table gives none.
+    that share an id, that of the least fingerprint counts, and the result has one row of that id. Texts without words
+    are no duplicates of anything, and stay; short and very long ones are compared like all others, by their whole texts.
+    Ids are cast to long. An empty table gives none. Comparisons grow with the square of the different fingerprints.
     """
-    spark = docs.sparkSession
-    at = shared_dir(spark)
+    at = shared_dir(docs.sparkSession)
     fps = fingerprints(docs, id_col, text_col).where("doc_id is not null")
     fps = written(fps.groupBy("doc_id").agg(F.min(F.struct("fp", "n_features")).alias("x")).select("doc_id", "x.*"), f"{at}/fp")
     worded = fps.where("n_features > 0")
-    exact = written(worded.groupBy("fp", "n_features").agg(F.min("doc_id").alias("rep")), f"{at}/exact")
-    rich = exact.where(F.col("n_features") >= LEAST_FEATURES)
-    count = rich.count()
-    taken = rich.orderBy(F.xxhash64("rep")).limit(TREE_SAMPLE).select("fp", "n_features").toPandas()
-    shards = int(min(MOST_SHARDS, max(1, count // SHARD_ROWS)))
-    tree = grow(words64(taken["fp"].tolist()), taken["n_features"].to_numpy(), shards)
-
-    def send(batches):
-        for pdf in batches:
-            row, shard, strip, home = strips(*route(tree, words64(pdf["fp"].tolist()), pdf["n_features"].to_numpy(), radius), STRIP)
-            yield pd.DataFrame({"shard": shard, "strip": strip, "home": home, "rep": pdf["rep"].to_numpy()[row], "fp": pdf["fp"].to_numpy()[row], "n_features": pdf["n_features"].to_numpy()[row]})
-
-    routed = rich.select("rep", "fp", "n_features").mapInPandas(send, "shard int, strip int, home boolean, rep long, fp binary, n_features int")
-    routed = routed.repartition(sum(k // STRIP + 1 for k in range(shards)), "shard", "strip")
-    edges = routed.groupBy("shard", "strip").applyInPandas(lambda pdf: shard_edges(pdf, radius), "a long, b long")
-    label = components(edges, at)
-    groups = worded.join(exact, ["fp", "n_features"]).join(label.withColumnRenamed("id", "rep"), "rep", "left")
+    exact = written(worded.groupBy("fp").agg(F.min("doc_id").alias("rep")), f"{at}/exact")
+    label = components(edges_within(exact, at, radius, exact.count()), at)
+    dropped(f"{at}/shards")
+    groups = worded.join(exact, "fp").join(label.withColumnRenamed("id", "rep"), "rep", "left")
     groups = groups.select("doc_id", F.coalesce("label", "rep").alias("group_id"), "n_features")
     groups = groups.unionByName(fps.where("n_features = 0").select("doc_id", F.col("doc_id").alias("group_id"), "n_features"))
     return groups.withColumn("keep", F.col("doc_id") == F.col("group_id"))
