@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from veriloom.llm import langid as L
 from veriloom.llm import quality as Q
+from veriloom.llm.common import only
 
 SF = "/root/testdata/sf0.01"
 
@@ -50,6 +51,63 @@ def test_votes_are_of_the_exact_neighbours():
         assert abs(got[k] + other[k] - 1) < 1e-9
 
 
+def test_ties_go_to_the_first_labelled():
+    rng = np.random.default_rng(4)
+    base = rng.standard_normal((40, 8)).astype(np.float32)
+    known = np.repeat(base, 25, axis=0)
+    known /= np.linalg.norm(known, axis=1, keepdims=True)
+    order = rng.permutation(len(known))
+    known, labels = known[order], rng.integers(0, 2, len(known))
+    m = Q.Model(np.zeros(1, np.uint64), np.zeros(1, np.float32), np.zeros((1, 8), np.float32), known, labels, 1 - labels)
+    asked = np.concatenate((base, rng.standard_normal((60, 8)))).astype(np.float32)
+    asked /= np.linalg.norm(asked, axis=1, keepdims=True)
+    got = Q.vote(asked, m, 15)[0]
+    for k in range(100):
+        cos = np.rint(known.astype(float) @ asked[k] * (1 << 20))
+        group = np.argsort(-cos, kind="stable")[:15]
+        w = np.maximum(cos[group] / (1 << 20), 0) ** 4 + 1e-9
+        assert abs(got[k] - (w * labels[group]).sum() / w.sum()) < 1e-4, k
+
+
+def plain_counts(text):
+    """Counts of the features of one text, word by word."""
+    import collections
+
+    words, out = text.split(), collections.Counter()
+    for k, w in enumerate(words):
+        for h in Q.features(pa.array([w])):
+            if h[0]:
+                out[int(h[0])] += 1
+        out[int(Q.REPEAT)] += k > 0 and w == words[k - 1]
+    return out
+
+
+def plain_vote(m, x, labels):
+    x = x / max(np.linalg.norm(x), 1e-12) @ m.axes.astype(float)
+    if not x.any():
+        return None
+    cos = np.rint(m.vectors.astype(float) @ (x / np.linalg.norm(x)) * (1 << 20))
+    top = np.argsort(-cos, kind="stable")[: Q.NEIGHBOURS]
+    w = np.maximum(cos[top] / (1 << 20), 0) ** 4 + 1e-9
+    return (w * labels[top]).sum() / w.sum()
+
+
+def test_classified_matches_brute_force(spark):
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    m = Q.fit(docs, labels)
+    got = {r["doc_id"]: r for r in Q.classified(docs, labels).collect()}
+    off = 0
+    for r in docs.where("n_chars < 1500").select("doc_id", "text").limit(15).collect():
+        n = plain_counts(r["text"])
+        x = np.array([(1 + np.log(n[int(h)])) * w if n[int(h)] else 0.0 for h, w in zip(m.known, m.weight)])
+        t = np.array([*(w if n[int(h)] else 0.0 for h, w in zip(m.own.known, m.own.weight)), m.own.shared])
+        quality, toxic = plain_vote(m, x, m.quality) or 0.0, plain_vote(m.own, t, m.own.toxic) if n else 0.0
+        row = got[r["doc_id"]]
+        off += abs(row["quality_score"] - quality) > 1e-3 or abs(row["toxic_score"] - toxic) > 1e-3
+        assert row["keep"] == (row["quality_score"] >= Q.REJECT_BELOW and row["toxic_score"] < Q.REJECT_BELOW)
+    assert off <= 1  # neighbours whose cosines differ by less than single precision
+
+
 def test_quality_hard_rows(spark, hard, empty):
     labels = spark.createDataFrame([(1, 1, 0), (1, 1, 0), (6, 0, 0), (None, 1, 0), (5, None, 1), (99, 1, 1), (2, 1, None)], "doc_id long, quality int, toxic int")
     rows = Q.classified(hard, labels).collect()
@@ -107,6 +165,75 @@ def test_rare_languages_are_in_the_model(spark):
     assert {"en", "fr", "de"} <= set(m.languages)
 
 
+def plain_features(word, m):
+    """The buckets of one word, by Python's own integers."""
+    mask = (1 << 64) - 1
+    mix = lambda x: int(L.mix(np.array([x & mask], np.uint64))[0])
+
+    def gram(part):
+        h = 0
+        for c in part:
+            h = (h * 0x9E3779B97F4A7C15 + ord(c) + 1) & mask
+        return h
+
+    n, out = len(word), []
+    for kind, sizes, places in ((1, (1, 2, 3), lambda k: [0]), (2, (1, 2, 3, 4), lambda k: [n - k]), (3, (2, 3), lambda k: range(n - k + 1))):
+        for k in sizes:
+            out += [mix(gram(word[p : p + k]) * 31 + kind * 8 + k) % L.BUCKETS for p in places(k) if n >= k]
+    out.append(mix(sum(mix((ord(c) << 20) + p) for p, c in enumerate(word))) % L.BUCKETS)
+    key = int(L.word_hashes(pa.array([word]))[0])
+    for e in np.flatnonzero(m.lexicon.keys == np.uint64(key)):
+        out += [mix(int(g) * 8 + (1 << 40)) % L.BUCKETS for g in m.lexicon.languages[m.lexicon.at[e] : m.lexicon.at[e + 1]]]
+    return out
+
+
+def plain_identified(text, m):
+    """(lang, share, spans) of one text, word by word in double precision."""
+    words = (text or "").split()
+    clean = L.cleaned(pa.array(words, pa.string())).to_pylist()
+    if not any(clean):
+        return None, 0.0
+    scores = [sum((m.weights[f].astype(float) for f in plain_features(w, m)), np.zeros(len(m.languages))) if w else np.zeros(len(m.languages)) for w in clean]
+    em = [np.exp(np.clip(s - s.max(), -30, 0)) for s in scores]
+    move, alpha, beta = np.exp(m.moves), [], [np.ones(len(m.languages))]
+    for t, e in enumerate(em):
+        a = e if t == 0 else (alpha[-1] @ move) * e
+        alpha.append(a / a.sum())
+    for t in range(len(em) - 1, 0, -1):
+        b = move @ (em[t] * beta[0])
+        beta.insert(0, b / b.sum())
+    post = np.array([a * b / (a * b).sum() for a, b in zip(alpha, beta)])
+    mass = post[[bool(w) for w in clean]].sum(axis=0)
+    return m.languages[int(mass.argmax())], mass.max() / sum(map(bool, clean))
+
+
+def test_identified_matches_brute_force(spark, docs, hard):
+    both = docs.select("doc_id", "text", "lang").where("n_chars < 800").unionByName(only(hard.where("doc_id not in (5, 1)"), doc_id="doc_id", text="text", lang="lang").withColumn("doc_id", -F.col("doc_id")))
+    m = L.fit(both)
+    got = {(r["doc_id"], r["text"]): r for r in L.identified(both).join(both.select(F.col("doc_id").alias("i"), "text"), F.col("doc_id") == F.col("i")).collect()}
+    assert len(got) > 40
+    for (_, text), r in got.items():
+        if sum(x[1] == text for x in got) == 1:
+            lang, share = plain_identified(text, m)
+            assert abs(r["share"] - share) < 2e-3 and (r["lang"] == lang or share < 0.51)
+            assert r["keep"] == (lang not in (None, L.OTHER) and r["share"] >= L.LEAST_SHARE)
+
+
+def test_lexicon_holds_the_words_of_its_languages(spark):
+    rows = [(k, f"alpha{k % 3} shared common", "en") for k in range(20)] + [(100 + k, f"beta{k % 3} shared rare{k}", "fr") for k in range(20)]
+    m = L.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    of = lambda w: {m.languages[g] for e in np.flatnonzero(m.lexicon.keys == L.word_hashes(pa.array([w]))[0]) for g in m.lexicon.languages[m.lexicon.at[e] : m.lexicon.at[e + 1]]}
+    assert of("shared") == {"en", "fr"} and of("alpha1") == {"en"} and of("beta2") == {"fr"} and of("rare5") == set()
+
+
+def test_fit_reads_whole_texts(spark):
+    """Words that only stand late in long texts are known."""
+    rows = [(k, "one two three " * 100 + "lateword " * 10, "en") for k in range(3)] + [(10 + k, "un deux trois " * 100 + "motfinal " * 10, "fr") for k in range(3)]
+    m = L.fit(spark.createDataFrame([*rows, *rows], "doc_id long, text string, lang string"), most=6)
+    known = set(m.lexicon.keys.tolist())
+    assert {int(x) for x in L.word_hashes(pa.array(["lateword", "motfinal", "deux"]))} <= known
+
+
 def test_language_hard_rows(hard, empty):
     rows = L.identified(hard).collect()
     assert len(rows) == hard.count()

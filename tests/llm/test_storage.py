@@ -1,13 +1,17 @@
 """Top-k, WARC, media, sharding and HTML: brute force, byte-level checks and hard rows."""
 
+import base64
 import collections
 import gzip
+import hashlib
 import io
 import tarfile
 import zlib
 
 import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from veriloom.llm import html as H
@@ -101,6 +105,24 @@ def test_cut_off_member_is_an_error():
         list(A.members(io.BytesIO(data + data[:-9])))
 
 
+@settings(max_examples=150, deadline=None)
+@given(st.text(st.characters(exclude_categories=["Cs"])) | st.text("%0AaD25\r\n \t:<>"), st.binary(max_size=40))
+def test_urls_and_payloads_come_back(url, payload):
+    h, got = A.parse(zlib.decompress(A.member("urn:x-row:1", url, payload), 31))
+    assert A.url_of(h) == url and got == payload and A.verified(got, h["warc-payload-digest"])
+
+
+def test_foreign_records():
+    body = b"<p>hello</p>"
+    sha1 = base64.b32encode(hashlib.sha1(body).digest()).decode()
+    http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\n\r\n" + body
+    record = b"WARC/1.0\r\nWARC-Type: response\r\nWARC-Target-URI: http://x/?q=%0A%250A\r\nWARC-Payload-Digest: sha1:" + sha1.encode() + b"\r\nContent-Type: application/http; msgtype=response\r\nContent-Length: " + str(len(http)).encode() + b"\r\n\r\n" + http + b"\r\n\r\n"
+    h, payload = A.parse(record)
+    assert payload == body and A.url_of(h) == "http://x/?q=%0A%250A" and A.verified(payload, h["warc-payload-digest"]) is True
+    assert A.verified(body + b"!", "sha1:" + sha1) is False and A.verified(body, "crc32:00") is None and A.verified(body, None) is None
+    assert A.verified(body, "SHA-256:" + hashlib.sha256(body).hexdigest().upper()) is True
+
+
 def test_warc_hard_rows(hard_pages):
     rows = sorted(A.through_warc(hard_pages).collect(), key=str)
     want = sorted(((r["page_id"], r["url"], r["html"]) for r in hard_pages.collect()), key=str)
@@ -119,8 +141,6 @@ def test_payloads_are_stored_once_in_tar_shards(spark, hard_pages, pages):
         by[r["page_id"]].add((r["digest"], r["file"], r["offset"], r["length"]))
     assert len(by[1]) == 1 and by[1] == by[2] and by[3] == {(None, None, None, None)}
     payloads = {r["digest"]: bytes(r["payload"]) for r in M.payload(spark, media.where("file is not null")).collect()}
-    import hashlib
-
     assert all(hashlib.sha256(p).hexdigest() == d for d, p in payloads.items())
     found = 0
     for uri in {r["file"] for r in rows if r["file"]}:
@@ -152,6 +172,29 @@ def test_headers_of_formats():
         M.metadata(b"<!doctype html><html><head><title>", False)
 
 
+def stored_header(data):
+    packed = zlib.compress(data, 1)
+
+    class File:
+        def read_at(self, n, at):
+            return packed[at : at + n]
+
+    return M.header(File(), 0, len(packed))
+
+
+def test_headers_are_read_to_their_end():
+    noise = np.random.default_rng(1)
+    segments = b"".join(b"\xff\xe1\xff\xff" + noise.bytes(65533) for _ in range(32))
+    jpeg = b"\xff\xd8" + segments + b"\xff\xc0\x00\x11\x08\x00\x64\x00\xc8\x03" + b"\x00" * 20
+    assert len(jpeg) > 2 << 20 and stored_header(jpeg) == {"mime": "image/jpeg", "width": 200, "height": 100, "channels": 3}
+    late = b"<!doctype html><html lang=de><head><style>" + noise.bytes(1_500_000).hex().encode() + b"</style><meta charset=utf-8><title>late</title></head><body>x"
+    assert stored_header(late) == {"mime": "text/html", "language": "de", "charset": "utf-8", "title": "late"}
+    for before in (b"<!-- " + noise.bytes(5000).hex().encode() + b" -->\n<!-- two -->", b"\xef\xbb\xbf \n<?xml version='1.0'?>", b" " * 3000):
+        assert stored_header(before + b"<html><head><title>t</title></head>" + b"y" * 9000) == {"mime": "text/html", "language": None, "charset": None, "title": "t"}
+    assert stored_header(b"<!-- never closed" + b"z" * 5000)["mime"] == "text/plain"
+    assert stored_header(b"a" * 1000 + b"\x00" + b"a" * 9000)["mime"] == "application/octet-stream"
+
+
 def test_header_reads_are_short():
     page = b"<!doctype html><html lang='x'><head><title>T</title></head>" + np.random.default_rng(0).bytes(50_000)
     read = []
@@ -215,9 +258,9 @@ def brute_extract(rows):
             sums[host][path] += s
     best = {}
     for host, paths in sums.items():
-        top = min(paths, key=lambda p: (-round(paths[p], 6), -len(p), p))
+        top = min(paths, key=lambda p: (-round(paths[p], 6), -p[1], p[0]))
         if round(paths[top], 6) / sum(round(x, 6) for x in paths.values()) >= H.LEAST_SHARE:
-            best[host] = top
+            best[host] = top[0]
     return {i: H.extract(page, best.get(host)) for i, host, page in rows}
 
 
@@ -243,6 +286,22 @@ def test_broken_html():
     assert H.extract(deep, None)[2] == "deep, deep text"
 
 
+def test_deep_pages_cost_in_proportion():
+    import time
+
+    began, deep = time.perf_counter(), "<div class=a>" * 60_000 + "text, and text" + "</p>" * 200_000 + "</div>" * 60_000
+    path, _, text = H.extract(deep, None)
+    assert text == "text, and text" and path.count(">") == 59_999 and max(H.votes(deep), key=H.votes(deep).get)[1] == 60_000
+    assert time.perf_counter() - began < 30
+
+
+def test_equal_paths_hash_alike_and_others_do_not():
+    keys = lambda page: {x.path: x.key for x in H.parsed(page)}
+    a, b = keys("<body><div class='x y'><td>1</td></div><form>"), keys("<body class=z><div class='y x'></div><div class='x9'>")
+    assert a["body"] != b["body.z"] and len(set(a.values())) == len(a)
+    assert keys("<body><div class='b a7'>x") == keys("<body><div class='a1 b'>y")
+
+
 def test_html_hard_rows(hard_pages):
     rows = H.extracted(hard_pages).collect()
     assert len(rows) == hard_pages.count()

@@ -2,15 +2,19 @@
 
 Every page scores its containers; Spark adds the scores up by host and generalised path of tags and classes; every page is
 then extracted from the containers on its host's winning path. A page that has none of them falls back on its own best.
+A path is known by a chained hash of its steps, so a page costs time and memory in proportion to its length, however deep
+it nests; a path is only written out for the container that a page's text comes from.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html as entities
 import re
+from collections import Counter
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import only, shared_dir, steps, written
@@ -29,7 +33,7 @@ CLASS = re.compile(r"""\bclass\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""", re.
 SPACE = re.compile(r"[ \t\r\f\v ]+")
 #: A host's path needs this share of the host's score; below it each page is left to its own best container.
 LEAST_SHARE = 0.2
-SCORED = "host string, path string, score double"
+SCORED = "host string, path binary, depth int, score double"
 RESULT = "page_id long, host string, path string, consensus boolean, text string"
 
 
@@ -46,12 +50,23 @@ def host_of(column):
 
 
 class Node:
-    __slots__ = ("parts", "path", "links", "size", "commas", "paragraphs", "tag", "parent", "aside")
+    __slots__ = ("parts", "step", "key", "depth", "links", "size", "commas", "paragraphs", "parent", "aside")
 
-    def __init__(self, tag, path, parent, aside):
-        self.tag, self.path, self.parent, self.aside = tag, path, parent, aside
+    def __init__(self, step, parent, aside):
+        self.step, self.parent, self.aside = step, parent, aside
+        self.depth = parent.depth + 1 if parent else 0
+        self.key = hashlib.blake2b(parent.key + step.encode("utf-8", "surrogatepass"), digest_size=16).digest() if parent else b""
         self.parts, self.links, self.size, self.commas, self.paragraphs = [], 0, 0, 0, 0
 
+    @property
+    def path(self) -> str:
+        """The steps from the outermost container, joined by '>'."""
+        steps, x = [], self
+        while x.parent is not None:
+            steps.append(x.step)
+            x = x.parent
+        return ">".join(reversed(steps))
+
 
 def parsed(page: str) -> list[Node]:
     """The candidate containers of a page, outermost first, each with its direct text (nested candidates apart).
@@ -59,9 +74,10 @@ def parsed(page: str) -> list[Node]:
     `parts` holds strings and nested nodes in order. Tags that are never closed end with what is around them; end tags
     without a beginning are ignored; whatever follows an unclosed comment or dropped element is dropped with it.
     """
-    root = Node("body", "", None, False)
+    root = Node("", None, False)
     found, node = [root], root
     stack: list[tuple[str, Node]] = []
+    opened: Counter[str] = Counter()  # how often each tag is on the stack
     at, link, n = 0, 0, len(page)
     lower = None
 
@@ -108,27 +124,30 @@ def parsed(page: str) -> list[Node]:
         if tag not in CONTAINERS:
             continue
         if m.group(1):
-            depth = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == tag), -1)
-            if depth >= 0:
-                node = stack[depth][1]
-                del stack[depth:]
+            if opened[tag]:
+                last = None
+                while last != tag:
+                    last, node = stack.pop()
+                    opened[last] -= 1
                 link = 0
                 node.parts.append("\n")
             continue
         if stack:
             if stack[-1][0] == "p" and tag in ENDS_P:
                 node = stack.pop()[1]
+                opened["p"] -= 1
             while stack and stack[-1][0] in CLOSES.get(tag, ()):
-                node = stack.pop()[1]
+                last, node = stack.pop()
+                opened[last] -= 1
         node.parts.append("\n")
         if tag == "p":
             node.paragraphs += 1
-        if tag in ("html", "body") and any(x[0] == tag for x in stack):
+        if tag in ("html", "body") and opened[tag]:
             continue
         stack.append((tag, node))
+        opened[tag] += 1
         if tag in CANDIDATES or tag in ASIDE:
-            path = f"{node.path}>{generalised(tag, m.group(3))}" if node.path else generalised(tag, m.group(3))
-            inner = Node(tag, path, node, node.aside or tag in ASIDE)
+            inner = Node(generalised(tag, m.group(3)), node, node.aside or tag in ASIDE)
             node.parts.append(inner)
             found.append(inner)
             node = inner
@@ -147,7 +166,7 @@ def scores(nodes: list[Node]) -> list[tuple[float, int]]:
     out = []
     for k, x in enumerate(nodes):
         size, links, commas, paragraphs = whole[k]
-        if x.path and not x.aside and size:
+        if x.depth and not x.aside and size:
             out.append(((size**0.5 + commas + 3 * paragraphs) * (1 - min(1.0, links / size)), k))
     return out
 
@@ -168,50 +187,46 @@ def rendered(node: Node) -> str:
     return "\n".join(line for line in lines if line)
 
 
-def votes(page: str | None) -> dict[str, float]:
-    """Shares of a page's vote by path: the square of each container's score, summing to 1."""
-    by_path: dict[str, float] = {}
+def votes(page: str | None) -> dict[tuple[bytes, int], float]:
+    """Shares of a page's vote by (path's hash, depth): the square of each container's score, summing to 1."""
+    by_path: dict[tuple[bytes, int], float] = {}
     if page:
         nodes = parsed(page)
         for s, k in scores(nodes):
-            by_path[nodes[k].path] = by_path.get(nodes[k].path, 0.0) + s * s
+            key = nodes[k].key, nodes[k].depth
+            by_path[key] = by_path.get(key, 0.0) + s * s
     total = sum(by_path.values())
     return {p: s / total for p, s in by_path.items()} if total else {}
 
 
-def extract(page: str | None, path: str | None) -> tuple[str | None, bool, str | None]:
-    """(path, whether it is the host's, text) of a page; null text for a null page, '' if there is none."""
+def extract(page: str | None, path: bytes | None) -> tuple[str | None, bool, str | None]:
+    """(path, whether it is the host's, text) of a page; null text for a null page, '' if there is none.
+
+    Containers of one path lie at one depth, so none of them is inside another.
+    """
     if page is None:
         return None, False, None
     nodes = parsed(page)
     if path is not None:
-        hit = [x for x in nodes if x.path == path and not x.aside]
-        inner = {id(x) for x in hit}
-        hit = [x for x in hit if not any(id(y) in inner for y in ancestors(x))]
+        hit = [x for x in nodes if x.key == path and not x.aside]
         text = "\n".join(t for t in map(rendered, hit) if t)
         if text:
-            return path, True, text
+            return hit[0].path, True, text
     best = max(scores(nodes), key=lambda s: (s[0], -s[1]), default=None)
     if best is None:
         return None, False, rendered(nodes[0])
     return nodes[best[1]].path, False, rendered(nodes[best[1]])
 
 
-def ancestors(x: Node):
-    while x.parent is not None:
-        x = x.parent
-        yield x
-
-
 def consensus(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(host, path, share): each host's path of the highest score over all its pages, if it has LEAST_SHARE of it.
+    """(host, path, share): the hash of each host's path of the highest score over all its pages, if it has LEAST_SHARE of it.
 
-    Ties go to the longer path, then to the first in order. Pages without a host vote together as host ''.
+    Ties go to the deeper path, then to the first hash in order. Pages without a host vote together as host ''.
     """
     src = only(pages, url=url_col, html=html_col).select(host_of(F.col("url")).alias("host"), F.col("html").cast("string").alias("html"))
 
     def run(batches):
-        sums: dict[tuple[str, str], float] = {}
+        sums: dict[tuple[str, tuple[bytes, int]], float] = {}
         for b in steps(batches):
             for host, page in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 for path, s in votes(page).items():
@@ -222,20 +237,20 @@ def consensus(pages: DataFrame, url_col: str = "url", html_col: str = "html") ->
         yield flushed(sums)
 
     def flushed(sums):
-        return pa.RecordBatch.from_arrays([pa.array([k[0] for k in sums], pa.string()), pa.array([k[1] for k in sums], pa.string()), pa.array(list(sums.values()), pa.float64())], ["host", "path", "score"])
+        return pa.RecordBatch.from_arrays([pa.array([k[0] for k in sums], pa.string()), pa.array([k[1][0] for k in sums], pa.binary()), pa.array([k[1][1] for k in sums], pa.int32()), pa.array(list(sums.values()), pa.float64())], ["host", "path", "depth", "score"])
 
-    total = src.mapInArrow(run, SCORED).groupBy("host", "path").agg(F.round(F.sum("score"), 6).alias("score"))
-    w = Window.partitionBy("host")
-    ranked = total.withColumn("share", F.col("score") / F.sum("score").over(w))
-    ranked = ranked.withColumn("rank", F.row_number().over(w.orderBy(F.desc("score"), F.desc(F.length("path")), "path")))
-    return ranked.where(F.col("rank") == 1).where(F.col("share") >= LEAST_SHARE).select("host", "path", "share")
+    total = src.mapInArrow(run, SCORED).groupBy("host", "path", "depth").agg(F.round(F.sum("score"), 6).alias("score"))
+    best = F.min_by(F.struct("path", "score"), F.struct(-F.col("score"), -F.col("depth"), "path")).alias("best")
+    ranked = total.groupBy("host").agg(best, F.sum("score").alias("total"))
+    return ranked.select("host", F.col("best.path").alias("path"), (F.col("best.score") / F.col("total")).alias("share")).where(F.col("share") >= LEAST_SHARE)
 
 
 def extracted(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """A row for every row of pages: its host, the path it was extracted by, whether by consensus, and its text.
 
-    Null pages have a null text and path; empty ones and ones without text have ''. Rows may repeat. Winning paths are
-    written and read again, so that Spark sees their size and broadcasts them only while they are small.
+    Null pages have a null text and path; empty ones and ones without text have ''. Rows may repeat. Deep and very long
+    pages are parsed whole, in time and memory that grow with their length. Ids are cast to long. Winning paths are written
+    and read again, so that Spark sees their size and broadcasts them only while they are small.
     """
     best = written(consensus(pages, url_col, html_col).select(F.col("host").alias("best_host"), F.col("path").alias("best")), f"{shared_dir(pages.sparkSession)}/paths")
     src = only(pages, page_id=id_col, html=html_col, url=url_col).select(F.col("page_id").cast("long").alias("page_id"), F.col("html").cast("string").alias("html"), host_of(F.col("url")).alias("host"))

@@ -1,6 +1,7 @@
 """Language of every word in code-switched text, by a linear-chain conditional random field.
 
-Emissions sum learned weights of a word's affixes, character n-grams and its lexicon entry; transitions between
+Emissions sum learned weights of a word's affixes, character n-grams, its own form and its entries in the languages'
+lexicons, which are taken from the documents fitted on; transitions between
 languages are learned with them. Words are labelled by their marginals from forward-backward, which runs over many
 documents at once, one word of each at a time.
 """
@@ -15,10 +16,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import STEP_CHARS, array_of_lists, cleaned, codepoints, filtered, gather, mix, only, steps, tokens
+from .common import STEP_CHARS, array_of_lists, cleaned, codepoints, filtered, gather, mix, only, steps, tokens, word_hashes
 
-#: Fitted on at most this many documents with a known language, those of least hash of each language in turn: SPANS spans of SPAN words of each.
-MOST_LABELLED, SPANS, SPAN = 4000, 3, 20
+#: Fitted on the whole texts of at most this many documents with a known language, those of least hash of each language in turn.
+MOST_LABELLED = 1000
+#: Training sequences mix the languages by stretches of so many words.
+SPAN = 20
+#: A word is in a language's lexicon if the documents fitted on use it so often at least.
+LEXICON_LEAST = 2
 BUCKETS, EPOCHS, RATE = 1 << 16, 4, 0.4
 #: Distinct words whose features are laid out at a time.
 WORDS_AT_ONCE = 30_000
@@ -29,7 +34,14 @@ LEAST_SHARE = 0.5
 LABELS = "doc_id long, lang string, share double, confidence double, n_words int, switches int, keep boolean, spans array<struct<first:int,words:int,lang:string>>"
 
 
-def features(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+@dataclass
+class Lexicon:
+    keys: np.ndarray  # sorted hashes of words
+    at: np.ndarray  # offsets into languages, by key
+    languages: np.ndarray  # that use the word
+
+
+def features(words: pa.Array, lexicon: Lexicon | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(buckets, offsets by word) of the features of cleaned words; a word without letters or digits has none."""
     points, at = codepoints(words)
     n = np.diff(at)
@@ -52,6 +64,13 @@ def features(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix((p << np.uint64(20)) + place.astype(np.uint64)), dtype=np.uint64)))
         out.append(mix(total[at[1:]] - total[at[:-1]])[whole])
         owner.append(whole)
+        if lexicon is not None and len(lexicon.keys):
+            key = word_hashes(words)
+            entry = np.minimum(np.searchsorted(lexicon.keys, key), len(lexicon.keys) - 1)
+            hit = np.flatnonzero((lexicon.keys[entry] == key) & (n > 0))
+            many = np.diff(lexicon.at)[entry[hit]]
+            out.append(mix(lexicon.languages[gather(lexicon.at[entry[hit]], many)].astype(np.uint64) * np.uint64(8) + np.uint64(1 << 40)))
+            owner.append(np.repeat(hit, many))
     bucket, owner = (np.concatenate(out) % np.uint64(BUCKETS)).astype(np.int64), np.concatenate(owner)
     order = np.argsort(owner, kind="stable")
     return bucket[order], np.concatenate(([0], np.cumsum(np.bincount(owner, minlength=len(n)))))
@@ -71,6 +90,7 @@ class Model:
     languages: list[str]
     weights: np.ndarray  # buckets x languages
     moves: np.ndarray  # log weights, from x to
+    lexicon: Lexicon
 
 
 def forward_backward(em: np.ndarray, starts: np.ndarray, lengths: np.ndarray, moves: np.ndarray) -> np.ndarray:
@@ -121,7 +141,13 @@ def train(spans: list[tuple[str, list[str]]], seed: int = 5) -> Model | None:
     if len(words) < T:
         words, labels = (words * (T // len(words) + 1))[:T], np.resize(labels, T)
     distinct, code = np.unique(np.array(words, dtype=object).astype(str), return_inverse=True)
-    bucket, at = features(pa.array(distinct.tolist(), pa.string()))
+    named = pa.array(distinct.tolist(), pa.string())
+    uses = np.bincount(code.ravel() * K + labels, minlength=len(distinct) * K).reshape(-1, K)[:, :-1] >= LEXICON_LEAST
+    known = np.flatnonzero(uses.any(axis=1))
+    keys = word_hashes(named)[known]
+    known, keys = known[np.argsort(keys)], np.sort(keys)
+    lexicon = Lexicon(keys, np.concatenate(([0], np.cumsum(uses[known].sum(axis=1)))), np.nonzero(uses[known])[1])
+    bucket, at = features(named, lexicon)
     code, gold = code.reshape(rows, T), labels.reshape(rows, T)
     w, g2 = np.zeros((BUCKETS, K), np.float32), np.full((BUCKETS, K), 1e-6, np.float32)
     moves, m2 = (np.eye(K) * 2.0), np.full((K, K), 1e-6)
@@ -156,38 +182,31 @@ def train(spans: list[tuple[str, list[str]]], seed: int = 5) -> Model | None:
             m2 += gm * gm
             w += RATE * gw / np.sqrt(g2) * (g2 > 2e-6)
             moves += 0.1 * gm / np.sqrt(m2)
-    return Model(languages, w, moves - moves.max())
+    return Model(languages, w, moves - moves.max(), lexicon)
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", most: int = MOST_LABELLED) -> Model | None:
-    """A model of the languages named in lang_col, from at most `most` documents; None if no document names one."""
+    """A model of the languages named in lang_col, from the whole texts of at most `most` documents; None if none names one.
+
+    Of rows that share an id the first by language and text counts.
+    """
     src = only(docs, doc_id=id_col, text=text_col, lang=lang_col).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.lower(F.trim("lang")).alias("lang"))
     src = src.where("text is not null and lang is not null and lang not in ('', 'und')")
     nth = F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))
-    ranked = src.select("lang", F.xxhash64("doc_id").alias("h"), "doc_id").withColumn("nth", nth).where(F.col("nth") <= most)
-    chosen = ranked.orderBy("nth", "h", "doc_id").limit(most).select("doc_id").distinct()
+    one = src.groupBy("doc_id").agg(F.min("lang").alias("lang")).withColumn("h", F.xxhash64("doc_id"))
+    chosen = one.withColumn("nth", nth).where(F.col("nth") <= most).orderBy("nth", "h", "doc_id").limit(most).select("doc_id")
 
     def run(batches):
         for b in steps(batches):
             offsets, codes, words = tokens(b.column(1))
             clean = cleaned(words)
-            real = pc.not_equal(clean, "").to_numpy(zero_copy_only=False)
-            which, at, kept = [], [0], []
-            for d in range(b.num_rows):
-                own = codes[offsets[d] : offsets[d + 1]]
-                own = own[real[own]]
-                for k in range(SPANS):
-                    lo = max(0, (len(own) - SPAN) * k // max(1, SPANS - 1))
-                    part = own[lo : lo + SPAN] if k == 0 or len(own) > SPAN * (k + 1) else own[:0]
-                    if len(part):
-                        which.append(d), kept.append(part), at.append(at[-1] + len(part))
-            flat = clean.take(pa.array(np.concatenate(kept) if kept else np.zeros(0, np.int64)))
-            rows = pa.array(which, pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column(0).take(rows), b.column(2).take(rows), array_of_lists(flat, np.array(at))], ["doc_id", "lang", "words"])
-
-    got = src.join(F.broadcast(chosen), "doc_id").mapInArrow(run, "doc_id long, lang string, words array<string>").toArrow()
-    rows = sorted(zip(got["doc_id"].to_pylist(), got["lang"].to_pylist(), got["words"].to_pylist()))[: most * SPANS]
-    return train([(lang, words) for _, lang, words in rows])
+            real = pc.not_equal(clean, "").to_numpy(zero_copy_only=False)[codes]
+            n = summed(real[:, None].astype(np.int64), offsets)[:, 0]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), array_of_lists(clean.take(pa.array(codes[real])), np.concatenate(([0], np.cumsum(n))))], ["doc_id", "lang", "words"])
+
+    rows = src.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min(F.struct("lang", "text")).alias("x"))  # `most` rows
+    got = rows.select("doc_id", "x.text", "x.lang").mapInArrow(run, "doc_id long, lang string, words array<string>").toArrow()
+    return train([(lang, words[k : k + SPAN]) for _, lang, words in sorted(zip(got["doc_id"].to_pylist(), got["lang"].to_pylist(), got["words"].to_pylist())) for k in range(0, len(words), SPAN)])
 
 
 def label(texts: pa.Array, m: Model):
@@ -197,7 +216,7 @@ def label(texts: pa.Array, m: Model):
     scores = np.zeros((len(words), len(m.languages)), np.float32)
     for lo in range(0, len(words), WORDS_AT_ONCE):
         hi = min(lo + WORDS_AT_ONCE, len(words))
-        bucket, at = features(clean.slice(lo, hi - lo))
+        bucket, at = features(clean.slice(lo, hi - lo), m.lexicon)
         scores[lo:hi] = summed(m.weights[bucket], at)
     real = pc.not_equal(clean, "").to_numpy(zero_copy_only=False)
     em = factors(scores)[codes] if len(words) else np.ones((0, len(m.languages)), np.float32)
@@ -221,7 +240,8 @@ def identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """A row for every row of docs: its main language and expected share, mean confidence, spans of one language.
 
     Null, empty and wordless texts: lang null, share 0, no words, and they go. Signs between words take their
-    neighbours' language. Without any named language in the table lang is null and every text with a word stays.
+    neighbours' language. Without any named language in the table lang is null and every text with a word stays. Ties go
+    to the first language by name. Whole texts count, however long; repeated rows are judged alike. Ids are cast to long.
     """
     shared = docs.sparkSession.sparkContext.broadcast(fit(docs, id_col, text_col, lang_col, most))
     item = pa.struct([("first", pa.int32()), ("words", pa.int32()), ("lang", pa.string())])

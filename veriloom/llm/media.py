@@ -2,7 +2,8 @@
 
 A payload's SHA-256 is its name in a shard, and each different payload is stored once. Rows carry the digest, shard file,
 offset and length. Payloads are deflated one by one, so that a read of a payload's first bytes is enough for
-its header. Metadata columns are filled by such reads, in order of shard and offset, never by whole payloads.
+its header. Metadata columns are filled by such reads, in order of shard and offset; a read grows while the header goes on,
+to the payload's end if need be.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ import tarfile
 import uuid
 import zlib
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,8 +25,12 @@ from .common import filesystem, only, shared_dir, written
 
 #: A shard holds about so many bytes of stored payloads.
 SHARD_BYTES = 256 * 1024 * 1024
-#: Header reads take so many stored bytes, and twice as many again while a header isn't complete.
-HEADER, MOST_HEADER = 1024, 1 << 20
+#: Header reads take so many stored bytes first, and as many as they have again while a header isn't complete.
+HEADER = 1024
+#: Whether a payload of no known kind is text is told by so many first bytes, as in the WHATWG's MIME sniffing.
+SNIFFED = 1445
+#: Payloads go to one of so many cells by digest; those of cells with a repeated digest are brought together.
+CELLS = 1 << 24
 LEVEL = 1
 STORED = "digest string, file string, offset long, length long, raw_length long"
 METADATA = "mime string, width int, height int, channels int, sample_rate int, language string, charset string, title string"
@@ -78,7 +84,7 @@ def metadata(data: bytes, whole: bool) -> dict:
                 return {"mime": "image/jpeg", "width": w, "height": h, "channels": c}
             at += 1 if data[at + 1] == 0xFF else 2 + int.from_bytes(data[at + 2 : at + 4], "big")
         return {"mime": "image/jpeg"}
-    if re.match(rb"\s*(?:<!--.*?-->\s*)*<(?:!doctype\s+html|html|head|body)\b", data[:1024], re.I | re.S):
+    if is_html(data, whole):
         end = re.search(rb"</head\s*>|<body\b", data, re.I)
         if not end and not whole:
             raise Short
@@ -90,12 +96,33 @@ def metadata(data: bytes, whole: bool) -> dict:
 
         title = first(r"<title[^>]*>(.*?)</title\s*>")
         return {"mime": "text/html", "language": first(r"<html\b[^>]*?\blang\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))"), "charset": first(r"<meta\b[^>]*?\bcharset\s*=\s*[\"']?\s*([^\s\"'/>;]+)"), "title": None if title is None else entities.unescape(title).strip()}
+    need(data, SNIFFED, whole)
+    start = data[:SNIFFED]
     try:
-        data[:32].decode("utf-8")
+        start.decode("utf-8")
     except UnicodeDecodeError as e:
-        if e.start < len(data[:32]) - 3:
+        if e.start < len(start) - 3:
             return {"mime": "application/octet-stream"}
-    return {"mime": "application/octet-stream" if b"\x00" in data[:32] else "text/plain"}
+    return {"mime": "application/octet-stream" if b"\x00" in start else "text/plain"}
+
+
+def is_html(data: bytes, whole: bool) -> bool:
+    """Whether HTML begins behind white space, comments, declarations and a byte order mark; Short if that can't be told yet."""
+    at = 3 if data[:3] == b"\xef\xbb\xbf" else 0
+    while True:
+        at = re.compile(rb"\s*").match(data, at).end()
+        for opening, closing in ((b"<!--", b"-->"), (b"<?", b"?>")):
+            if data.startswith(opening, at):
+                end = data.find(closing, at + len(opening))
+                if end < 0 and not whole:
+                    raise Short
+                at = len(data) if end < 0 else end + len(closing)
+                break
+        else:
+            break
+    if len(data) - at < 64 and not whole and data[at : at + 1] in (b"", b"<"):
+        raise Short
+    return re.compile(rb"<(?:!doctype\s+html|html|head|body)\b", re.I).match(data, at) is not None
 
 
 def entry(name: str, size: int) -> bytes:
@@ -107,14 +134,27 @@ def entry(name: str, size: int) -> bytes:
 def store(payloads: DataFrame, at: str, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """Write the different payloads of (payload: binary) to tar shards below `at`, as the table STORED.
 
-    Payloads that occur once are written by the tasks that read them, without a shuffle; only those that repeat are brought
-    together first. A task writes shards under names of its own and reports them, so a repeated task leaves files that no
-    row points to, never a broken one. Nulls are not stored.
+    Payloads of cells without a repeated digest are written by the tasks that read them, without a shuffle; only the other
+    cells are brought together first. A task writes shards under names of its own and reports them, so a repeated task
+    leaves files that no row points to, never a broken one. Nulls are not stored.
     """
     keyed = payloads.where("payload is not null").select(F.sha2("payload", 256).alias("digest"), "payload")
-    repeated = written(keyed.groupBy("digest").count().where("count > 1").select("digest"), f"{at}/repeated")
-    once = keyed.join(repeated, "digest", "left_anti")
-    many = keyed.join(repeated, "digest", "left_semi").groupBy("digest").agg(F.first("payload").alias("payload"))
+    cell = F.conv(F.substring("digest", 1, 6), 16, 10).cast("int")
+    shared = keyed.groupBy("digest").count().where("count > 1").select(cell.alias("cell")).distinct().toArrow()["cell"]  # CELLS at most
+    bitmap = np.zeros(CELLS, bool)
+    bitmap[shared.to_numpy()] = True
+    marked = keyed.sparkSession.sparkContext.broadcast(np.packbits(bitmap))
+
+    def chosen(repeated: bool):
+        def run(batches):
+            bits = np.unpackbits(marked.value).view(bool)
+            for b in batches:
+                at = np.array([int(x[:6], 16) for x in b.column(0).to_pylist()], np.int64)
+                yield b.filter(pa.array(bits[at] == repeated))
+
+        return keyed.mapInArrow(run, "digest string, payload binary")
+
+    once, many = chosen(False), chosen(True).groupBy("digest").agg(F.first("payload").alias("payload"))
 
     def write(batches):
         fs, path = filesystem(f"{at}/tar")
@@ -147,16 +187,15 @@ def store(payloads: DataFrame, at: str, shard_bytes: int = SHARD_BYTES) -> DataF
 
 def header(f, offset: int, length: int) -> dict:
     """Metadata of the payload stored there, from as few of its first bytes as hold the header."""
-    size, data = HEADER, b""
+    d, data, at = zlib.decompressobj(), bytearray(), 0
     while True:
-        size = min(size, length)
-        d = zlib.decompressobj()
-        data = d.decompress(f.read_at(size, offset))
-        whole = size == length or size >= MOST_HEADER
+        size = min(max(HEADER, at), length - at)
+        data += d.decompress(f.read_at(size, offset + at))
+        at += size
         try:
-            return metadata(data, whole)
+            return metadata(bytes(data), at >= length)
         except Short:
-            size *= 4
+            pass
 
 
 def headers(stored: DataFrame) -> DataFrame:
@@ -204,7 +243,8 @@ def media_columns(rows: DataFrame, id_col: str = "page_id", payload_col: str = "
     """A row for every row: its id, where its payload is stored, and the metadata columns of the payload's header.
 
     Equal payloads are stored once and have one place. A null payload has nulls; an empty one is stored like any other.
-    Ids may be null and may repeat. An empty table gives none, and no shard.
+    Ids may be null and may repeat; they are cast to long. An empty table gives none, and no shard. A header that never
+    ends is read to the payload's end. HTML may begin behind comments of any length.
     """
     at = shared_dir(rows.sparkSession)
     src = only(rows, page_id=id_col, payload=payload_col).select(F.col("page_id").cast("long").alias("page_id"), F.col("payload").cast("binary").alias("payload"))

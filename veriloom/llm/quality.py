@@ -27,6 +27,8 @@ TOXIC_FEATURES, SHARED = 300, 0.3
 #: Documents are compared with the labelled ones in blocks of this many.
 BLOCK = 2048
 REJECT_BELOW = 0.5
+#: Cosines are rounded to one of so many steps, so that equal documents tie wherever they stand in a block.
+STEPS = np.float32(1 << 20)
 SCORES = "doc_id long, quality_score double, toxic_score double, keep boolean"
 
 
@@ -151,13 +153,22 @@ def train_toxic(doc: np.ndarray, place: np.ndarray, every: np.ndarray, df: np.nd
 
 
 def vote(vectors: np.ndarray, m: Model, k: int = NEIGHBOURS) -> tuple[np.ndarray, np.ndarray]:
-    """Similarity-weighted labels of the k nearest labelled documents, by exact cosines in blocks; ties go to the first."""
+    """Similarity-weighted labels of the k nearest labelled documents, by exact cosines in blocks.
+
+    Cosines count to STEPS of one; of equal ones at the boundary the first labelled documents (of least id) are taken.
+    """
     quality, toxic = np.full(len(vectors), 0.0), np.full(len(vectors), 0.0)
     k = min(k, len(m.vectors))
     for lo in range(0, len(vectors), BLOCK // 4):
         cos = vectors[lo : lo + BLOCK // 4] @ m.vectors.T
-        top = np.argpartition(-cos, k - 1, axis=1)[:, :k]
-        w = np.maximum(np.take_along_axis(cos, top, 1), 0).astype(float) ** 4 + 1e-9
+        cos *= STEPS
+        np.rint(cos, out=cos)
+        top = np.argpartition(cos, len(m.vectors) - k, axis=1)[:, -k:]
+        least = np.take_along_axis(cos, top[:, :1], 1)  # the k-th largest
+        for row in np.flatnonzero(np.count_nonzero(cos >= least, axis=1) > k):
+            over, equal = np.flatnonzero(cos[row] > least[row]), np.flatnonzero(cos[row] == least[row])
+            top[row] = np.concatenate((over, equal[: k - len(over)]))
+        w = np.maximum(np.take_along_axis(cos, top, 1) / STEPS, 0).astype(float) ** 4 + 1e-9
         quality[lo : lo + len(cos)] = (w * m.quality[top]).sum(1) / w.sum(1)
         toxic[lo : lo + len(cos)] = (w * m.toxic[top]).sum(1) / w.sum(1)
     return quality, toxic
@@ -221,7 +232,8 @@ def classified(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
     """doc_id, quality_score, toxic_score, keep, a row for every row of docs.
 
     keep: quality_score is REJECT_BELOW at least and toxic_score below it. Null, empty and wordless texts have scores 0
-    and go. Repeated rows get equal scores. Without any labelled document every text with a word scores 1 and stays.
+    and go. Repeated rows get equal scores. Without any labelled document every text with a word scores 1 and stays. Whole
+    texts count, however long. Ids are cast to long.
     """
     shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, id_col, text_col, most))
 

@@ -5,9 +5,11 @@ Files hold one gzip member for each record, so that any record can be read by it
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import uuid
 import zlib
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -20,6 +22,8 @@ GAP, MOST_AT_ONCE = 64 * 1024, 8 * 1024 * 1024
 LEVEL = 3
 INDEX = "file string, offset long, length long, type string, record_id string, url string, date string, digest string, payload_bytes long"
 RECORD = "record_id string, url string, date string, digest string, verified boolean, payload binary"
+#: Marks a target URI that is percent-encoded here.
+ESCAPED = "x-escaped-target-uri"
 DATE = "2000-01-01T00:00:00Z"
 
 
@@ -27,33 +31,57 @@ def digest(payload: bytes) -> str:
     return "sha256:" + hashlib.sha256(payload).hexdigest()
 
 
-def header_value(x: object) -> str:
-    """A value fit for a header line: line ends would begin another header, so they are percent-encoded with '%' itself."""
-    return str(x).replace("%0", "%250").replace("\r", "%0D").replace("\n", "%0A") if any(c in str(x) for c in "\r\n") or "%0" in str(x) else str(x)
+def verified(payload: bytes, label: str | None) -> bool | None:
+    """Whether a payload has the digest `algorithm:value`, hexadecimal or base32; None if that can't be told."""
+    name, _, value = (label or "").partition(":")
+    name, value = name.strip().lower().replace("-", ""), value.strip()
+    if name not in ("md5", "sha1", "sha256", "sha384", "sha512") or not value:
+        return None
+    want = hashlib.new(name, payload).digest()
+    return value.lower() == want.hex() or value.upper().rstrip("=") == base64.b32encode(want).decode().rstrip("=")
 
 
-def header_text(x: str) -> str:
-    return x.replace("%0D", "\r").replace("%0A", "\n").replace("%250", "%0")
+def escaped(x: str) -> str | None:
+    """x percent-encoded, if it can't stand in a header line as it is: for line ends, or blanks at its ends; else None."""
+    return quote(x, safe="") if "\r" in x or "\n" in x or x != x.strip(" \t") or not x else None
+
+
+def url_of(headers: dict[str, str]) -> str | None:
+    """The target URI as it was written: percent-encoding is undone only where member() marked its own."""
+    url = headers.get("warc-target-uri")
+    return unquote(url) if url is not None and ESCAPED in headers else url
 
 
 def member(record_id: str, url: str | None, payload: bytes | None, date: str = DATE) -> bytes:
     """A gzip member with one resource record. A null payload is marked by a header of its own, apart from an empty one."""
     body = payload or b""
-    lines = ["WARC/1.1", "WARC-Type: resource", f"WARC-Record-ID: <{header_value(record_id)}>", f"WARC-Date: {date}"]
-    lines += [f"WARC-Target-URI: {header_value(url)}"] * (url is not None) + ["X-Null-Payload: 1"] * (payload is None)
+    lines = ["WARC/1.1", "WARC-Type: resource", f"WARC-Record-ID: <{record_id}>", f"WARC-Date: {date}"]
+    if url is not None:
+        other = escaped(url)
+        lines += [f"WARC-Target-URI: {url if other is None else other}", *["X-Escaped-Target-URI: 1"] * (other is not None)]
+    lines += ["X-Null-Payload: 1"] * (payload is None)
     lines += [f"WARC-Payload-Digest: {digest(body)}", "Content-Type: text/html", f"Content-Length: {len(body)}"]
     c = zlib.compressobj(LEVEL, zlib.DEFLATED, 31)
     return c.compress("\r\n".join(lines).encode("utf-8", "surrogatepass") + b"\r\n\r\n" + body + b"\r\n\r\n") + c.flush()
 
 
 def parse(record: bytes) -> tuple[dict[str, str], bytes]:
-    """(headers by lower-case name, payload) of one record; ValueError if it is none."""
+    """(headers by lower-case name, payload) of one record; ValueError if it is none.
+
+    The payload of a record of an HTTP message is the message's body, as it was transferred.
+    """
     head, mark, rest = record.partition(b"\r\n\r\n")
     lines = head.decode("utf-8", "surrogatepass").split("\r\n")
     if not mark or not lines[0].startswith("WARC/"):
         raise ValueError("no WARC record here")
-    headers = {k.strip().lower(): v.strip(" ") for k, _, v in (x.partition(":") for x in lines[1:])}
-    return headers, rest[: int(headers["content-length"])]
+    headers: dict[str, str] = {}
+    for x in lines[1:]:
+        k, _, v = x.partition(":")
+        headers.setdefault(k.strip().lower(), v.strip(" \t"))
+    body = rest[: int(headers["content-length"])]
+    if headers.get("content-type", "").replace(" ", "").lower().startswith("application/http"):
+        body = body.partition(b"\r\n\r\n")[2]
+    return headers, body
 
 
 def write(docs: DataFrame, at: str, id_col: str, url_col: str, html_col: str) -> list[str]:
@@ -113,7 +141,7 @@ def index(spark: SparkSession, files: list[str]) -> DataFrame:
                 with fs.open_input_stream(path, compression=None) as f:
                     for offset, length, record in members(f):
                         h, payload = parse(record)
-                        rows.append((uri, offset, length, h.get("warc-type"), header_text(h.get("warc-record-id", "").strip("<>")), header_text(h["warc-target-uri"]) if "warc-target-uri" in h else None, h.get("warc-date"), h.get("warc-payload-digest") or digest(payload), None if "x-null-payload" in h else len(payload)))
+                        rows.append((uri, offset, length, h.get("warc-type"), h.get("warc-record-id", "").strip("<>"), url_of(h), h.get("warc-date"), h.get("warc-payload-digest") or digest(payload), None if "x-null-payload" in h else len(payload)))
                 if rows:
                     types = [pa.string(), pa.int64(), pa.int64(), *[pa.string()] * 5, pa.int64()]
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], ["file", "offset", "length", "type", "record_id", "url", "date", "digest", "payload_bytes"])
@@ -138,7 +166,7 @@ def fetch(selected: DataFrame) -> DataFrame:
     """The records of index rows (file, offset, length, digest), by sorted, coalesced reads of their files.
 
     Rows are brought together by file and place in it, not through one task for each file. verified says whether the
-    payload has its digest. Repeated rows are read once and returned as often as they are given.
+    payload has its digest, null if the digest is of an unknown kind. Repeated rows are read once and returned as often as they are given.
     """
     rows = selected.select("file", "offset", "length", "digest").repartitionByRange("file", "offset").sortWithinPartitions("file", "offset")
 
@@ -158,8 +186,8 @@ def fetch(selected: DataFrame) -> DataFrame:
                         for k in own:
                             o = offsets[lo + k] - begin
                             h, payload = parse(zlib.decompress(data[o : o + lengths[lo + k]], 31))
-                            ok = digest(payload) == digests[lo + k]
-                            out.append((header_text(h.get("warc-record-id", "").strip("<>")), header_text(h["warc-target-uri"]) if "warc-target-uri" in h else None, h.get("warc-date"), digests[lo + k], ok, None if "x-null-payload" in h else payload))
+                            ok = verified(payload, digests[lo + k])
+                            out.append((h.get("warc-record-id", "").strip("<>"), url_of(h), h.get("warc-date"), digests[lo + k], ok, None if "x-null-payload" in h else payload))
                         types = [pa.string(), pa.string(), pa.string(), pa.string(), pa.bool_(), pa.binary()]
                         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], ["record_id", "url", "date", "digest", "verified", "payload"])
                 lo = hi
@@ -171,7 +199,7 @@ def through_warc(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     """pages written as WARC files, indexed, selected by `where` over the index (all by default), and read back by ranges.
 
     page_id, url, digest, verified, html: null ids, URLs and payloads come back null, empty ones empty, rows as often as
-    they were. An empty table gives none.
+    they were. An empty table gives none. URLs come back as they were, with any signs in them; ids are cast to long.
     """
     spark = pages.sparkSession
     at = shared_dir(spark)
