@@ -6,9 +6,10 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
-from pyspark.sql import functions as F
 
 from veriloom.llm import packing as P
+from veriloom.llm import spm
+from veriloom.llm.queries import TOKENIZER as FILE
 
 
 def bins_of(placed):
@@ -84,28 +85,63 @@ def test_fixed_sets_cost_no_bin(case):
             assert 1 + fewest(rest, capacity) == fewest(lengths, capacity)
 
 
-def test_query_places_every_token(spark, docs):
-    rows = P.packed(docs).toPandas()
-    want = {r[0]: r[1] for r in docs.select("doc_id", P.token_count(F.col("text"))).collect() if r[1]}
-    assert rows.groupby("doc_id").n_tokens.sum().to_dict() == want
-    assert rows.groupby("bin_id").n_tokens.sum().max() <= P.CAPACITY
-    for _, b in rows.sort_values("bin_offset").groupby("bin_id"):
-        assert (b.bin_offset.to_numpy()[1:] >= (b.bin_offset + b.n_tokens).to_numpy()[:-1]).all()
-    for _, d in rows.sort_values("piece").groupby("doc_id"):
-        assert (d.start.to_numpy() == np.concatenate(([0], d.n_tokens.cumsum()[:-1]))).all()
-    least = -(-sum(want.values()) // P.CAPACITY)
-    assert rows.bin_id.nunique() <= 1.1 * least + 1
+def texts_of(rows, v):
+    """The texts that the sequences' ids decode to, by document; pieces of a document in order."""
+    from collections import defaultdict
+
+    parts = defaultdict(dict)
+    for r in rows:
+        at = 0
+        assert sum(r["lengths"]) == r["n_tokens"] == len(r["ids"])
+        for doc, piece, start, n in zip(r["doc_ids"], r["pieces"], r["starts"], r["lengths"]):
+            parts[doc].setdefault((piece, start), []).append(r["ids"][at : at + n])
+            at += n
+    out = {}
+    for doc, got in parts.items():
+        copies = min(map(len, got.values()))
+        assert all(len(x) == copies for x in got.values())
+        flat, starts = [], []
+        for (_, start), x in sorted(got.items()):
+            starts.append(start == len(flat))
+            flat += x[0]
+        assert all(starts)
+        data, _ = spm.decode(np.array(flat), np.array([0, len(flat)]), v)
+        out[doc] = data.tobytes().decode(), copies
+    return out
+
+
+def test_sequences_decode_to_every_text(spark, docs):
+    rows = P.packed(docs, FILE).collect()
+    want = {r["doc_id"]: (r["text"], 1) for r in docs.select("doc_id", "text").collect() if r["text"]}
+    assert texts_of(rows, spm.vocabulary(FILE)) == want
+    ids = {r["doc_id"]: r["n_tokens"] for r in spm.tokenized(docs, FILE).collect()}
+    assert sum(r["n_tokens"] for r in rows) == sum(ids.values()) and max(r["n_tokens"] for r in rows) <= P.CAPACITY
+    assert len({r["bin_id"] for r in rows}) == len(rows) <= 1.1 * -(-sum(ids.values()) // P.CAPACITY) + 1
+
+
+def test_sequences_follow_the_plan(spark, docs):
+    """The number of sequences, what fills each and which are fixed, against the plan of all lengths."""
+    from collections import Counter
+
+    capacity = 200
+    lengths = [x for r in spm.tokenized(docs, FILE).collect() for x in [capacity] * (r["n_tokens"] // capacity) + [r["n_tokens"] % capacity] if x]
+    placed, n = P.plan(np.bincount(lengths, minlength=capacity + 1), capacity)
+    rows = P.packed(docs.repartition(5), FILE, capacity=capacity).collect()
+    assert len(rows) == n and any(r["fixed"] for r in rows) and not all(r["fixed"] for r in rows)
+    assert Counter(tuple(r["lengths"]) for r in rows) == Counter(tuple(x for _, x in sorted(b)) for b in bins_of(placed).values())
+    fixed = {first + k // each for _, _, items, first, each, _, sure in placed for k in range(items) if sure}
+    assert {r["bin_id"] for r in rows if r["fixed"]} == fixed
 
 
 def test_hard_rows(hard, empty):
-    rows = P.packed(hard).toPandas()
-    assert set(rows.doc_id.dropna()) == {1, 4, 5, 6, 7, 8} and rows.doc_id.isna().sum() == 1
-    assert (rows.doc_id == 1).sum() == 2
-    assert P.packed(empty).count() == 0
-    assert P.packed(hard, length=F.lit(None).cast("int")).count() == 0
+    rows = P.packed(hard, FILE).collect()
+    got = texts_of(rows, spm.vocabulary(FILE))
+    assert set(got) == {None, 1, 4, 5, 6, 7, 8} and got[1] == ("plain words of a short text here", 2)
+    assert got[5][0] == "the quick word of many words " * 20_000 and got[7][0] == "é ▁ \x00 😀 日本語"
+    assert P.packed(empty, FILE).count() == 0
 
 
 @pytest.mark.parametrize("capacity", [1, 7, 4096])
 def test_other_capacities(docs, capacity):
-    rows = P.packed(docs.limit(20), capacity=capacity).groupBy("bin_id").agg(F.sum("n_tokens").alias("n")).toPandas()
-    assert rows.n.max() <= capacity
+    rows = P.packed(docs.where("n_chars < 400").limit(20), FILE, capacity=capacity).collect()
+    assert max(len(r["ids"]) for r in rows) <= capacity

@@ -4,10 +4,10 @@ import numpy as np
 
 import __spark_entry__
 import corpus_pipeline
-from veriloom.llm import langid, packing, quality
-from veriloom.llm import simhash as S
-from veriloom.llm.common import only
+from tests.llm.test_packing import texts_of
 from tests.llm.test_simhash import brute_groups
+from veriloom.llm import langid, quality, spm
+from veriloom.llm.queries import TOKENIZER
 
 SF = "/root/testdata/sf0.001"
 
@@ -34,10 +34,8 @@ def test_pipeline_matches_stages_by_hand(spark, docs, labels):
     rows = [r for r, k in zip(rows, langid.kept_of(lang, share, model)) if k]
     groups = brute_groups([r["doc_id"] for r in rows], [r["text"] for r in rows])
     rows = [r for r in rows if groups[r["doc_id"]] == r["doc_id"]]
-    got = corpus_pipeline.run(spark, SF).toPandas()
-    assert set(got.doc_id) == {r["doc_id"] for r in rows if r["text"]}
-    assert got.groupby("bin_id").n_tokens.sum().max() <= packing.CAPACITY
-    assert got.n_tokens.sum() == sum(-(-len(r["text"].encode()) // packing.BYTES_PER_TOKEN) for r in rows)
+    got = texts_of(corpus_pipeline.run(spark, SF).collect(), spm.vocabulary(TOKENIZER))
+    assert got == {r["doc_id"]: (r["text"], 1) for r in rows if r["text"]}
 
 
 def test_stages_keep_the_columns(spark, docs):
@@ -52,10 +50,28 @@ def test_clean_documents_stay(spark, docs, labels):
     assert np.mean([i in ids for i in clean]) > 0.97
 
 
-def test_pipeline_hard_rows(spark, hard, empty):
-    for docs in (hard, empty):
-        docs = only(docs, **{c: c for c in ("doc_id", "text", "lang", "source", "n_chars")})
-        for _, stage in corpus_pipeline.STAGES:
-            docs = stage(spark, docs, SF)
-        docs.collect()
-    assert S.RADIUS < S.BITS
+def test_pipeline_hard_rows(spark, hard, empty, labels, tmp_path):
+    """run() over tables with nulls, repeated ids, very long texts, clashing names, and over empty ones."""
+    labels.write.parquet(f"{tmp_path}/hard/labels.parquet")
+    renamed = hard.toDF(*[f"c{k}" for k in range(len(hard.columns))])  # Parquet can't hold names that differ by case alone
+    names = ["doc_id", "text", "lang", "source", "n_chars", "label", "path", "digest", "keep", "fp", "shard"]
+    plain = renamed.toDF(*names)
+    plain.write.parquet(f"{tmp_path}/hard/documents.parquet")
+    got = texts_of(corpus_pipeline.run(spark, f"{tmp_path}/hard").collect(), spm.vocabulary(TOKENIZER))
+    texts = {}
+    for r in plain.collect():
+        texts.setdefault(r["doc_id"], r["text"])
+    assert all(got[k][0] == texts[k] for k in got) and not {2, 3, 4, 6} & set(got)
+    m = quality.fit(plain, labels)
+    import pyarrow as pa
+
+    q, t = quality.score(pa.array([r["text"] for r in plain.collect()]), m)
+    stays = {r["doc_id"] for r, a, b in zip(plain.collect(), q, t) if a >= quality.REJECT_BELOW and b < quality.REJECT_BELOW}
+    assert set(got) <= stays
+    labels.limit(0).write.parquet(f"{tmp_path}/none/labels.parquet")
+    plain.limit(0).write.parquet(f"{tmp_path}/none/documents.parquet")
+    assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0
+    one = plain.where("doc_id in (1, 8)")
+    one.write.parquet(f"{tmp_path}/one/documents.parquet")
+    labels.limit(0).write.parquet(f"{tmp_path}/one/labels.parquet")
+    assert texts_of(corpus_pipeline.run(spark, f"{tmp_path}/one").collect(), spm.vocabulary(TOKENIZER)) == {1: ("plain words of a short text here", 2)}

@@ -8,22 +8,24 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from veriloom.llm import queries as Q
 from veriloom.llm import spm as P
 
-pytestmark = pytest.mark.skipif(not os.path.exists(P.MODEL_FILE), reason="no vocabulary file")
+FILE = Q.TOKENIZER
+pytestmark = pytest.mark.skipif(not os.path.exists(FILE), reason="no vocabulary file")
 
 
 @pytest.fixture(scope="module")
 def pieces():
     import sentencepiece
 
-    m = sentencepiece.SentencePieceProcessor(model_file=P.MODEL_FILE)
+    m = sentencepiece.SentencePieceProcessor(model_file=FILE)
     return {m.id_to_piece(k).replace(P.MARK, " "): (k, m.get_score(k)) for k in range(m.get_piece_size()) if not (m.is_control(k) or m.is_unknown(k) or m.is_byte(k))}, m
 
 
 def brute(text, pieces, m):
     """Best score of the whole text, not cut into words, and the ids' score."""
-    table, least = pieces[0], P.vocabulary().least
+    table, least = pieces[0], P.vocabulary(FILE).least
     text, best = " " + text, [0.0]
     for e in range(1, len(text) + 1):
         top = best[e - 1] + least - P.PENALTY
@@ -35,7 +37,7 @@ def brute(text, pieces, m):
 
 
 def score_of(ids, m):
-    total, k, least = 0.0, 0, P.vocabulary().least
+    total, k, least = 0.0, 0, P.vocabulary(FILE).least
     while k < len(ids):
         if m.is_byte(int(ids[k])):
             lead = int(m.id_to_piece(int(ids[k]))[3:5], 16)
@@ -48,7 +50,7 @@ def score_of(ids, m):
 
 
 def check(texts, pieces):
-    v = P.vocabulary()
+    v = P.vocabulary(FILE)
     ids, at = P.encode(pa.array(texts, pa.string()), v)
     data, cut = P.decode(ids, at, v)
     for k, t in enumerate(texts):
@@ -70,23 +72,23 @@ def test_any_text(pieces, texts):
 
 
 def test_query_round_trips(spark, docs):
-    rows = P.tokenized(docs)
+    rows = P.tokenized(docs, FILE)
     assert rows.where("not decodes").count() == 0 and rows.count() == docs.count()
-    back = {r["doc_id"]: r["text"] for r in P.detokenized(rows).collect()}
+    back = {r["doc_id"]: r["text"] for r in P.detokenized(rows, FILE).collect()}
     assert back == {r["doc_id"]: r["text"] for r in docs.select("doc_id", "text").collect()}
 
 
 def test_hard_rows(hard, empty):
-    rows = P.tokenized(hard).collect()
+    rows = P.tokenized(hard, FILE).collect()
     assert len(rows) == hard.count() and all(r["decodes"] for r in rows)
     assert all(r["ids"] is None for r in rows if r["doc_id"] == 2) and all(r["ids"] == [] for r in rows if r["doc_id"] == 3)
-    assert P.tokenized(empty).count() == 0 and P.detokenized(P.tokenized(empty)).count() == 0
-    texts = {r["doc_id"]: r["text"] for r in P.detokenized(P.tokenized(hard)).collect()}
+    assert P.tokenized(empty, FILE).count() == 0 and P.detokenized(P.tokenized(empty, FILE), FILE).count() == 0
+    texts = {r["doc_id"]: r["text"] for r in P.detokenized(P.tokenized(hard, FILE), FILE).collect()}
     assert texts[2] is None and texts[3] == "" and texts[7] == "é ▁ \x00 😀 日本語"
 
 
 def test_words_of_equal_length_advance_together():
-    v = P.vocabulary()
+    v = P.vocabulary(FILE)
     words = [" the", " cat", " sat", " and"]
     alone = [P.encode_words(pa.array([w]), v)[0].tolist() for w in words]
     ids, at = P.encode_words(pa.array(words), v)
@@ -97,7 +99,7 @@ def test_words_of_equal_length_advance_together():
 def test_query_gives_the_models_own_ids(spark, docs, pieces):
     odd = ["hello world", "  two  blanks ", " ", " " * 300 + "x", "\n\ttabs\n", "naïve café 日本 😀", "a" * 70, "banana" * 200 + " the", "Ünïcödé\r\n", "￿𐀀"]
     texts = odd + [r["text"] for r in docs.select("text").collect() if r["text"] and P.MARK not in r["text"]]
-    rows = P.tokenized(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    rows = P.tokenized(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), FILE).collect()
     assert len(rows) == len(texts) and all(r["decodes"] for r in rows)
     for r in rows:
         assert r["ids"] == pieces[1].encode(texts[r["doc_id"]])
@@ -105,7 +107,39 @@ def test_query_gives_the_models_own_ids(spark, docs, pieces):
 
 def test_long_words_merge_as_short_ones(monkeypatch):
     words = pa.array([" banana", "ananas", " transformations", "    ", "日本語x"])
-    want = P.encode_words(words, P.vocabulary(), m=P.merges())
+    want = P.encode_words(words, P.vocabulary(FILE), m=P.merges(FILE))
     monkeypatch.setattr(P, "LONG", 0)
-    got = P.encode_words(words, P.vocabulary(), m=P.merges())
+    got = P.encode_words(words, P.vocabulary(FILE), m=P.merges(FILE))
     assert all(np.array_equal(a, b) for a, b in zip(got, want))
+
+
+def test_long_words_go_as_short_ones(monkeypatch):
+    rng = np.random.default_rng(3)
+    words = pa.array(["".join(chr(97 + c) for c in rng.integers(0, 26, n)) for n in (40, 90, 91, 200)])
+    want = P.encode_words(words, P.vocabulary(FILE))
+    monkeypatch.setattr(P, "LONG", 30)
+    got = P.encode_words(words, P.vocabulary(FILE))
+    assert all(np.array_equal(a, b) for a, b in zip(got, want))
+
+
+@pytest.mark.parametrize("kind", ["merges", "viterbi"])
+def test_a_megabyte_without_spaces(kind):
+    import time
+
+    v, m = P.vocabulary(FILE), P.merges(FILE) if kind == "merges" else None
+    text = "".join(chr(97 + c) for c in np.random.default_rng(0).integers(0, 26, 1 << (20 if m else 18)))
+    began = time.perf_counter()
+    ids, at = P.encode(pa.array([text]), v, m)
+    assert time.perf_counter() - began < 60 and P.decode(ids, at, v)[0].tobytes() == text.encode()
+
+
+def test_known_words_are_encoded_alike(monkeypatch, docs):
+    texts = pa.array([r["text"] for r in docs.select("text").limit(60).collect()])
+    v, m = P.vocabulary(FILE), P.merges(FILE)
+    want, at = P.encode(texts, v, m)
+    for most in (10**6, 300):
+        monkeypatch.setattr(P, "KEPT_WORDS", most)
+        known, ids = P.Known(), []
+        for lo in range(0, 60, 7):
+            ids.append(P.encode(texts.slice(lo, 7), v, m, known)[0])
+        assert np.array_equal(np.concatenate(ids), want) and len(known.place) <= most

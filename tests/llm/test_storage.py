@@ -34,15 +34,15 @@ def hard_pages(spark):
 # exact top-k
 
 
-@pytest.mark.parametrize("n,d,k,block", [(300, 16, 5, 64), (257, 3, 10, 300), (40, 64, 50, 16)])
-def test_top_k_is_exact(spark, n, d, k, block):
+@pytest.mark.parametrize("n,d,k,block,every", [(300, 16, 5, 16, 1), (257, 3, 10, 300, 10), (40, 64, 50, 16, 7)])
+def test_top_k_is_exact(spark, n, d, k, block, every):
     rng = np.random.default_rng(n)
     v = rng.standard_normal((n, d))
     v[5:20] = v[5]  # ties
     v[30] = 0
     df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
-    got = sorted((r["vec_id"], r["rank"], r["neighbor_id"], r["score"]) for r in K.top_k(df, k=k, block=block).collect())
-    assert got == sorted(K.brute_force(np.arange(n), v, k))
+    got = sorted((r["vec_id"], r["rank"], r["neighbor_id"], r["score"]) for r in K.top_k(df, k=k, block=block, every=every).collect())
+    assert got == sorted(K.brute_force(np.arange(n), v, k, every))
 
 
 def test_slices_add_up():
@@ -62,7 +62,7 @@ def test_slices_add_up():
 def test_top_k_hard_rows(spark):
     rows = [(1, [1.0, 0.0]), (1, [1.0, 0.0]), (2, None), (3, [float("nan"), 1.0]), (None, [1.0, 1.0]), (4, [0.0, 1.0]), (5, []), (6, [None, 1.0])]
     df = spark.createDataFrame([(*r, 1) for r in rows], "vec_id long, embedding array<double>, rank int")
-    assert [tuple(r) for r in K.top_k(df).orderBy("vec_id").collect()] == [(1, 1, 4, 0.0), (4, 1, 1, 0.0)]
+    assert [tuple(r) for r in K.top_k(df, every=1).orderBy("vec_id").collect()] == [(1, 1, 4, 0.0), (4, 1, 1, 0.0)]
     assert K.top_k(df.limit(0)).count() == 0
     with pytest.raises(ValueError):
         K.top_k(spark.createDataFrame([(1, [1.0]), (2, [1.0, 2.0])], "vec_id long, embedding array<double>"))

@@ -1,25 +1,29 @@
-"""Best-fit packing of documents into sequences, after Martello-Toth dominance reduction.
+"""Best-fit packing of tokenised documents into sequences, after Martello-Toth dominance reduction.
 
-A document longer than a sequence is cut into full sequences and a rest. Only how many pieces there are of each length
-matters for the plan, so the plan is made on the driver from a histogram of at most CAPACITY lengths, whatever the data's
-size: the reduction fixes sets of up to three pieces that dominate every alternative for their largest piece, and
-best-fit decreasing packs the rest. Spark then numbers the pieces of each length and gives each its place in the plan.
+Documents are encoded by the tasks that read them. One longer than a sequence is cut into full sequences and a rest. Every
+task writes its pieces to a file in shared storage and reports how many it has of each length. Only these counts matter for
+the plan, so the plan is made on the driver from a histogram of at most CAPACITY lengths, whatever the data's size: the
+reduction fixes sets of up to three pieces that dominate every alternative for their largest piece, and best-fit decreasing
+packs the rest. The pieces of a length are numbered file by file, which gives each its place in the plan without a shuffle;
+then the pieces of a sequence come together. Full sequences never move.
 """
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import only, shared_dir, written
+from . import spm
+from .common import array_of_lists, filesystem, only, shared_dir, steps, written
 
-#: Tokens of a sequence, and bytes of text that count as one token.
-CAPACITY, BYTES_PER_TOKEN = 2048, 4
-#: Pieces of one length are numbered in so many parts, so that a common length is no hot key.
-PARTS = 16
-PIECES = "doc_id long, piece int, start long, n_tokens int, bin_id long, bin_offset int, fixed boolean"
+#: Tokens of a sequence.
+CAPACITY = 2048
+PIECE = "bin_offset int, doc_id long, piece int, start long, n_tokens int, ids binary"
+SEQUENCES = "bin_id long, n_tokens int, fixed boolean, doc_ids array<long>, pieces array<int>, starts array<long>, lengths array<int>, ids array<int>"
 
 
 class Instance:
@@ -146,45 +150,112 @@ def best_fit(it: Instance) -> None:
             room = length
 
 
-def token_count(text: Column) -> Column:
-    """Tokens of a text by the library's estimate: its UTF-8 bytes over BYTES_PER_TOKEN, rounded up; 0 for null and ''."""
-    return F.coalesce(F.ceil(F.octet_length(text) / F.lit(BYTES_PER_TOKEN)), F.lit(0)).cast("long")
+def cut(docs: DataFrame, at: str, model_file: str, capacity: int) -> DataFrame:
+    """(part, file, counts): the pieces of docs (doc_id, text), written by every task to a file of its own below `at`.
+
+    A file's rows are (doc_id, piece, start, n_tokens, ids); counts[n] of them have n tokens. A repeated task leaves a file
+    that no row points to, never a broken one.
+    """
+
+    def run(batches):
+        from pyarrow import parquet as pq
+        from pyspark import TaskContext
+
+        v, m = spm.vocabulary(model_file), spm.merges(model_file)
+        kind, known = id_type(v), spm.Known()
+        fs, path = filesystem(at)
+        name, out, counts = f"{uuid.uuid4().hex}.parquet", None, np.zeros(capacity + 1, np.int64)
+        for b in steps(batches, size=spm.STEP_BYTES):
+            ids, offsets = spm.encode(b.column(1), v, m, known)
+            n = np.diff(offsets)
+            many = -(-n // capacity)
+            doc = np.repeat(np.arange(len(n)), many)
+            piece = np.arange(len(doc)) - np.repeat(np.cumsum(many) - many, many)
+            start = piece * capacity
+            size = np.minimum(capacity, n[doc] - start)
+            counts += np.bincount(size, minlength=capacity + 1)
+            ends = np.concatenate(([0], np.cumsum(size))) * kind.itemsize  # pieces lie one behind the other
+            data = pa.Array.from_buffers(pa.large_binary(), len(doc), [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(ids.astype(kind))])
+            batch = pa.RecordBatch.from_arrays([b.column(0).take(pa.array(doc)), pa.array(piece.astype(np.int32)), pa.array(start), pa.array(size.astype(np.int32)), data], ["doc_id", "piece", "start", "n_tokens", "ids"])
+            if out is None:
+                fs.create_dir(path, recursive=True)
+                out = pq.ParquetWriter(f"{path}/{name}", batch.schema, filesystem=fs, compression="zstd", use_dictionary=False)
+            out.write_batch(batch)
+        if out is not None:
+            out.close()
+            yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([f"{at}/{name}"]), pa.array([counts.tolist()], pa.list_(pa.int64()))], ["part", "file", "counts"])
+
+    return docs.mapInArrow(run, "part int, file string, counts array<long>")
+
 
+def id_type(v: spm.Vocabulary) -> np.dtype:
+    return np.dtype(np.uint16 if len(v.starts) <= 1 << 16 else np.int32)
 
-def packed(docs: DataFrame, id_col: str = "doc_id", length: Column | None = None, text_col: str = "text", capacity: int = CAPACITY) -> DataFrame:
-    """A row for every piece: its document, place there, length, sequence, place in the sequence, and if dominance fixed it.
 
-    length: token counts, by default token_count of text_col. Rows without tokens (null or empty texts, null or negative
-    lengths) have no piece. Rows that repeat, or have a null id, are packed each. Order among equal lengths is by id.
+def packed(docs: DataFrame, model_file: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY) -> DataFrame:
+    """A row for every sequence: its token ids, and of each piece in it, in order, document, number, start there and length.
+
+    Lengths and starts count tokens of spm.encode: the ids of a document's pieces, by start, are the ids of its text, and
+    decode to it. fixed: dominance fixed the sequence. Null and empty texts have no piece. Rows that repeat, or have a null
+    id, are packed each. Very long texts are cut, none is cut short. Pieces of one length go in the order of the input.
+    Ids are cast to long. An empty table gives no sequence. The model file must be at the same path on every executor.
     """
     spark = docs.sparkSession
     at = shared_dir(spark)
-    if length is None:
-        src = only(docs, doc_id=id_col, text=text_col).select(F.col("doc_id").cast("long").alias("doc_id"), token_count(F.col("text")).alias("n"))
-    else:
-        src = only(docs.withColumn("__n", F.coalesce(length, F.lit(0)).cast("long")), doc_id=id_col, n="__n").withColumn("doc_id", F.col("doc_id").cast("long"))
-    cuts = src.where("n > 0").select("doc_id", F.posexplode(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("n") - 1, F.lit(0)), F.lit(capacity).cast("long"))).alias("piece", "start"), "n")
-    cuts = cuts.select("doc_id", "piece", "start", F.least(F.lit(capacity), F.col("n") - F.col("start")).cast("int").alias("n_tokens"))
-    cuts = written(cuts.withColumn("part", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(PARTS)).cast("int")), f"{at}/pieces")
-    tally = cuts.groupBy("n_tokens", "part").count().toPandas()  # at most capacity x PARTS rows
-    table = np.zeros((capacity + 1, PARTS), np.int64)
-    table[tally["n_tokens"], tally["part"]] = tally["count"]
-    placed, _ = plan(table.sum(1), capacity)
-    base = np.concatenate((np.zeros((capacity + 1, 1), np.int64), np.cumsum(table, 1)[:, :-1]), 1)
-    slots = np.array(sorted(placed), np.int64).reshape(-1, 7)
-    shared = spark.sparkContext.broadcast((base, slots))  # bounded by the capacity, not by the data
-
-    def put(batches):
-        base, slots = shared.value
-        far = np.int64(1) << np.int64(44)
-        keys = slots[:, 0] * far + slots[:, 1]
-        for b in batches:
-            n, part, row = (b.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in (3, 4, 5))
-            rank = base[n, part] + row - 1
-            s = slots[np.searchsorted(keys, n * far + rank, "right") - 1]
-            k = rank - s[:, 1]
-            where = s[:, 5] + (k % s[:, 4]) * n
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), b.column(3), pa.array(s[:, 3] + k // s[:, 4]), pa.array(where.astype(np.int32)), pa.array(s[:, 6] > 0)], ["doc_id", "piece", "start", "n_tokens", "bin_id", "bin_offset", "fixed"])
-
-    numbered = cuts.withColumn("row", F.row_number().over(Window.partitionBy("n_tokens", "part").orderBy("doc_id", "piece")))
-    return numbered.mapInArrow(put, PIECES)
+    src = only(docs, doc_id=id_col, text=text_col).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    files = written(cut(src, f"{at}/pieces", model_file, capacity), f"{at}/files")  # a row for every task
+    counts = files.select("part", F.posexplode("counts").alias("n", "c")).where("c > 0")
+    tally = counts.groupBy("n").agg(F.sum("c").alias("c")).toPandas()  # at most `capacity` rows
+    table = np.zeros(capacity + 1, np.int64)
+    table[tally["n"]] = tally["c"]
+    slots = np.array(sorted(plan(table, capacity)[0]), np.int64).reshape(-1, 7)
+    shared = spark.sparkContext.broadcast(slots)  # bounded by the capacity, not by the data
+    before = F.coalesce(F.sum("c").over(Window.partitionBy("n").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    bases = counts.withColumn("base", before).groupBy("part").agg(F.collect_list("n").alias("lengths"), F.collect_list("base").alias("bases"))
+    todo = bases.join(files.select("part", "file"), "part").select("part", "file", "lengths", "bases").repartitionByRange(max(1, files.count()), "part")
+
+    def put(full: bool):
+        def run(batches):
+            from pyarrow import parquet as pq
+
+            slots, far = shared.value, np.int64(1) << np.int64(44)
+            keys = slots[:, 0] * far + slots[:, 1]
+            for row in (r for b in batches for r in b.to_pylist()):
+                rank = np.zeros(capacity + 1, np.int64)
+                rank[row["lengths"]] = row["bases"]
+                fs, path = filesystem(row["file"])
+                with fs.open_input_file(path) as f:
+                    for b in pq.ParquetFile(f).iter_batches(2048):
+                        n = b.column(3).to_numpy().astype(np.int64)
+                        b = b.filter(pa.array((n == capacity) == full))
+                        n = n[(n == capacity) == full]
+                        order = np.argsort(n, kind="stable")
+                        nth = np.empty(len(n), np.int64)
+                        nth[order] = np.arange(len(n)) - np.searchsorted(n[order], n[order])
+                        own = rank[n] + nth
+                        rank += np.bincount(n, minlength=capacity + 1)
+                        s = slots[np.searchsorted(keys, n * far + own, "right") - 1]
+                        k = own - s[:, 1]
+                        where = s[:, 5] + (k % s[:, 4]) * n
+                        yield pa.RecordBatch.from_arrays([pa.array(s[:, 3] + k // s[:, 4]), pa.array(s[:, 6] > 0), pa.array(where.astype(np.int32)), *b.columns[:4], b.column(4).cast(pa.binary())], ["bin_id", "fixed", "bin_offset", "doc_id", "piece", "start", "n_tokens", "ids"])
+
+        placed = todo.mapInArrow(run, f"bin_id long, fixed boolean, {PIECE}")
+        return placed.select("bin_id", "fixed", F.struct(*(x.split()[0] for x in PIECE.split(", "))).alias("x"))
+
+    together = put(False).groupBy("bin_id").agg(F.first("fixed").alias("fixed"), F.sort_array(F.collect_list("x")).alias("parts"))  # at most `capacity` tokens
+    alone = put(True).select("bin_id", "fixed", F.array("x").alias("parts"))
+
+    def assemble(batches):
+        kind = id_type(spm.vocabulary(model_file))
+        for whole in batches:
+            for lo in range(0, whole.num_rows, 1024):
+                b = whole.slice(lo, 1024)
+                lists = b.column(2)
+                cuts = lists.offsets.to_numpy().astype(np.int64)
+                cuts, x = cuts - cuts[0], lists.flatten()
+                _, doc, piece, start, n, ids = x.flatten()
+                tokens = np.concatenate(([0], np.cumsum(n.to_numpy())))[cuts]
+                flat = np.frombuffer(b"".join(ids.to_pylist()), kind).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.diff(tokens).astype(np.int32)), b.column(1), *(array_of_lists(y, cuts) for y in (doc, piece, start, n)), array_of_lists(pa.array(flat), tokens)], ["bin_id", "n_tokens", "fixed", "doc_ids", "pieces", "starts", "lengths", "ids"])
+
+    return alone.unionByName(together).mapInArrow(assemble, SEQUENCES)

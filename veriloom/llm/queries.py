@@ -9,6 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from . import html, langid, media, packing, quality, sharding, simhash, spm, topk, warc
 
 
+#: The vocabulary file of the queries; the operators take any.
+TOKENIZER = "/opt/tokenizers/piece_bpe_32k.model"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -26,7 +30,7 @@ def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.packed(table(spark, sf_dir, "documents"))
+    return packing.packed(table(spark, sf_dir, "documents"), TOKENIZER)
 
 
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,7 +50,7 @@ def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spm.tokenized(table(spark, sf_dir, "documents"))
+    return spm.tokenized(table(spark, sf_dir, "documents"), TOKENIZER)
 
 
 def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:

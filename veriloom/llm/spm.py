@@ -23,15 +23,17 @@ from pyspark.sql import functions as F
 
 from .common import STEP_CHARS, codepoints, gather, only, raw, steps
 
-#: The vocabulary file; see the tokenizers' README for others.
-MODEL_FILE = "/opt/tokenizers/piece_bpe_32k.model"
 #: What a character without a piece costs, below the least score, as in unigram decoding.
 PENALTY = 10.0
 ENCODED = "doc_id long, ids array<int>, n_tokens int, n_bytes long, decodes boolean"
 SPACE, MARK = " ", "▁"
 BASE = np.uint64(0x9E3779B97F4A7C15)
-#: Words longer than this are merged one by one with a heap.
+#: Words longer than this are encoded one by one.
 LONG = 256
+#: Bytes of texts that are encoded at a time; a longer single text is encoded alone.
+STEP_BYTES = 3 * STEP_CHARS
+#: A process keeps the ids of so many words, of so many signs at most, from one batch to the next; others are encoded again.
+KEPT_WORDS, KEPT_SIGNS = 200_000, 40
 
 
 @dataclass
@@ -46,6 +48,7 @@ class Vocabulary:
     starts: np.ndarray  # of each id's bytes
     least: float
     maybe: np.ndarray  # whether any key has these upper bits after mixing: spares most probes
+    table: dict  # pieces to (id, score)
 
 
 def slots(keys: np.ndarray) -> np.ndarray:
@@ -63,7 +66,7 @@ def hashes(points: np.ndarray) -> np.ndarray:
 
 
 @lru_cache(maxsize=4)
-def vocabulary(model_file: str = MODEL_FILE) -> Vocabulary:
+def vocabulary(model_file: str) -> Vocabulary:
     import sentencepiece
 
     m = sentencepiece.SentencePieceProcessor(model_file=model_file)
@@ -88,7 +91,7 @@ def vocabulary(model_file: str = MODEL_FILE) -> Vocabulary:
     scores = np.array([m.get_score(k) for k in usable])
     maybe = np.zeros(1 << 20, bool)
     maybe[slots(keys)] = True
-    return Vocabulary(keys[order], np.array(usable, np.int32)[order], scores[order], points[order], longest, byte_ids, np.frombuffer(b"".join(shown), np.uint8), np.concatenate(([0], np.cumsum([len(x) for x in shown]))), float(scores.min()), maybe)
+    return Vocabulary(keys[order], np.array(usable, np.int32)[order], scores[order], points[order], longest, byte_ids, np.frombuffer(b"".join(shown), np.uint8), np.concatenate(([0], np.cumsum([len(x) for x in shown]))), float(scores.min()), maybe, {pieces[k].replace(MARK, SPACE): (k, m.get_score(k)) for k in usable})
 
 
 @dataclass
@@ -103,7 +106,7 @@ class Merges:
 
 
 @lru_cache(maxsize=4)
-def merges(model_file: str = MODEL_FILE) -> Merges | None:
+def merges(model_file: str) -> Merges | None:
     """The pairs that a BPE model joins; None for a model of another kind."""
     import sentencepiece
     from sentencepiece import sentencepiece_model_pb2
@@ -206,6 +209,8 @@ def viterbi(points: np.ndarray, v: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
     Of equal scores the segmentation whose last piece is longer is taken. A character without a piece costs least - PENALTY.
     """
     rows, length = points.shape
+    if length > LONG:
+        return viterbi_long(points, v)
     h = hashes(points)
     best, back, piece = np.full((length + 1, rows), -np.inf), np.zeros((length + 1, rows), np.int32), np.full((length + 1, rows), -1, np.int32)
     best[0] = 0
@@ -243,6 +248,30 @@ def viterbi(points: np.ndarray, v: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
     return with_bytes(points, row[order], start[order], ids[order], v)
 
 
+def viterbi_long(points: np.ndarray, v: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
+    """The same for words too long to pay for a step of numpy at every place: one by one, with a table of pieces."""
+    rows, length = points.shape
+    row, begin, out = [], [], []
+    for k in range(rows):
+        word = "".join(map(chr, points[k].tolist()))
+        best, back, piece = [0.0] + [-np.inf] * length, [0] * (length + 1), [-1] * (length + 1)
+        for end in range(1, length + 1):
+            top, at, chosen = -np.inf, end - 1, -1
+            for start in range(max(0, end - v.longest), end):
+                if (found := v.table.get(word[start:end])) is not None and (total := best[start] + found[1]) > top:
+                    top, at, chosen = total, start, found[0]
+            if (total := best[end - 1] + (v.least - PENALTY)) > top:
+                top, at, chosen = total, end - 1, -1
+            best[end], back[end], piece[end] = top, at, chosen
+        taken, here = [], length
+        while here:
+            taken.append((back[here], piece[here]))
+            here = back[here]
+        for start, p in reversed(taken):
+            row.append(k), begin.append(start), out.append(p)
+    return with_bytes(points, np.array(row), np.array(begin), np.array(out, np.int32), v)
+
+
 def with_bytes(points: np.ndarray, row: np.ndarray, start: np.ndarray, ids: np.ndarray, v: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
     """(ids, offsets by row) of pieces in order; -1 stands for the character at (row, start) in bytes."""
     rows = len(points)
@@ -282,7 +311,38 @@ def encode_words(words: pa.Array, v: Vocabulary, cells: int = 1_000_000, m: Merg
     return flat[gather(begin, size)].astype(np.int32), np.concatenate(([0], np.cumsum(size)))
 
 
-def encode(texts: pa.Array, v: Vocabulary, m: Merges | None = None) -> tuple[np.ndarray, np.ndarray]:
+class Known:
+    """Ids of words that a process has encoded before, under one vocabulary."""
+
+    def __init__(self):
+        self.clear()
+
+    def clear(self) -> None:
+        self.place: dict[str, int] = {}
+        self.ids, self.at = np.zeros(0, np.int32), np.zeros(1, np.int64)
+
+    def encoded(self, words: pa.Array, v: Vocabulary, m: Merges | None) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, offsets by word) of distinct words; only those not known yet are encoded."""
+        names = words.to_pylist()
+        place = np.array([self.place.get(w, -1) for w in names], np.int64)
+        new = np.flatnonzero(place < 0)
+        ids, cuts = encode_words(words.take(pa.array(new)), v, m=m)
+        place[new] = len(self.at) - 1 + np.arange(len(new))
+        every, at = np.concatenate((self.ids, ids)), np.concatenate((self.at, len(self.ids) + cuts[1:]))
+        n = np.diff(at)[place]
+        out = every[gather(at[place], n)], np.concatenate(([0], np.cumsum(n)))
+        short = [k for k in new.tolist() if len(names[k]) <= KEPT_SIGNS]
+        if len(self.place) + len(short) > KEPT_WORDS:
+            self.clear()
+        elif short:
+            kept = np.diff(at)[place[short]]
+            self.place.update({names[k]: len(self.at) - 1 + i for i, k in enumerate(short)})
+            self.ids = np.concatenate((self.ids, every[gather(at[place[short]], kept)]))
+            self.at = np.concatenate((self.at, self.at[-1] + np.cumsum(kept)))
+        return out
+
+
+def encode(texts: pa.Array, v: Vocabulary, m: Merges | None = None, known: Known | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(ids, offsets by text), by merges if there are any, else of the best total score. A space is put before each text, as the model asks; null and empty texts have no ids."""
     texts = pc.fill_null(texts, "")
     spaced = pc.if_else(pc.not_equal(texts, ""), pc.binary_join_element_wise(SPACE, texts, ""), "")
@@ -290,7 +350,7 @@ def encode(texts: pa.Array, v: Vocabulary, m: Merges | None = None) -> tuple[np.
     lists = pc.split_pattern(pc.replace_substring_regex(spaced, "([^ ]) ", f"\\1{cut} "), cut)
     at = lists.offsets.to_numpy().astype(np.int64)
     words = lists.values.slice(at[0], at[-1] - at[0]).dictionary_encode()
-    ids, cuts = encode_words(words.dictionary, v, m=m)
+    ids, cuts = (known or Known()).encoded(words.dictionary, v, m)
     code = words.indices.to_numpy(zero_copy_only=False)
     n = (cuts[1:] - cuts[:-1])[code] if len(code) else np.zeros(0, np.int64)
     total = np.concatenate(([0], np.cumsum(n)))
@@ -311,18 +371,18 @@ def decode(ids: np.ndarray, offsets: np.ndarray, v: Vocabulary) -> tuple[np.ndar
     return data[keep], at - np.cumsum(lost)
 
 
-def tokenized(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model_file: str = MODEL_FILE) -> DataFrame:
+def tokenized(docs: DataFrame, model_file: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row for every row of docs: its piece ids, their number, the text's bytes, and if the ids decode to the very text.
 
-    A null text has null ids and decodes (to null); an empty one has none. Rows may repeat. The model file must be at the
-    same path on every executor.
+    A null text has null ids and decodes (to null); an empty one has none. Rows may repeat. Very long texts, and texts
+    without any space, are encoded whole. Ids are cast to long. The model file must be at the same path on every executor.
     """
 
     def run(batches):
-        v, m = vocabulary(model_file), merges(model_file)
-        for b in steps(batches, size=3 * STEP_CHARS):
+        v, m, known = vocabulary(model_file), merges(model_file), Known()
+        for b in steps(batches, size=STEP_BYTES):
             text = b.column(1)
-            ids, offsets = encode(text, v, m)
+            ids, offsets = encode(text, v, m, known)
             data, at = decode(ids, offsets, v)
             was, starts = raw(pc.fill_null(text, ""))
             if np.array_equal(data, was) and np.array_equal(at, starts):
@@ -336,7 +396,7 @@ def tokenized(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
     return src.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, ENCODED)
 
 
-def detokenized(rows: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", model_file: str = MODEL_FILE) -> DataFrame:
+def detokenized(rows: DataFrame, model_file: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
     """doc_id and text of rows of piece ids; null ids give a null text, and bytes that are no UTF-8 give U+FFFD."""
 
     def run(batches):

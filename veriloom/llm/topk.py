@@ -1,7 +1,8 @@
-"""Exact top-k by bit-sliced indexes: every row is a query, its score with another row their inner product.
+"""Exact top-k by bit-sliced indexes: queries are rows of the table, scored by their inner products with all other rows.
 
 The index holds blocks of rows. In each block every attribute (dimension) is quantised, and kept as bit slices: one bitmap
-over the block's rows for each bit. A query's score bits are the sum of its attributes' slices, shifted by the bits of the
+over the block's rows for each bit. Slices are made once a block and written; the tasks of the search, each with a group of
+queries and a strip of blocks, only read them. A query's score bits are the sum of its attributes' slices, shifted by the bits of the
 query's quantised weights, added by carry-save bitmap arithmetic. Going down from the most significant slice gives the
 rows of the highest quantised scores; the bound of what quantising can hide says which rows below may still belong, and
 those are scored exactly in double precision.
@@ -9,19 +10,23 @@ those are scored exactly in double precision.
 
 from __future__ import annotations
 
+import io
+import uuid
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
-from pyarrow.fs import FileSelector
-from pyspark.sql import DataFrame
+from pyarrow.fs import FileType
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import filesystem, only, shared_dir
+from .common import dropped, filesystem, only, shared_dir, written
 
 TOP, BITS, WEIGHT_BITS = 10, 7, 5
-#: Rows of an index block, and of a query task.
-BLOCK, QUERIES = 32_768, 512
-FOUND = "vec_id long, rank int, neighbor_id long, score double"
+#: Rows of an index block; a task searches a strip of so many blocks for so many queries.
+BLOCK, STRIP, QUERIES = 32_768, 8, 64
+#: The queries of a search are the rows whose id is divisible by this.
+EVERY = 100
 
 
 def packed_bits(flags: np.ndarray) -> np.ndarray:
@@ -61,6 +66,17 @@ class Block:
         self.lost = float(np.linalg.norm(lost, axis=1).max(initial=0))  # the most that quantising a row hides
         self.far = np.abs(self.vectors).max(0, initial=0)
 
+    def save(self, file) -> None:
+        np.savez(file, ids=self.ids, vectors=self.vectors, low=self.low, step=self.step, slices=self.slices, lost=self.lost, far=self.far)
+
+    @classmethod
+    def load(cls, file) -> Block:
+        self = cls.__new__(cls)
+        with np.load(file) as got:
+            self.ids, self.vectors, self.low, self.slices, self.far = (got[x] for x in ("ids", "vectors", "low", "slices", "far"))
+            self.step, self.lost, self.n = float(got["step"]), float(got["lost"]), len(got["ids"])
+        return self
+
     def score_slices(self, weights: np.ndarray) -> list[np.ndarray]:
         """Bitmaps of the bits of the sum of weight * attribute plus a constant, least first.
 
@@ -130,56 +146,84 @@ class Block:
         return self.ids[rows[best]], score[best]
 
 
-def top_k(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", k: int = TOP, block: int = BLOCK) -> DataFrame:
-    """A row for each of the k best other rows of every row: vec_id, rank, neighbor_id, score rounded to 6 digits.
-
-    Rows with a null id or vector, or a null, NaN or infinite element, are left out. Of rows that share an id the least
-    vector counts. All vectors must have one length. Fewer than k others give fewer rows; an empty table gives none.
+def built(src: DataFrame, at: str, blocks: int) -> list[str]:
+    """Files of the index over (vec_id, v), block by block; a task writes a file under a name of its own and reports it."""
+    src.withColumn("b", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int")).repartition(blocks, "b").write.partitionBy("b").parquet(f"{at}/rows")
+
+    def run(batches):
+        fs, path = filesystem(f"{at}/rows")
+        out, to = filesystem(f"{at}/slices")
+        for b in (x for batch in batches for x in batch.column(0).to_pylist()):
+            if fs.get_file_info(f"{path}/b={b}").type != FileType.Directory:
+                continue  # no row fell into it
+            rows = pq.read_table(f"{path}/b={b}", filesystem=fs, columns=["vec_id", "v"], partitioning=None).sort_by("vec_id").combine_chunks()
+            index, name = Block(rows["vec_id"].to_numpy(), rows["v"].combine_chunks().flatten().to_numpy().reshape(rows.num_rows, -1)), f"{b}-{uuid.uuid4().hex}.npz"
+            held = io.BytesIO()
+            index.save(held)
+            out.create_dir(to, recursive=True)
+            with out.open_output_stream(f"{to}/{name}", compression=None) as f:
+                f.write(held.getbuffer())
+            yield pa.RecordBatch.from_arrays([pa.array([f"{at}/slices/{name}"])], ["file"])
+
+    files = src.sparkSession.range(0, blocks, 1, blocks).mapInArrow(run, "file string").collect()  # a name for every BLOCK rows
+    dropped(f"{at}/rows")
+    return sorted(r["file"] for r in files)
+
+
+def top_k(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", k: int = TOP, block: int = BLOCK, every: int = EVERY) -> DataFrame:
+    """A row for each of the k best other rows of every query: vec_id, rank, neighbor_id, score rounded to 6 digits.
+
+    Queries are the rows whose id is divisible by `every`; each is held against all rows. Rows with a null id or vector, or
+    a null, NaN or infinite element, are left out. Of rows that share an id the least vector counts. All vectors must have
+    one length. Ties go to the smaller id. Fewer than k others give fewer rows; an empty table gives none. Ids are cast to
+    long.
     """
     spark = vectors.sparkSession
     at = shared_dir(spark)
     src = only(vectors, vec_id=id_col, v=vector_col).select(F.col("vec_id").cast("long").alias("vec_id"), F.col("v").cast("array<double>").alias("v"))
     src = src.where("vec_id is not null and v is not null and size(v) > 0 and not exists(v, x -> x is null or isnan(x) or abs(x) = double('infinity'))")
-    src = src.groupBy("vec_id").agg(F.min("v").alias("v"))
-    counted = src.agg(F.count("*").alias("n"), F.min(F.size("v")).alias("least"), F.max(F.size("v")).alias("most")).first()
+    src = written(src.groupBy("vec_id").agg(F.min("v").alias("v")), f"{at}/distinct")
+    asked = F.col("vec_id") % every == 0
+    counted = src.agg(F.count("*").alias("n"), F.count_if(asked).alias("asked"), F.min(F.size("v")).alias("least"), F.max(F.size("v")).alias("most")).first()
     if counted["n"] and counted["least"] != counted["most"]:
         raise ValueError("vectors must have one length")
-    blocks = max(1, -(-counted["n"] // block))
-
-    src.withColumn("b", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int")).repartition(blocks, "b").write.partitionBy("b").parquet(f"{at}/index")
+    files, strip = built(src, at, max(1, -(-counted["n"] // block))), STRIP
 
     def search(batches):
-        fs, path = filesystem(f"{at}/index")
         for batch in batches:
-            ids, flat = batch.column(0).to_numpy(), batch.column(1)
-            if not len(ids):
+            if not batch.num_rows:
                 continue
-            queries = flat.flatten().to_numpy().reshape(len(ids), -1)
-            best: list[list] = [[] for _ in ids]
-            for name in sorted(x for x in listed(fs, path) if x.startswith("b=")):
-                rows = pq.read_table(f"{path}/{name}", filesystem=fs, columns=["vec_id", "v"], partitioning=None).sort_by("vec_id").combine_chunks()
-                index = Block(rows["vec_id"].to_numpy(), rows["v"].combine_chunks().flatten().to_numpy().reshape(rows.num_rows, -1))
-                for q in range(len(ids)):
-                    best[q].append(index.top(queries[q], ids[q], k))
-            out = []
-            for q, parts in enumerate(best):
-                near, score = np.concatenate([x[0] for x in parts]), np.concatenate([x[1] for x in parts])
-                o = np.lexsort((near, -score))[:k]
-                out.append((np.full(len(o), ids[q]), np.arange(1, len(o) + 1, dtype=np.int32), near[o], score[o]))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out)], ["vec_id", "rank", "neighbor_id", "score"])
-
-    tasks = max(1, -(-counted["n"] // QUERIES))
-    return src.repartition(tasks, "vec_id").mapInArrow(search, FOUND)
-
-
-def listed(fs, path: str) -> list[str]:
-    return [x.base_name for x in fs.get_file_info(FileSelector(path))]
-
-
-def brute_force(ids: np.ndarray, vectors: np.ndarray, k: int = TOP) -> list[tuple[int, int, int, float]]:
+            firsts, every_id, flat = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2)
+            every_query = flat.flatten().to_numpy().reshape(len(every_id), -1)
+            for first in np.unique(firsts).tolist():
+                ids, queries = every_id[firsts == first], every_query[firsts == first]
+                best: list[list] = [[] for _ in ids]
+                for name in files[first : first + strip]:
+                    fs, path = filesystem(name)
+                    with fs.open_input_file(path) as f:
+                        index = Block.load(io.BytesIO(f.read()))
+                    for q in range(len(ids)):
+                        best[q].append(index.top(queries[q], ids[q], k))
+                out = []
+                for q, parts in enumerate(best):
+                    near, score = np.concatenate([x[0] for x in parts]), np.concatenate([x[1] for x in parts])
+                    o = np.lexsort((near, -score))[:k]
+                    out.append((np.full(len(o), ids[q]), near[o], score[o]))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out)], ["vec_id", "neighbor_id", "score"])
+
+    firsts = F.explode(F.sequence(F.lit(0), F.lit(max(0, len(files) - 1)), F.lit(strip))).alias("first")
+    groups = max(1, -(-counted["asked"] // QUERIES))
+    work = src.where(asked).select(firsts, "vec_id", "v").withColumn("g", F.pmod(F.xxhash64("vec_id"), F.lit(groups)))
+    work = work.repartitionByRange(groups * max(1, -(-len(files) // strip)), "first", "g").select("first", "vec_id", "v")
+    found = work.mapInArrow(search, "vec_id long, neighbor_id long, score double")  # k rows a query and strip
+    rank = F.row_number().over(Window.partitionBy("vec_id").orderBy(F.desc("score"), "neighbor_id"))
+    return found.select("vec_id", rank.alias("rank"), "neighbor_id", "score").where(F.col("rank") <= k)
+
+
+def brute_force(ids: np.ndarray, vectors: np.ndarray, k: int = TOP, every: int = EVERY) -> list[tuple[int, int, int, float]]:
     """The same rows by scoring every pair."""
     out = []
-    for q in range(len(ids)):
+    for q in np.flatnonzero(ids % every == 0):
         score = np.round((vectors * vectors[q]).sum(1), 6) + 0.0
         rows = np.flatnonzero(ids != ids[q])
         best = rows[np.lexsort((ids[rows], -score[rows]))[:k]]
@@ -191,7 +235,7 @@ SQL = f"""
 WITH s AS (
   SELECT a.vec_id, b.vec_id AS neighbor_id,
          round(list_inner_product(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6) + 0.0 AS score
-  FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id
+  FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id % {EVERY} = 0
 ), r AS (
   SELECT *, CAST(row_number() OVER (PARTITION BY vec_id ORDER BY score DESC, neighbor_id) AS INTEGER) AS rank FROM s
 )
