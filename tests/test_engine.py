@@ -56,7 +56,7 @@ def test_literals_never_hide_a_match():
     for r in rules.PATTERNS:
         for text, _, _ in HITS:
             if re.search(r.pattern, text):
-                assert any(x in text.lower() for x in r.needs), (r.pattern, text)
+                assert all(any(x in text.lower() for x in group) for group in r.needs), (r.pattern, text)
 
 
 def test_best_hit_and_order(spark):

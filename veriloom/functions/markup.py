@@ -6,23 +6,30 @@ import re
 from html.parser import HTMLParser
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
+from .text import NONBLANK, arrow_lists
+
 MARKUP_TAGS = ("web_content", "api_response", "retrieved_document")
 _ATTRIBUTES = ("alt", "title", "aria-label", "placeholder", "data-tooltip")
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _SILENT = frozenset(("noscript", "script", "style"))
-#: Declarations that hide an element: property, then value.
-_HIDING = re.compile(
-    r"display\s*:\s*none|visibility\s*:\s*hidden"
-    r"|(?:opacity\s*:\s*0(?:\.0+)?|font-size\s*:\s*0(?:%|em|px|rem)?)\b"
-    r"|color\s*:\s*(?:white|\#fff|rgba?\(\s*255\s*,\s*255\s*,\s*255)"
-    r"|(?:left|text-indent|top)\s*:\s*-\d{3}|clip\s*:\s*rect\(\s*0"
-    r"|height\s*:\s*0(?:px)?\s*;.*overflow\s*:\s*hidden",
-    re.I | re.S,
-)
+_GAP = r"\s*:\s*"
+#: Properties, and values of them that hide an element.
+_VALUES = {
+    "display": "none",
+    "visibility": "hidden",
+    "opacity": r"0(?:\.0+)?\b",
+    "font-size": r"0(?:%|em|px|rem)?\b",
+    "color": r"(?:white|#fff|rgba?\(\s*" + r"\s*,\s*".join(["255"] * 3) + ")",
+    "(?:left|top|text-indent)": r"-\d{3}",
+    "clip": r"rect\(\s*0",
+    "height": r"0(?:px)?\s*;.*overflow" + _GAP + "hidden",
+}
+_HIDING = re.compile("|".join(name + _GAP + value for name, value in _VALUES.items()), re.I | re.S)
 CHANNELS = StructType([StructField("visible", StringType()), *[StructField(x, ArrayType(StringType())) for x in ("hidden", "comments", "attributes", "flags")]])
 
 
@@ -91,17 +98,27 @@ def channels_of(page: str | None) -> tuple[str, list[str], list[str], list[str],
     return " ".join(p.visible), p.hidden, p.comments, p.attributes, flags
 
 
+_ARROW = pa.struct([("visible", pa.string()), *((x, pa.list_(pa.string())) for x in ("hidden", "comments", "attributes", "flags"))])
+_NAMES = [f.name for f in _ARROW]
+
+
 @F.pandas_udf(CHANNELS)
 def channels(s: pd.Series) -> pd.DataFrame:
     """A page's text by channel, in the order visible, hidden, comments, attributes; flags name the channels that speak."""
-    return pd.DataFrame([channels_of(x) for x in s], columns=["visible", "hidden", "comments", "attributes", "flags"])
+    return pd.DataFrame([channels_of(x) for x in s], columns=_NAMES)
+
+
+@F.arrow_udf(ArrayType(CHANNELS))
+def channels_of_each(pages: pa.Array) -> pa.Array:
+    """channels() of every page of an array; null for null."""
+    return arrow_lists(pages, _ARROW, lambda x: dict(zip(_NAMES, channels_of(x))))
 
 
 def looks_like_html(c: Column) -> Column:
-    return c.rlike("<[!/A-Za-z][^>]*>")
+    return c.contains("<") & c.rlike("<[!/A-Za-z][^>]*>")
 
 
 def pieces(c: Column) -> Column:
     """All non-blank texts of channels(...), visible first."""
     every = F.concat(F.array(c["visible"]), c["hidden"], c["comments"], c["attributes"])
-    return F.filter(every, lambda x: x.isNotNull() & x.rlike(r"\S"))
+    return F.filter(every, lambda x: x.isNotNull() & x.rlike(NONBLANK))

@@ -5,15 +5,18 @@ from __future__ import annotations
 import base64
 import codecs
 import html
+import itertools
 import re
 import unicodedata
 from collections import Counter
 from urllib.parse import unquote_to_bytes
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, BooleanType, StringType, StructField, StructType
+from pyspark.sql.pandas.types import from_arrow_type
+from pyspark.sql.types import ArrayType, StringType
 
 MOST_INSPECTED, MOST_DECODED, MOST_LAYERS = 200_000, 100_000, 3
 ZERO_WIDTH = "​‌‍⁠﻿᠎­͏"
@@ -26,12 +29,31 @@ FREQUENT = frozenset(
 )
 #: What str.isspace() calls white space, as a class body for java.util.regex.
 WS = r"\t-\r\x1c-\x20\x85\xa0  -     　"
+#: A text with anything but white space.
+NONBLANK = rf"[^{WS}]"
 ASCII_LOWER, ASCII_UPPER = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: Label spellings of public data sets.
 BENIGN = "0 benign clean false legitimate negative no normal not_injection safe valid"
 MALICIOUS = "1 adversarial attack harmful injection jailbreak malicious positive prompt_injection true unsafe yes"
 
 
+def _plain_points(most: int = 0x250, others: str = "‐‑‒–—―‘’‚‛“”„‟†‡•€") -> str:
+    """Class body of the characters that normalisation leaves alone: stable under NFKC, and Latin if they are letters."""
+    stable = lambda c: unicodedata.normalize("NFKC", c) == c and (not c.isalpha() or unicodedata.name(c, "").startswith("LATIN"))
+    points = [k for k in [*range(most), *sorted(map(ord, others))] if stable(chr(k)) and chr(k) not in ZERO_WIDTH]
+    runs: list[list[int]] = []
+    for k in points:
+        if runs and runs[-1][1] == k - 1:
+            runs[-1][1] = k
+        else:
+            runs.append([k, k])
+    return "".join(rf"\x{{{a:x}}}-\x{{{b:x}}}" for a, b in runs)
+
+
+#: Texts without such a character are their own NFKC and NFC, hold nothing invisible and no look-alikes, and are of Latin script.
+UNUSUAL = f"[^{_plain_points()}]"
+
+
 def is_ascii(c: Column) -> Column:
     return F.octet_length(c) == F.length(c)
 
@@ -41,8 +63,9 @@ def stripped(c: Column) -> Column:
     return F.regexp_replace(c, rf"^[{WS}]+|[{WS}]+$", "")
 
 
-def truncated(c: Column) -> Column:
-    return F.substring(c, 1, MOST_INSPECTED)
+def truncated(c: Column, most: int | None = MOST_INSPECTED) -> Column:
+    """A text as far as it is inspected; whole if `most` is None."""
+    return c if most is None else F.substring(c, 1, most)
 
 
 def without_zero_width(c: Column) -> Column:
@@ -70,7 +93,7 @@ def english_words(c: Column) -> Column:
 
 def special_share_high(c: Column, most: float = 0.35) -> Column:
     """Whether over a third of a text of 20 characters or more are neither letters, digits nor white space."""
-    return (F.length(c) >= 20) & (F.length(F.regexp_replace(c, rf"[\p{{L}}\p{{N}}{WS}]", "")) / F.length(c) > most)
+    return (F.length(c) >= 20) & (F.length(F.regexp_replace(c, rf"[\p{{L}}\p{{N}}{WS}]+", "")) / F.length(c) > most)
 
 
 @F.pandas_udf(StringType())
@@ -84,7 +107,8 @@ def _unescaped_nfc(s: pd.Series) -> pd.Series:
 
 
 def nfkc(c: Column) -> Column:
-    return _nfkc(c)
+    """NFKC; only texts that it may change go to Python."""
+    return F.coalesce(_nfkc(F.when(c.rlike(UNUSUAL), c)), c)
 
 
 def script_of(text: str) -> tuple[str | None, bool]:
@@ -100,15 +124,32 @@ def script_of(text: str) -> tuple[str | None, bool]:
     return top, any(k != top and n / counts.total() > 0.05 for k, n in counts.items())
 
 
-@F.pandas_udf(StructType([StructField("script", StringType()), StructField("mixed", BooleanType())]))
-def script(s: pd.Series) -> pd.DataFrame:
-    rows = [(None, False) if x is None else script_of(x) for x in s]
-    return pd.DataFrame(rows, columns=["script", "mixed"])
+def arrow_lists(texts: pa.Array, kind: pa.DataType, each) -> pa.Array:
+    """`each` of every text of lists of texts, null for null texts and null lists."""
+    flat = pa.array([None if x is None else each(x) for x in texts.flatten().to_pylist()], kind)
+    n = [0 if x is None else len(x) for x in texts]
+    at = pa.array([0, *itertools.accumulate(n)], pa.int32())
+    return pa.ListArray.from_arrays(at, flat, mask=texts.is_null() if texts.null_count else None)
+
+
+_UNICODE = pa.struct([("script", pa.string()), ("mixed", pa.bool_()), ("normal", pa.string())])
+_INVISIBLE = str.maketrans("", "", ZERO_WIDTH + BIDI)
+
+
+@F.arrow_udf(ArrayType(from_arrow_type(_UNICODE)))
+def unicode_of(texts: pa.Array) -> pa.Array:
+    """Of every text of an array: script, whether scripts are mixed, and NFKC of it without invisible characters."""
+
+    def each(x: str) -> dict:
+        script, mixed = script_of(x)
+        return {"script": script, "mixed": mixed, "normal": unicodedata.normalize("NFKC", x.translate(_INVISIBLE))}
+
+    return arrow_lists(texts, _UNICODE, each)
 
 
 def readable(text: str) -> bool:
     n = len(text)
-    return n >= 4 and sum(map(lambda x: x.isprintable() or x.isspace(), text)) >= 0.9 * n and sum(map(str.isalpha, text)) >= 3
+    return n >= 4 and (text.isprintable() or sum(x.isprintable() or x.isspace() for x in text) >= 0.9 * n) and sum(map(str.isalpha, text)) >= 3
 
 
 _RUNS = {"base64_decoded": re.compile(r"[A-Za-z0-9+/]{16,}={0,2}"), "hex_decoded": re.compile(r"(?:[0-9A-Fa-f]{2}){8,}"), "url_encoded_decoded": re.compile(r"(?:%[0-9A-Fa-f]{2}){4,}")}
@@ -138,11 +179,11 @@ def layer(text: str) -> list[tuple[str, str]]:
     return out
 
 
-def unwrapped(text: str) -> tuple[list[str], list[str]]:
-    """(variants, flags): what up to MOST_LAYERS of encodings hide, breadth first, until MOST_DECODED characters are passed."""
+def unwrapped(text: str, most: int = MOST_DECODED) -> tuple[list[str], list[str]]:
+    """(variants, flags): what up to MOST_LAYERS of encodings hide, breadth first, until `most` characters are passed."""
     variants: dict[str, None] = {}
     flags: dict[str, None] = {}
-    budget, now = MOST_DECODED, [text]
+    budget, now = most, [text]
     for _ in range(MOST_LAYERS):
         found: list[str] = []
         for got, flag in (x for t in now for x in layer(t)):
@@ -159,10 +200,22 @@ def unwrapped(text: str) -> tuple[list[str], list[str]]:
     return list(variants), list(flags | {"decode_depth_exceeded": None})
 
 
-@F.pandas_udf(StructType([StructField("variants", ArrayType(StringType())), StructField("flags", ArrayType(StringType()))]))
-def decoded(s: pd.Series) -> pd.DataFrame:
-    rows = [([], []) if x is None else unwrapped(x) for x in s]
-    return pd.DataFrame({"variants": [r[0] for r in rows], "flags": [r[1] for r in rows]})
+_DECODED = pa.struct([("variants", pa.list_(pa.string())), ("flags", pa.list_(pa.string()))])
+_ROTATED = sorted(codecs.encode(w, "rot13") for w in FREQUENT)
+_RUN = "(?<![a-z])(?:{})(?![a-z])"
+
+
+@F.arrow_udf(ArrayType(from_arrow_type(_DECODED)))
+def decoded(texts: pa.Array) -> pa.Array:
+    """unwrapped() of every text of an array."""
+    return arrow_lists(texts, _DECODED, lambda x: dict(zip(("variants", "flags"), unwrapped(x))))
+
+
+def encoded(c: Column) -> Column:
+    """Whether decoding may find anything: an encoded run, or more words that are English when rotated than now."""
+    count = lambda words: F.regexp_count(F.lower(c), F.lit(_RUN.format("|".join(words))))
+    rotated = _RUN.format("|".join(_ROTATED))
+    return c.rlike(r"[A-Za-z0-9+/]{16}|(?:%[0-9A-Fa-f]{2}){4}") | (F.lower(c).rlike(rotated) & (count(_ROTATED) > count(sorted(FREQUENT))))
 
 
 def collapsed(c: Column) -> Column:
@@ -172,12 +225,12 @@ def collapsed(c: Column) -> Column:
 
 def near_key(c: Column, ascii_only: bool = False) -> Column:
     """What near-identical texts share: NFKC, lower case, words only. ascii_only leaves out the UDF, for ASCII texts."""
-    return collapsed(F.regexp_replace(F.lower(c if ascii_only else _nfkc(c)), rf"[^\p{{L}}\p{{N}}_{WS}]", " "))
+    return collapsed(F.regexp_replace(F.lower(c if ascii_only else nfkc(c)), rf"[^\p{{L}}\p{{N}}_{WS}]", " "))
 
 
 def clean_text(c: Column, ascii_only: bool = False) -> Column:
     """Entities resolved, NFC, control characters and stray white space removed; wording, case and signs stay."""
-    x = c if ascii_only else _unescaped_nfc(c)
+    x = c if ascii_only else F.coalesce(_unescaped_nfc(F.when(c.contains("&") | c.rlike(UNUSUAL), c)), c)
     x = F.regexp_replace(x, r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\x9f]", "")
     x = F.regexp_replace(x, r"\r\n?", "\n")
     x = F.regexp_replace(x, r"[ \t]+(?=\n|\z)", "")

@@ -1,47 +1,81 @@
-"""The cascade: segments, normalisation, Stage I, and Stage II only for requests that Stage I has not blocked."""
+"""The cascade: segments, normalisation, Stage I, and Stage II only for requests that Stage I has not blocked.
+
+A request stays one row throughout, with its segments in an array: nothing is shuffled, joined or read twice, and a stream
+runs the very same plan.
+"""
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from veriloom.functions import text as T
+
 from . import segments as S
 from . import stage1, stage2
+from .chunks import Windows
+from .rules import FLAG_RULES, PATTERNS, Rule
 from .stage2 import Scorer, keyword_score, keyword_tokens
 
 TRUNCATION_FLAG = "truncated_for_inspection"
+WINDOWS1, WINDOWS2 = stage1.WINDOWS, stage2.WINDOWS
 
 
 @dataclass(frozen=True)
 class Config:
-    """Which stages run, from which severity Stage I blocks, and what Stage II scores with."""
+    """Which stages run, from which severity Stage I blocks, its rules, what Stage II scores with, and how far texts are read.
+
+    most_chars, windows1 and windows2 bound what is inspected of one text, and verdicts say when they do; whole() has no
+    such bound.
+    """
 
     stage1: bool = True
     stage2: bool = False
     block_severity: str = "high"
     scorer: Scorer = keyword_score
     attributor: Scorer = keyword_tokens
+    rules: tuple[Rule, ...] = PATTERNS
+    flag_rules: tuple[Rule, ...] = FLAG_RULES
+    most_chars: int | None = T.MOST_INSPECTED
+    windows1: Windows = WINDOWS1
+    windows2: Windows = WINDOWS2
+
+
+def whole(**options) -> Config:
+    """A Config that inspects all of any text."""
+    return Config(**({"stage2": True} | options), most_chars=None, windows1=stage1.WHOLE, windows2=stage2.WHOLE)
 
 
 #: Arms of an evaluation.
 CONFIGS = {"baseline": Config(False, False), "stage1": Config(), "stage2": Config(False, True), "stage12": Config(True, True), "full": Config(True, True)}
 
 
-def inspected_segments(requests: DataFrame, config: Config = Config(stage2=True)) -> DataFrame:
-    """A row for each segment, with stage1 and stage2; a stage that did not run is null.
+def inspected(requests: DataFrame, config: Config = Config(stage2=True)) -> DataFrame:
+    """requests with `segments`: seg_idx, source_tag, origin, trust, injection_class, flags, script, stage1, stage2 of each.
 
-    Stage II sees no text of a request that Stage I blocks: one window over the request, whose partitioning the grouping by
-    request uses again.
+    A stage that did not run is null; Stage II sees no text of a request that Stage I blocks.
     """
-    segs = S.normalised(S.segments(requests)).withColumn("scannable", S.scannable(F.col("text"), F.col("variants")))
-    segs = stage1.scanned(segs, F.col("scannable") if config.stage1 else F.lit(None).cast("array<string>"), F.col("flags"), config.block_severity)
-    blocked = F.bool_or("stage1.should_block").over(Window.partitionBy("request_id")) if config.stage1 else F.lit(False)
-    segs = segs.withColumn("_open", ~blocked if config.stage2 else F.lit(False))
-    segs = stage2.scored(segs, F.when(F.col("_open"), F.col("scannable")), config.scorer, config.attributor)
-    segs = segs.withColumn("stage2", F.when(F.col("_open"), F.col("stage2"))).drop("_open")
-    return segs if config.stage1 else segs.withColumn("stage1", F.when(F.lit(False), F.col("stage1")))
+    df = requests.withColumn("_s", S.segment_array(F.col("context"), F.col("messages")))
+    df = S.normalised_segments(df, F.col("_s"), config.most_chars)
+    df = df.withColumn("_scan", F.transform("norm", lambda n: S.scannable(n["text"], n["variants"])))
+    if config.stage1:
+        df = stage1.scanned_each(df, F.col("_scan"), F.col("norm")["flags"], config.block_severity, config.rules, config.flag_rules, config.windows1)
+        blocked = F.exists("stage1", lambda s: s["should_block"])
+    else:
+        df, blocked = df.withColumn("stage1", F.lit(None).cast(f"array<struct<detections:array<{stage1.DETECTION}>,chars:int,windows:int,truncated:boolean,should_block:boolean,outcome:string>>")), F.lit(False)
+    shut = F.transform("_scan", lambda _: F.lit(None).cast("array<string>"))
+    df = stage2.scored_each(df, F.when(~blocked, F.col("_scan")).otherwise(shut) if config.stage2 else shut, config.scorer, config.attributor, config.windows2)
+
+    def segment(s: Column, i: Column) -> Column:
+        n = F.col("norm")[i]
+        return F.struct(
+            i.alias("seg_idx"), s["source_tag"].alias("source_tag"), s["origin"].alias("origin"), S.trust_of(s["source_tag"]).alias("trust"), S.class_of(s["source_tag"]).alias("injection_class"),
+            n["flags"].alias("flags"), n["script"].alias("script"), F.col("stage1")[i].alias("stage1"), F.col("stage2")[i].alias("stage2"),
+        )
+
+    return df.withColumn("segments", F.transform("_s", segment)).drop("_s", "norm", "_scan", "stage1", "stage2")
 
 
 def first_by(segs: Column, key, when) -> Column:
@@ -51,13 +85,16 @@ def first_by(segs: Column, key, when) -> Column:
     return F.try_element_at(F.filter(keyed, lambda x: (x["key"] == best["key"]) & (x["late"] == best["late"])), F.lit(1))["s"]
 
 
-def verdicts(segs: DataFrame) -> DataFrame:
-    """A row for each request of inspected_segments(...): flags, script, outcomes, attribution, and its segments."""
-    item = F.struct("seg_idx", "source_tag", "origin", "trust", "injection_class", "flags", "script", "stage1", "stage2")
-    df = segs.groupBy("request_id").agg(F.array_sort(F.collect_list(F.struct("seg_idx", item.alias("s")))).alias("x"))
-    df = df.select("request_id", F.transform("x", lambda x: x["s"]).alias("segments"))
+VERDICT = (
+    "request_id", "segments", "normalization_flags", "segments_inspected", "language", "stage_1_syntactic", "stage_2_semantic", "semantic_score", "semantic_span", "attributed_tokens",
+    "source_origin", "attack_type", "severity_level", "injection_class", "stage1_blocked", "stage2_blocked", "blocked", "stage2_uncertain", "has_untrusted",
+)
+
+
+def judged(df: DataFrame, config: Config = Config(stage2=True)) -> DataFrame:
+    """inspected(...) with the columns of VERDICT: flags, script, outcomes, attribution. A request without segments passes."""
     every = F.col("segments")
-    ran1, ran2 = F.exists(every, lambda s: s["stage1"].isNotNull()), F.exists(every, lambda s: s["stage2"].isNotNull())
+    ran2 = F.exists(every, lambda s: s["stage2"].isNotNull())
     hit = first_by(every, lambda s: stage1.rank_of(stage1.highest(s["stage1"]["detections"])["severity"]), lambda s: F.size(s["stage1"]["detections"]) > 0)
     sem = first_by(every, lambda s: s["stage2"]["score"], lambda s: s["stage2"].isNotNull())
     any_of = lambda field, sub: F.exists(every, lambda s: F.coalesce(s[field][sub], F.lit(False)))
@@ -81,38 +118,28 @@ def verdicts(segs: DataFrame) -> DataFrame:
     first = F.concat(F.when(F.col("stage1_blocked"), "block_").otherwise("signal_"), top["detector_id"])
     origin = F.when(F.col("_hit").isNotNull(), F.col("_hit.source_tag")).when(strong, F.col("_sem.source_tag"))
     cls = F.when(F.col("_hit").isNotNull(), F.col("_hit.injection_class")).when(strong, F.col("_sem.injection_class"))
-    return df.select(
-        "request_id",
-        "segments",
-        "normalization_flags",
-        "segments_inspected",
-        "language",
-        F.when(~ran1, "not_run").when(F.col("_hit").isNotNull(), first).when(F.col("stage1_truncated"), "pass_truncated").otherwise("pass").alias("stage_1_syntactic"),
-        F.when(ran2, F.col("_sem.stage2.outcome")).otherwise("not_run").alias("stage_2_semantic"),
-        F.col("_sem.stage2.score").alias("semantic_score"),
-        F.col("_sem.stage2.span").alias("semantic_span"),
-        F.coalesce(F.col("_sem.stage2.tokens.token"), F.array().cast("array<string>")).alias("attributed_tokens"),
-        origin.alias("source_origin"),
-        top["attack_type"].alias("attack_type"),
-        top["severity"].alias("severity_level"),
-        F.when(cls != "n/a", cls).alias("injection_class"),
-        "stage1_blocked",
-        "stage2_blocked",
-        (F.col("stage1_blocked") | F.col("stage2_blocked")).alias("blocked"),
-        (~F.col("stage2_blocked") & F.col("_band")).alias("stage2_uncertain"),
-        F.exists("segments", lambda s: s["trust"] == "untrusted").alias("has_untrusted"),
+    df = df.withColumns(
+        {
+            "stage_1_syntactic": (F.when(F.col("_hit").isNotNull(), first).when(F.col("stage1_truncated"), "pass_truncated").otherwise("pass") if config.stage1 else F.lit("not_run")),
+            "stage_2_semantic": F.when(ran2, F.col("_sem.stage2.outcome")).otherwise("not_run"),
+            "semantic_score": F.col("_sem.stage2.score"),
+            "semantic_span": F.col("_sem.stage2.span"),
+            "attributed_tokens": F.coalesce(F.col("_sem.stage2.tokens.token"), F.array().cast("array<string>")),
+            "source_origin": origin,
+            "attack_type": top["attack_type"],
+            "severity_level": top["severity"],
+            "injection_class": F.when(cls != "n/a", cls),
+            "blocked": F.col("stage1_blocked") | F.col("stage2_blocked"),
+            "stage2_uncertain": ~F.col("stage2_blocked") & F.col("_band"),
+            "has_untrusted": F.exists("segments", lambda s: s["trust"] == "untrusted"),
+        }
     )
+    return df.drop("_hit", "_sem", "_band", "stage1_truncated")
 
 
 def inspect(requests: DataFrame, config: Config = Config(stage2=True)) -> DataFrame:
-    """verdicts(...) of requests; a request without any segment passes."""
-    found = verdicts(inspected_segments(requests, config))
-    df = requests.select("request_id").join(found, "request_id", "left")
-    none = F.array().cast("array<string>")
-    stages = {"stage_1_syntactic": config.stage1, "stage_2_semantic": False}
-    df = df.withColumns({k: F.coalesce(k, F.lit("pass" if on else "not_run")) for k, on in stages.items()})
-    df = df.withColumns({k: F.coalesce(k, none) for k in ("normalization_flags", "segments_inspected", "attributed_tokens")})
-    return df.withColumns({k: F.coalesce(k, F.lit(False)) for k in ("stage1_blocked", "stage2_blocked", "blocked", "stage2_uncertain", "has_untrusted")})
+    """VERDICT for every request."""
+    return judged(inspected(requests, config), config).select(*VERDICT)
 
 
 def predicted(verdict: DataFrame) -> DataFrame:

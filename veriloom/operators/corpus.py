@@ -14,6 +14,38 @@ LEAST_CHARS, OVER_LIMIT, CHARS_PER_TOKEN = 10, 2_048, 4
 SAMPLE = "ord long, dataset string, text string, label int, source_tag string, attack_type string"
 
 
+#: Hash cells of a seeded order, and so tasks that may order it: places are counted by cell first.
+CELLS = 4096
+
+
+def ranked(df: DataFrame, key: Column, *ties: str, by: tuple[str, ...] = ()) -> DataFrame:
+    """df with `place`: its place from 0 in the order of a hexadecimal hash (then of `ties`), of all rows or by columns.
+
+    The hash's first digits are a cell; cells are counted, and a row's place is that of its cell plus that in it. So no task
+    has more than a cell, however few the groups are, and only the counts, CELLS at most for each group, are ordered in one.
+    """
+    df = df.withColumn("_key", key)
+    df = df.withColumn("_cell", F.floor(F.conv(F.substring("_key", 1, 8), 16, 10).cast("long") / ((1 << 32) // CELLS)).cast("int"))
+    sizes = df.groupBy(*by, "_cell").agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy(*(by or (F.lit(0),))).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sizes = sizes.withColumn("_before", before).drop("_n")
+    joined = df.join(sizes, [*by, "_cell"]) if by else df.join(sizes, "_cell")
+    inside = F.row_number().over(Window.partitionBy(*by, "_cell").orderBy("_key", *ties)) - 1
+    return joined.withColumn("place", F.col("_before") + inside).drop("_key", "_cell", "_before")
+
+
+def cumulated(counts: DataFrame, value: str, n: str, parts: int = 64) -> DataFrame:
+    """(value, n) with `upto`, the sum of n up to a number `value`, and `total`: by ranges between quantiles, each in one task."""
+    cuts = sorted(set(counts.approxQuantile(value, [k / parts for k in range(1, parts)], 0.005)))
+    part = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c <= F.col(value))) if cuts else F.lit(0)
+    counts = counts.withColumn("_part", part)
+    sums = counts.groupBy("_part").agg(F.sum(n).alias("_sum"))  # `parts` rows
+    every = Window.partitionBy(F.lit(0))
+    sums = sums.withColumn("_before", F.coalesce(F.sum("_sum").over(every.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn("total", F.sum("_sum").over(every)).drop("_sum")
+    inside = F.sum(n).over(Window.partitionBy("_part").orderBy(value))
+    return counts.join(F.broadcast(sums), "_part").withColumn("upto", F.col("_before") + inside).drop("_part", "_before")
+
+
 def percentile(values: Column, p: float) -> Column:
     """sorted[min(int(n * p), n - 1)] of a collected array."""
     return F.try_element_at(F.array_sort(values), (F.least(F.floor(F.size(values) * F.lit(p)), F.size(values) - 1) + 1).cast("int"))
@@ -123,7 +155,8 @@ def draw(seed: object, *columns: str) -> Column:
 def subsampled(samples: DataFrame, caps: dict[str, int | None], seed: int = 42) -> DataFrame:
     """At most caps[dataset] samples of each capped dataset, in the dataset's own class ratio; the others stay whole.
 
-    The draw is seeded and independent of partitions. Only capped datasets are ranked.
+    The draw is seeded and independent of partitions. Only ids of capped datasets are ranked, to find the first that is out
+    of each class; texts are not shuffled.
     """
     caps = {k: v for k, v in caps.items() if v is not None}
     if not caps:
@@ -136,8 +169,11 @@ def subsampled(samples: DataFrame, caps: dict[str, int | None], seed: int = 42)
     want = F.least(F.bround(F.col("cap") * F.col("b") / F.col("n")).cast("long"), "b")
     sizes = sizes.withColumn("bad", F.least(F.col("cap") - want, "m"))
     sizes = sizes.select("dataset", F.least(F.col("cap") - F.col("bad"), "b").alias("q0"), F.col("bad").alias("q1"))
-    rank = F.row_number().over(Window.partitionBy("dataset", cls).orderBy(draw(seed, "dataset", "ord"), "ord"))
-    chosen = capped.withColumn("_rank", rank).join(sizes, "dataset").where(F.col("_rank") <= F.when(cls == 0, F.col("q0")).otherwise(F.col("q1")))
+    key = draw(seed, "dataset", "ord")
+    ids = ranked(capped.select("dataset", "ord", cls.alias("_cls")), key, "ord", by=("dataset", "_cls")).join(sizes, "dataset")
+    limit = ids.where(F.col("place") == F.when(F.col("_cls") == 0, F.col("q0")).otherwise(F.col("q1")))  # the first that is out, a row for each class
+    limit = limit.select("dataset", "_cls", F.struct(key.alias("k"), "ord").alias("_limit"))
+    chosen = capped.withColumn("_cls", cls).join(limit, ["dataset", "_cls"], "left").where(F.col("_limit").isNull() | (F.struct(key.alias("k"), "ord") < F.col("_limit")))
     rest = samples.where(~F.col("dataset").isin(*caps) | F.col("dataset").isNull())
     return rest.unionByName(chosen.select(samples.columns))
 
@@ -155,13 +191,22 @@ def described(samples: DataFrame) -> DataFrame:
 
 
 def split(samples: DataFrame, train: float = 0.8, validation: float = 0.1, seed: int = 42) -> DataFrame:
-    """samples with `split`: of each class, floor(n * share) for train and for validation, and the rest for test."""
+    """samples with `split`: of each class, floor(n * share) for train and for validation, and the rest for test.
+
+    Only ids are ranked, to find where a class's parts end in the seeded order; texts are not shuffled.
+    """
     if not (0 <= train and 0 <= validation and train + validation <= 1):
         raise ValueError("shares must not be negative, nor over 1 together")
-    w = Window.partitionBy("label")
-    k, n = F.row_number().over(w.orderBy(draw(seed, "ord"), "ord")) - 1, F.count("*").over(w)
-    a, b = F.floor(n * F.lit(train) + F.lit(1e-9)), F.floor(n * F.lit(validation) + F.lit(1e-9))
-    return samples.withColumn("split", F.when(k < a, "train").when(k < a + b, "validation").otherwise("test"))
+    key, label = draw(seed, "ord"), F.coalesce(F.col("label"), F.lit(-1))
+    ids = samples.select("ord", label.alias("_label"))
+    n = ids.groupBy("_label").agg(F.count("*").alias("_n"))
+    ends = ranked(ids, key, "ord", by=("_label",)).join(n, "_label")
+    a, b = F.floor(F.col("_n") * F.lit(train) + F.lit(1e-9)), F.floor(F.col("_n") * F.lit(validation) + F.lit(1e-9))
+    mark = F.struct(key.alias("k"), "ord")
+    ends = ends.groupBy("_label").agg(F.max(F.when(F.col("place") == a, mark)).alias("_a"), F.max(F.when(F.col("place") == a + b, mark)).alias("_b"))  # a row for each label
+    df = samples.withColumn("_label", label).join(ends, "_label", "left")
+    before = lambda end: F.col(end).isNull() | (mark < F.col(end))
+    return df.withColumn("split", F.when(before("_a"), "train").when(before("_b"), "validation").otherwise("test")).select(*samples.columns, "split")
 
 
 def build_splits(samples: DataFrame, **shares) -> DataFrame:
@@ -175,11 +220,30 @@ def passage_prefixed(c: Column) -> Column:
     return F.concat(F.lit("passage: "), c)
 
 
-def signal_position(samples: DataFrame, least_chars: int = 200, limit: int = 4_000) -> DataFrame:
-    """Where in malicious texts Stage I first hits: (bucket, n) for head, middle and tail, over the first `limit` samples."""
-    from .stage1 import rule_hits
+def signals(samples: DataFrame, least_chars: int = 200, limit: int | None = 4_000) -> DataFrame:
+    """(checked, matched, head, middle, tail): where in malicious texts Stage I finds its highest detection.
 
-    df = samples.where((F.col("label") == 1) & (F.length("text") >= least_chars)).orderBy("ord").limit(limit)
-    df = df.withColumn("hit", F.try_element_at(rule_hits("text"), F.lit(1))["matched"]).where("hit is not null")
-    share = F.expr("locate(hit, text) - 1") / F.length("text")
-    return df.groupBy(F.when(share < 0.33, "head").when(share < 0.66, "middle").otherwise("tail").alias("bucket")).agg(F.count("*").alias("n"))
+    Over the first `limit` samples in order of ord (None: all, without a sort). A hit that starts before 0.33 of the text
+    is at its head, before 0.66 in the middle. checked counts the samples looked at, and one more if the limit cut them off.
+    """
+    from . import stage1
+
+    df = samples.where((F.col("label") == 1) & (F.length("text") >= least_chars))
+    if limit is not None:
+        df = df.orderBy("ord").limit(limit + 1)
+        df = df.withColumn("_over", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("ord")) > limit)  # limit + 1 rows
+    else:
+        df = df.withColumn("_over", F.lit(False))
+    df = stage1.scanned(df, F.array("text"), w=stage1.WINDOWS if limit is not None else stage1.WHOLE)
+    hit = F.when(~F.col("_over"), stage1.highest(F.col("stage1.detections"))["matched_text"])
+    df = df.withColumn("hit", F.when(hit != "", hit)).withColumn("_share", F.expr("nullif(locate(hit, text), 0) - 1") / F.length("text"))
+    share = F.col("_share")
+    return df.agg(
+        F.count("*").alias("checked"), F.count(share).alias("matched"), F.count_if(share < 0.33).alias("head"), F.count_if((share >= 0.33) & (share < 0.66)).alias("middle"), F.count_if(share >= 0.66).alias("tail")
+    )
+
+
+def signal_position(samples: DataFrame, least_chars: int = 200, limit: int | None = 4_000) -> DataFrame:
+    """signals(...) as (bucket, n) for head, middle and tail; a bucket without any sample has no row."""
+    parts = F.array(*[F.struct(F.lit(b).alias("bucket"), F.col(b).alias("n")) for b in ("head", "middle", "tail")])
+    return signals(samples, least_chars, limit).select(F.explode(parts).alias("x")).select("x.*").where("n > 0")

@@ -5,10 +5,14 @@ from __future__ import annotations
 import re
 from bisect import bisect_right
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
+from pyspark.sql.pandas.types import from_arrow_type
+
+from veriloom.functions import text as T
+
+from . import cascade
 
 MARKER, LEAST_CHARS, BLOCK_STATUS = "[content removed by security filter]", 4, 403
 _END = re.compile(r"\n+|[.!?]+(?=\s|$)")
@@ -33,7 +37,7 @@ def stage2_targets(segments: Column, uncertain: bool) -> Column:
         words = F.transform(F.filter(s["stage2"]["tokens"], lambda t: F.length(t["token"]) >= LEAST_CHARS), lambda t: F.lower(t["token"]))
         window = s["stage2"]["window"]
         sentences = F.split(window, r"(?<=[.!?])\s+|\n+")
-        chosen = F.filter(sentences, lambda x: x.rlike(r"\S") & F.exists(words, lambda w: F.lower(x).contains(w)))
+        chosen = F.filter(sentences, lambda x: x.rlike(T.NONBLANK) & F.exists(words, lambda w: F.lower(x).contains(w)))
         whole = F.when(F.length(window) >= LEAST_CHARS, F.array(window)).otherwise(F.array().cast("array<string>"))
         return F.transform(F.when(F.size(chosen) > 0, chosen).otherwise(whole), lambda x: _target(s, x))
 
@@ -46,8 +50,7 @@ def decided(verdicts: DataFrame, sanitize_untrusted: bool = True, resolve_band_b
     A segment that only a flag blocks has nothing to redact, and is allowed unless block_on_flags is set.
     """
     none = F.array().cast(TARGETS)
-    df = verdicts.withColumn("segments", F.coalesce("segments", F.array().cast(verdicts.schema["segments"].dataType)))
-    df = df.withColumn("_sure", F.concat(stage1_targets(F.col("segments")), stage2_targets(F.col("segments"), False)))
+    df = verdicts.withColumn("_sure", F.concat(stage1_targets(F.col("segments")), stage2_targets(F.col("segments"), False)))
     df = df.withColumn("_band", F.filter(stage2_targets(F.col("segments"), True), lambda t: t["trust"] == "untrusted"))
     sure, band = F.size("_sure") > 0, F.col("stage2_uncertain") & F.lit(resolve_band_by_trust)
     direct = F.filter("_sure", lambda t: t["trust"] != "untrusted")
@@ -108,45 +111,59 @@ def redacted(text: str, spans: list[str]) -> tuple[str, int]:
     return re.sub(r"\s{2,}", " ", "".join([*parts, text[at:]])).strip(), len(merged)
 
 
-@F.pandas_udf(StructType([StructField("texts", ArrayType(StringType())), StructField("removed", ArrayType(IntegerType()))]))
-def _redact_all(texts: pd.Series, spans: pd.Series) -> pd.DataFrame:
-    rows = []
-    for ts, ss in zip(texts, spans):
-        done = [(None, 0) if t is None else redacted(t, list(ss)) for t in (ts if ts is not None else ())]
-        rows.append(([d[0] for d in done], [d[1] for d in done]))
-    return pd.DataFrame(rows, columns=["texts", "removed"])
+_REDACTED = pa.struct([("texts", pa.list_(pa.string())), ("removed", pa.int32())])
 
 
-def enforced(requests: DataFrame, verdicts: DataFrame, **policy) -> DataFrame:
-    """A row for each request: decision, action, reason, escalated, spans_removed, redacted_origins, messages, response_status.
+@F.arrow_udf(from_arrow_type(_REDACTED))
+def _redact_all(texts: pa.Array, spans: pa.Array) -> pa.Array:
+    """All of a request's texts, redacted, and the number of stretches that went; null where spans are."""
+
+    def each(ts: list, ss: list) -> dict:
+        done = [(None, 0) if t is None else redacted(t, ss) for t in ts]
+        return {"texts": [d[0] for d in done], "removed": sum(d[1] for d in done)}
 
-    Only requests to be redacted go through the UDF. Messages' texts and blocks are rewritten; contexts never leave here. A
-    request in which nothing could be removed is blocked.
+    return pa.array([None if s is None else each(t or [], s) for t, s in zip(texts.to_pylist(), spans.to_pylist())], _REDACTED)
+
+
+def applied(judged: DataFrame, **policy) -> DataFrame:
+    """requests with their verdicts, and with decision, action, reason, escalated, spans_removed, redacted_origins, messages,
+
+    response_status. Only requests to be redacted have work for Python. Messages' texts and blocks are rewritten; contexts
+    never leave here. A request in which nothing could be removed is blocked. A row stays one row.
     """
-    df = requests.select("request_id", "messages").join(decided(verdicts, **policy), "request_id")
+    df = decided(judged, **policy)
+    sanitize = F.col("decision") == "sanitize"
     flat = F.flatten(F.transform("messages", lambda m: F.concat(F.array(m["content"]), F.coalesce(m["blocks"]["text"], F.array().cast("array<string>")))))
-    todo = df.where("decision = 'sanitize'").withColumn("_r", _redact_all(flat, F.col("targets")["text"]))
-    sizes = F.transform("messages", lambda m: 1 + F.greatest(F.lit(0), F.coalesce(F.size(m["blocks"]), F.lit(0))))
-    todo = todo.withColumn("_n", sizes).withColumn("removed", F.aggregate("_r.removed", F.lit(0), lambda a, b: a + b))
+    df = df.withColumn("_r", _redact_all(F.when(sanitize, flat), F.when(sanitize, F.col("targets")["text"])))
+    df = df.withColumn("_n", F.transform("messages", lambda m: 1 + F.greatest(F.lit(0), F.coalesce(F.size(m["blocks"]), F.lit(0)))))
 
     def rewritten(m: Column, i: Column) -> Column:
-        base = F.aggregate(F.slice("_n", 1, i), F.lit(0), lambda a, b: a + b)
+        base = F.aggregate(F.slice("_n", F.lit(1), i), F.lit(0), lambda a, b: a + b)
         blocks = F.transform(m["blocks"], lambda b, k: F.struct(b["type"].alias("type"), F.element_at("_r.texts", base + k + 2).alias("text")))
         return F.struct(m["role"].alias("role"), F.element_at("_r.texts", base + 1).alias("content"), blocks.alias("blocks"))
 
-    todo = todo.withColumn("messages", F.when(F.col("removed") > 0, F.transform("messages", rewritten)).otherwise(F.col("messages")))
-    lost = F.col("removed") == 0
-    todo = todo.withColumns({"escalated": lost, "decision": F.when(lost, "block").otherwise("sanitize"), "reason": F.when(lost, "Blocked: a payload was found but could not be located for removal.").otherwise(F.col("reason"))}).drop("_r", "_n")
-    rest = df.where("decision <> 'sanitize'").withColumns({"removed": F.lit(0), "escalated": F.lit(False)})
-    out = todo.unionByName(rest)
-    return out.select(
-        "request_id",
-        "decision",
-        F.upper("decision").alias("action"),
-        "reason",
-        "escalated",
-        F.col("removed").alias("spans_removed"),
-        F.array_sort(F.array_distinct(F.col("targets")["origin"])).alias("redacted_origins"),
-        F.when(F.col("decision") != "block", F.col("messages")).alias("messages"),
-        F.when(F.col("decision") == "block", BLOCK_STATUS).otherwise(200).alias("response_status"),
-    )
+    df = df.withColumns({"spans_removed": F.coalesce("_r.removed", F.lit(0)), "_messages": F.when(F.col("_r.removed") > 0, F.transform("messages", rewritten)).otherwise(F.col("messages"))})
+    lost = sanitize & (F.col("spans_removed") == 0)
+    df = df.withColumns({"escalated": lost, "reason": F.when(lost, "Blocked: a payload was found but could not be located for removal.").otherwise(F.col("reason")), "decision": F.when(lost, "block").otherwise(F.col("decision"))})
+    stopped = F.col("decision") == "block"
+    return df.withColumns(
+        {
+            "action": F.upper("decision"),
+            "redacted_origins": F.array_sort(F.array_distinct(F.col("targets")["origin"])),
+            "messages": F.when(~stopped, F.col("_messages")),
+            "response_status": F.when(stopped, BLOCK_STATUS).otherwise(200),
+        }
+    ).drop("_r", "_n", "_messages", "targets")
+
+
+ENFORCED = ("request_id", "decision", "action", "reason", "escalated", "spans_removed", "redacted_origins", "messages", "response_status")
+
+
+def enforced(requests: DataFrame, verdicts: DataFrame, **policy) -> DataFrame:
+    """ENFORCED for every request that has a verdict. run() needs no join, where the verdicts aren't at hand yet."""
+    return applied(requests.select("request_id", "messages").join(verdicts, "request_id"), **policy).select(*ENFORCED)
+
+
+def run(requests: DataFrame, config: cascade.Config = cascade.Config(stage2=True), **policy) -> DataFrame:
+    """Requests inspected and enforced in one pass: the requests' columns, VERDICT and ENFORCED."""
+    return applied(cascade.judged(cascade.inspected(requests, config), config), **policy)

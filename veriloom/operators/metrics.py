@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .corpus import draw
+from .corpus import cumulated, draw, ranked
 
 MEASURES = ("accuracy", "precision", "recall", "f1", "fpr", "fnr", "specificity", "asr", "mitigation")
 
@@ -45,10 +45,14 @@ def evaluated(df: DataFrame, *by: str, digits: int | None = None) -> DataFrame:
 
 
 def folded(df: DataFrame, k: int = 5, seed: int = 42) -> DataFrame:
-    """df (with ord) with `fold`: its place in a seeded order, modulo k."""
+    """df (with ord) with `fold`: its place in a seeded order, modulo k.
+
+    Places come from ranked(): only ords are ordered, in many tasks, and joined back.
+    """
     if k < 2:
         raise ValueError("two folds at least")
-    return df.withColumn("fold", F.pmod(F.row_number().over(Window.orderBy(draw(seed, "ord"), "ord")) - 1, F.lit(k)).cast("int"))
+    places = ranked(df.select("ord").distinct(), draw(seed, "ord"), "ord").select("ord", F.pmod(F.col("place"), F.lit(k)).cast("int").alias("fold"))
+    return df.join(places, "ord")
 
 
 def fold_summary(folds: DataFrame, measures: tuple[str, ...] = MEASURES[:5]) -> DataFrame:
@@ -64,11 +68,11 @@ def compared(before: DataFrame, after: DataFrame) -> DataFrame:
 
 
 def latency(df: DataFrame, column: str = "latency_ms") -> DataFrame:
-    """One row: mean and sorted[int(n * 0.95)] of a column, over ranks rather than one collected list."""
-    n = df.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("v")).count()
-    n = n.withColumn("upto", F.sum("count").over(Window.orderBy("v"))).withColumn("total", F.sum("count").over(Window.partitionBy()))
-    return n.agg(
-        (F.sum(F.col("v") * F.col("count")) / F.sum("count")).alias("mean"),
+    """One row: mean and sorted[int(n * 0.95)] of a column, over counts of different values in ranges, each in its own task."""
+    n = df.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("v")).agg(F.count("*").alias("n"))
+    upto = cumulated(n, "v", "n")
+    return upto.agg(
+        (F.sum(F.col("v") * F.col("n")) / F.sum("n")).alias("mean"),
         F.min(F.when(F.col("upto") > F.least(F.floor(F.col("total") * F.lit(0.95)), F.col("total") - 1), F.col("v"))).alias("p95"),
     )
 

@@ -57,7 +57,7 @@ def of_context(context: Column) -> Column:
 
 def of_messages(messages: Column) -> Column:
     every = F.transform(messages, lambda m, i: _segment(tag_of_role(m["role"]), F.concat(F.lit("messages["), i.cast("string"), F.lit("]")), content_text(m)))
-    return F.filter(every, lambda s: s["raw_text"].rlike(r"\S"))
+    return F.filter(every, lambda s: s["raw_text"].rlike(T.NONBLANK))
 
 
 def segment_array(context: Column, messages: Column) -> Column:
@@ -98,68 +98,90 @@ def sample_requests(samples: DataFrame) -> DataFrame:
     )
 
 
-def plain_normalised(df: DataFrame, column: str = "raw_text") -> DataFrame:
-    """df with text, variants, flags, script of a text column: cut, script, invisible characters, NFKC, look-alikes, encodings, signs.
+NORMALISED = "struct<text:string,variants:array<string>,flags:array<string>,script:string>"
 
-    ASCII texts, most of them, skip the Unicode UDFs; texts without an encoded run or a rotated word skip the decoder.
-    """
-    raw = T.truncated(F.coalesce(F.col(column), F.lit("")))
-    df = df.withColumn("_raw", raw).withColumn("_ascii", T.is_ascii(F.col("_raw")))
-    df = df.withColumn("_script", T.script(F.when(~F.col("_ascii"), F.col("_raw"))))
-    script = F.when(F.col("_ascii"), F.when(F.col("_raw").rlike("[A-Za-z]"), F.lit("latin"))).otherwise(F.col("_script.script"))
-    a = T.without_zero_width(F.col("_raw"))
+
+def _cleaned(raw: Column, u: Column) -> Column:
+    """One text with what unicode_of found in it, if anything is unusual: text, script and flags."""
+    a = T.without_zero_width(raw)
     b = T.without_bidi(a)
-    df = df.withColumns({"_a": a, "_b": b})
-    df = df.withColumn("_n", F.coalesce(T.nfkc(F.when(~T.is_ascii(F.col("_b")), F.col("_b"))), F.col("_b")))
-    df = df.withColumn("text", T.folded(F.col("_n")))
-    turned = T.english_words(T.rot13(F.col("text"))) > T.english_words(F.col("text"))
-    df = df.withColumn("_dec", T.decoded(F.when(F.col("text").rlike(r"[A-Za-z0-9+/]{16}|(?:%[0-9A-Fa-f]{2}){4}") | turned, F.col("text"))))
-    none = F.array().cast("array<string>")
     when = lambda cond, name: F.when(cond, F.lit(name))
-    before = F.array(
-        when(F.length(F.coalesce(F.col(column), F.lit(""))) > T.MOST_INSPECTED, "truncated_for_inspection"),
-        when(F.coalesce(F.col("_script.mixed"), F.lit(False)) & ~F.col("_ascii"), "mixed_script_detected"),
-        when(F.col("_a") != F.col("_raw"), "zero_width_chars_detected"),
-        when(F.col("_b") != F.col("_a"), "bidi_control_chars_detected"),
-        when(F.col("_n") != F.col("_b"), "unicode_nfkc_applied"),
-        when(F.col("text") != F.col("_n"), "homoglyphs_normalized"),
-    )
-    after = F.array(when(T.special_share_high(F.col("text")), "excessive_special_characters"))
-    df = df.withColumns(
-        {
-            "variants": F.coalesce(F.col("_dec.variants"), none),
-            "flags": F.array_compact(F.concat(before, F.coalesce(F.col("_dec.flags"), none), after)),
-            "script": script,
-        }
+    text = T.folded(u["normal"])
+    flags = F.array(
+        when(u["mixed"], "mixed_script_detected"),
+        when(a != raw, "zero_width_chars_detected"),
+        when(b != a, "bidi_control_chars_detected"),
+        when(u["normal"] != b, "unicode_nfkc_applied"),
+        when(text != u["normal"], "homoglyphs_normalized"),
     )
-    return df.drop("_raw", "_ascii", "_script", "_a", "_b", "_n", "_dec")
+    usual = F.struct(raw.alias("text"), F.when(raw.rlike(r"\p{L}"), F.lit("latin")).alias("script"), F.array().cast("array<string>").alias("flags"))
+    return F.when(u.isNull(), usual).otherwise(F.struct(text.alias("text"), u["script"].alias("script"), F.array_compact(flags).alias("flags")))
 
 
-def normalised(segs: DataFrame) -> DataFrame:
-    """segments(...) with text, variants, flags and script.
+def normalised_each(df: DataFrame, texts: Column, most: int | None = T.MOST_INSPECTED) -> DataFrame:
+    """df with `norm`: NORMALISED of every text of an array: cut, script, invisible characters, NFKC, look-alikes, encodings, signs.
 
-    Only texts that look like HTML, from sources that may hold it, pay for the parser; each of their channels is
-    normalised by itself, and what they give is merged, visible text first.
+    Only texts with an unusual character, and only those that may hide an encoding, have work for Python; a row stays one
+    row. Null texts count as empty. `most`: characters inspected, None for all.
     """
-    is_html = F.col("source_tag").isin(*markup.MARKUP_TAGS) & markup.looks_like_html(F.coalesce(F.col("raw_text"), F.lit("")))
-    plain = plain_normalised(segs.where(~is_html))
-    keys, own = ["request_id", "seg_idx"], segs.columns
-    parsed = segs.where(is_html).withColumn("_c", markup.channels(F.col("raw_text")))
-    parts = parsed.select(*own, F.col("_c.flags").alias("_html"), F.posexplode_outer(markup.pieces(F.col("_c"))).alias("_k", "_piece"))
-    done = plain_normalised(parts, "_piece")
-    item = F.struct("_k", "text", "variants", "flags", "script")
-    rest = [F.first(c).alias(c) for c in own if c not in keys]
-    merged = done.groupBy(*keys).agg(F.array_sort(F.collect_list(item)).alias("x"), F.first("_html").alias("_html"), *rest)
-    first = F.element_at("x", 1)
-    others = F.flatten(F.transform(F.slice("x", 2, 1 << 30), lambda p: F.concat(F.array(p["text"]), p["variants"])))
-    merged = merged.select(
-        *own,
-        first["text"].alias("text"),
-        F.concat(first["variants"], others).alias("variants"),
-        F.array_distinct(F.concat(F.col("_html"), F.flatten(F.col("x.flags")))).alias("flags"),
-        F.try_element_at(F.filter(F.col("x.script"), lambda s: s.isNotNull()), F.lit(1)).alias("script"),
-    )
-    return plain.unionByName(merged)
+    df = df.withColumn("_t", F.transform(texts, lambda t: F.coalesce(t, F.lit(""))))
+    df = df.withColumn("_raw", F.transform("_t", lambda t: T.truncated(t, most)))
+    df = df.withColumn("_u", T.unicode_of(F.transform("_raw", lambda t: F.when(t.rlike(T.UNUSUAL), t))))
+    df = df.withColumn("_c", F.transform("_raw", lambda t, i: _cleaned(t, F.col("_u")[i])))
+    df = df.withColumn("_dec", T.decoded(F.transform(F.col("_c")["text"], lambda t: F.when(T.encoded(t), t))))
+    none = F.array().cast("array<string>")
+
+    def joined(c: Column, i: Column) -> Column:
+        d = F.col("_dec")[i]
+        before = F.array(F.when(F.length(F.col("_t")[i]) > most, F.lit("truncated_for_inspection"))) if most else none
+        after = F.array(F.when(T.special_share_high(c["text"]), F.lit("excessive_special_characters")))
+        return F.struct(c["text"].alias("text"), F.coalesce(d["variants"], none).alias("variants"), F.array_compact(F.concat(before, c["flags"], F.coalesce(d["flags"], none), after)).alias("flags"), c["script"].alias("script"))
+
+    return df.withColumn("norm", F.transform("_c", joined).cast(f"array<{NORMALISED}>")).drop("_t", "_raw", "_u", "_c", "_dec")
+
+
+def plain_normalised(df: DataFrame, column: str = "raw_text", most: int | None = T.MOST_INSPECTED) -> DataFrame:
+    """df with text, variants, flags, script of a text column, by normalised_each."""
+    n = F.col("norm")[0]
+    return normalised_each(df, F.array(column), most).withColumns({k: n[k] for k in ("text", "variants", "flags", "script")}).drop("norm")
+
+
+def normalised_segments(df: DataFrame, segs: Column, most: int | None = T.MOST_INSPECTED) -> DataFrame:
+    """df with `norm`: NORMALISED of every segment (source_tag, raw_text) of an array. A row stays one row.
+
+    Only texts that look like HTML, from sources that may hold it, go to the parser; each of their channels is normalised
+    by itself, and what they give is merged, visible text first.
+    """
+    is_html = lambda s: s["source_tag"].isin(*markup.MARKUP_TAGS) & markup.looks_like_html(F.coalesce(s["raw_text"], F.lit("")))
+    df = df.withColumn("_segs", segs)
+    df = df.withColumn("_html", markup.channels_of_each(F.transform("_segs", lambda s: F.when(is_html(s), s["raw_text"]))))
+
+    def parts(s: Column, i: Column) -> Column:
+        got = markup.pieces(F.col("_html")[i])
+        return F.when(F.col("_html")[i].isNull(), F.array(s["raw_text"])).when(F.size(got) == 0, F.array(F.lit(""))).otherwise(got)
+
+    df = df.withColumn("_parts", F.transform("_segs", parts))
+    df = normalised_each(df.withColumn("_flat", F.flatten("_parts")), F.col("_flat"), most).withColumnRenamed("norm", "_norm")
+    none = F.array().cast("array<string>")
+
+    def merged(p: Column, i: Column) -> Column:
+        start = F.aggregate(F.slice("_parts", F.lit(1), i), F.lit(0), lambda a, x: a + F.size(x))
+        x = F.slice("_norm", start + 1, F.size(p))
+        rest = F.flatten(F.transform(F.slice(x, 2, 1 << 30), lambda y: F.concat(F.array(y["text"]), y["variants"])))
+        return F.struct(
+            x[0]["text"].alias("text"),
+            F.concat(x[0]["variants"], rest).alias("variants"),
+            F.array_distinct(F.concat(F.coalesce(F.col("_html")[i]["flags"], none), F.flatten(x["flags"]))).alias("flags"),
+            F.try_element_at(F.filter(x["script"], lambda s: s.isNotNull()), F.lit(1)).alias("script"),
+        )
+
+    return df.withColumn("norm", F.transform("_parts", merged).cast(f"array<{NORMALISED}>")).drop("_segs", "_html", "_parts", "_flat", "_norm")
+
+
+def normalised(segs: DataFrame, most: int | None = T.MOST_INSPECTED) -> DataFrame:
+    """segments(...) with text, variants, flags and script, by normalised_segments."""
+    n = F.col("norm")[0]
+    return normalised_segments(segs, F.array(F.struct("source_tag", "raw_text")), most).withColumns({k: n[k] for k in ("text", "variants", "flags", "script")}).drop("norm")
 
 
 def scannable(text: Column, variants: Column) -> Column:

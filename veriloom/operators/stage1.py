@@ -10,15 +10,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .chunks import Windows, count_for, windows
-from .rules import DETECTORS, FLAG_RULES, PATTERNS, SEVERITIES, Rule
+from .rules import FLAG_RULES, PATTERNS, SEVERITIES, Rule, detectors_of
 
 SIZE, OVERLAP, MOST_CHARS, MOST_MATCH = 20_000, 512, 100_000, 120
-WINDOWS = Windows(SIZE, OVERLAP, count_for(MOST_CHARS, Windows(SIZE, OVERLAP)))
+#: Windows of a text, as many as MOST_CHARS need; WHOLE has no such limit.
+WINDOWS, WHOLE = Windows(SIZE, OVERLAP, count_for(MOST_CHARS, Windows(SIZE, OVERLAP))), Windows(SIZE, OVERLAP)
 DETECTION = "struct<detector_id:string,attack_type:string,severity:string,evidence:string,matched_text:string>"
 #: Positions are text, window and rule in one number.
 _TEXT, _WINDOW = 1 << 40, 1 << 12
 
 
+#: Characters that letter case makes ASCII letters, and those letters.
+ODD_CASE, PLAIN_CASE = "İıſK", "iisk"
+
+
 def literal(text: str) -> str:
     """A raw SQL string; quotes are written as escapes, which patterns may hold."""
     return "r'" + text.replace("'", r"\x27") + "'"
@@ -28,14 +33,15 @@ def word(text: str) -> str:
     return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def hits_sql(text: str, base: str, rules: tuple[Rule, ...] = PATTERNS) -> str:
-    """Hits of every rule in a text, in rule order, as one SQL expression. A pattern runs only where one of its literals occurs."""
-    each = []
+def hits_sql(text: str, base: str, rules: tuple[Rule, ...] = PATTERNS, detectors: tuple[str, ...] | None = None) -> str:
+    """Hits of every rule in a text, in rule order, as one SQL expression. A pattern runs only where its literals occur."""
+    each, names = [], detectors or detectors_of((*rules, *FLAG_RULES))
     for k, r in enumerate(rules):
-        found = f"regexp_extract(z.t, {literal(r.pattern)}, 0)"
-        guard = "(" + " or ".join(f"contains(z.l, {word(x)})" for x in r.needs) + ") and " if r.needs else ""
-        each.append(f"if({guard}{found} <> '', named_struct('pos', {base} + {k}L, 'rank', {r.rank}, 'detector', {DETECTORS.index(r.detector)}, 'attack_type', {word(r.attack_type)}, 'evidence', {literal(r.pattern)}, 'matched', substring({found}, 1, {MOST_MATCH})), null)")
-    return f"transform(array(named_struct('t', {text}, 'l', lower({text}))), z -> array_compact(array({', '.join(each)})))[0]"
+        found = f"regexp_extract(z.t, {literal(r.java)}, 0)"
+        guard = "".join("(" + " or ".join(f"contains(z.l, {word(x)})" for x in group) + ") and " for group in r.needs)
+        each.append(f"if({guard}{found} <> '', named_struct('pos', {base} + {k}L, 'rank', {r.rank}, 'detector', {names.index(r.detector)}, 'attack_type', {word(r.attack_type)}, 'evidence', {word(r.pattern)}, 'matched', substring({found}, 1, {MOST_MATCH})), null)")
+    low = f"lower(if(octet_length({text}) = length({text}), {text}, translate({text}, '{ODD_CASE}', '{PLAIN_CASE}')))"
+    return f"transform(array(named_struct('t', {text}, 'l', {low})), z -> array_compact(array({', '.join(each)})))[0]"
 
 
 def rule_hits(text: str, rules: tuple[Rule, ...] = PATTERNS) -> Column:
@@ -43,17 +49,20 @@ def rule_hits(text: str, rules: tuple[Rule, ...] = PATTERNS) -> Column:
     return F.expr(hits_sql(text, "0L", rules))
 
 
-def flag_hits_sql(flags: str) -> str:
+def flag_hits_sql(flags: str, rules: tuple[Rule, ...], detectors: tuple[str, ...]) -> str:
     """Hits of flags with a rule, in the order of the flags."""
-    table = "map(" + ", ".join(f"{word(r.flag)}, named_struct('rank', {r.rank}, 'detector', {DETECTORS.index(r.detector)}, 'attack_type', {word(r.attack_type)})" for r in FLAG_RULES) + ")"
+    if not rules:
+        return "array()"
+    table = "map(" + ", ".join(f"{word(r.flag)}, named_struct('rank', {r.rank}, 'detector', {detectors.index(r.detector)}, 'attack_type', {word(r.attack_type)})" for r in {r.flag: r for r in reversed(rules)}.values()) + ")"
     hit = f"named_struct('pos', {1 << 60}L + i, 'rank', x.rank, 'detector', x.detector, 'attack_type', x.attack_type, 'evidence', f, 'matched', '')"
     return f"array_compact(transform({flags}, (f, i) -> transform(array({table}[f]), x -> if(x is null, null, {hit}))[0]))"
 
 
-#: Detections of hits `_h` in order of position: detectors by their first hit, each with the first of its most severe ones.
-PER_DETECTOR = f"""transform(array_distinct(transform(_h, h -> h.detector)), d -> transform(
-  array(array_max(transform(filter(_h, h -> h.detector = d), h -> named_struct('rank', h.rank, 'late', -h.pos, 'attack_type', h.attack_type, 'evidence', h.evidence, 'matched', h.matched)))),
-  b -> named_struct('detector_id', element_at(array({", ".join(map(word, DETECTORS))}), d + 1), 'attack_type', b.attack_type, 'severity', element_at(array({", ".join(map(word, SEVERITIES))}), b.rank + 1), 'evidence', b.evidence, 'matched_text', b.matched))[0])"""
+def per_detector_sql(hits: str, detectors: tuple[str, ...]) -> str:
+    """Detections of hits in order of position: detectors by their first hit, each with the first of its most severe ones."""
+    return f"""transform(array_distinct(transform({hits}, h -> h.detector)), d -> transform(
+  array(array_max(transform(filter({hits}, h -> h.detector = d), h -> named_struct('rank', h.rank, 'late', -h.pos, 'attack_type', h.attack_type, 'evidence', h.evidence, 'matched', h.matched)))),
+  b -> named_struct('detector_id', element_at(array({", ".join(map(word, detectors))}), d + 1), 'attack_type', b.attack_type, 'severity', element_at(array({", ".join(map(word, SEVERITIES))}), b.rank + 1), 'evidence', b.evidence, 'matched_text', b.matched))[0])"""
 
 
 def rank_of(severity: Column) -> Column:
@@ -76,22 +85,38 @@ def outcome(detections: Column, truncated: Column, threshold: str = "high") -> C
     return F.when(F.size(detections) > 0, F.concat(kind, top["detector_id"])).when(truncated, "pass_truncated").otherwise("pass")
 
 
-def scanned(df: DataFrame, texts: Column, flags: Column | None = None, threshold: str = "high") -> DataFrame:
-    """df with stage1: detections, chars, windows, truncated, should_block, outcome of an array of texts and of flags."""
-    none = F.array().cast("array<string>")
-    df = df.withColumn("_f", none if flags is None else F.coalesce(flags, none))
-    df = df.withColumn("_w", F.transform(F.coalesce(texts, none), lambda t: F.struct(F.length(t).alias("n"), windows(t, WINDOWS).alias("w"))))
-    of_texts = f"flatten(transform(_w, (t, i) -> flatten(transform(t.w, w -> {hits_sql('w.text', f'i * {_TEXT}L + w.index * {_WINDOW}L')}))))"
-    hits = of_texts if flags is None else f"concat({of_texts}, {flag_hits_sql('_f')})"
-    df = df.withColumn("_h", F.expr(hits)).withColumn("_d", F.expr(PER_DETECTOR).cast(f"array<{DETECTION}>"))
-    df = df.withColumn("_e", F.expr("transform(_w, t -> named_struct('end', coalesce(array_max(t.w.end), 0), 'n', t.n, 'k', size(t.w)))"))
-    df = df.withColumn("_cut", F.expr("exists(_e, e -> e.end < e.n)"))
-    stage1 = F.struct(
-        F.col("_d").alias("detections"),
-        F.expr("aggregate(_e, 0, (a, e) -> a + e.end)").alias("chars"),
-        F.expr("aggregate(_e, 0, (a, e) -> a + e.k)").alias("windows"),
-        F.col("_cut").alias("truncated"),
-        should_block(F.col("_d"), threshold).alias("should_block"),
-        outcome(F.col("_d"), F.col("_cut"), threshold).alias("outcome"),
-    )
-    return df.withColumn("stage1", stage1).drop("_w", "_h", "_d", "_cut", "_e", "_f")
+def scanned_each(df: DataFrame, texts: Column, flags: Column | None = None, threshold: str = "high", rules: tuple[Rule, ...] = PATTERNS, flag_rules: tuple[Rule, ...] = FLAG_RULES, w: Windows = WINDOWS) -> DataFrame:
+    """df with stage1: for every array of texts in an array (and of flags in another), what scanned() gives. One row stays one row."""
+    names = detectors_of((*rules, *flag_rules))
+    df = df.withColumn("_w", F.transform(texts, lambda ts: F.transform(F.coalesce(ts, F.array().cast("array<string>")), lambda t: F.struct(F.length(t).alias("n"), windows(t, w).alias("w")))))
+    df = df.withColumn("_f", flags) if flags is not None else df
+    hits = f"flatten(transform(ws, (t, i) -> flatten(transform(t.w, w -> {hits_sql('w.text', f'i * {_TEXT}L + w.index * {_WINDOW}L', rules, names)}))))" if rules else "array()"
+    if flags is not None:
+        hits = f"concat({hits}, {flag_hits_sql('coalesce(_f[g], cast(array() as array<string>))', flag_rules, names)})"
+    df = df.withColumn("_h", F.expr(f"transform(_w, (ws, g) -> {hits})"))
+    df = df.withColumn("_d", F.expr(f"transform(_h, hs -> {per_detector_sql('hs', names)})").cast(f"array<array<{DETECTION}>>"))
+    df = df.withColumn("_e", F.expr("transform(_w, ws -> transform(ws, t -> named_struct('end', coalesce(array_max(t.w.end), 0), 'n', t.n, 'k', size(t.w))))"))
+
+    def summary(d: Column, g: Column) -> Column:
+        e = F.col("_e")[g]
+        cut = F.exists(e, lambda x: x["end"] < x["n"])
+        return F.struct(
+            d.alias("detections"),
+            F.aggregate(e, F.lit(0), lambda a, x: a + x["end"]).alias("chars"),
+            F.aggregate(e, F.lit(0), lambda a, x: a + x["k"]).alias("windows"),
+            cut.alias("truncated"),
+            should_block(d, threshold).alias("should_block"),
+            outcome(d, cut, threshold).alias("outcome"),
+        )
+
+    return df.withColumn("stage1", F.transform("_d", summary)).drop("_w", "_h", "_d", "_e", "_f")
+
+
+def scanned(df: DataFrame, texts: Column, flags: Column | None = None, threshold: str = "high", rules: tuple[Rule, ...] = PATTERNS, flag_rules: tuple[Rule, ...] = FLAG_RULES, w: Windows = WINDOWS) -> DataFrame:
+    """df with stage1: detections, chars, windows, truncated, should_block, outcome of an array of texts and of flags.
+
+    rules and flag_rules may come from load_rules(). Windows beyond w.most are not scanned, and stage1.truncated says so;
+    WHOLE scans all of any text.
+    """
+    out = scanned_each(df, F.array(texts), None if flags is None else F.array(flags), threshold, rules, flag_rules, w)
+    return out.withColumn("stage1", F.col("stage1")[0])

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
+import dataclasses
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from veriloom.functions import text as T
-from veriloom.operators import segments, stage1
+from veriloom.operators import cascade, enforce, segments
 
 RISK_WINDOW = 5
 
@@ -19,12 +19,15 @@ def read_requests(spark: SparkSession, path: str) -> DataFrame:
     return spark.readStream.schema(segments.REQUEST).json(path)
 
 
-def stage1_in_row(requests: DataFrame) -> DataFrame:
-    """request_id, outcome, blocked of Stage I over folded raw texts: stateless, a request stays one row."""
-    df = requests.withColumn("_s", segments.segment_array(F.col("context"), F.col("messages")))
-    texts = F.transform("_s", lambda s: T.folded(T.without_bidi(T.without_zero_width(T.truncated(s["raw_text"])))))
-    df = stage1.scanned(df, F.filter(texts, lambda t: t.rlike(r"\S")))
-    return df.select("request_id", "session_id", F.col("stage1.outcome").alias("outcome"), F.col("stage1.should_block").alias("blocked"))
+def stage1_in_row(requests: DataFrame, config: cascade.Config = cascade.Config()) -> DataFrame:
+    """request_id, session_id, outcome, blocked by Stage I, over the same normalised texts as in batches."""
+    df = cascade.judged(cascade.inspected(requests, dataclasses.replace(config, stage2=False)))
+    return df.select("request_id", "session_id", F.col("stage_1_syntactic").alias("outcome"), F.col("stage1_blocked").alias("blocked"))
+
+
+def enforced_in_row(requests: DataFrame, config: cascade.Config = cascade.Config(stage2=True), **policy) -> DataFrame:
+    """The whole cascade and its enforcement over a stream: the batch plan, stateless, a request stays one row."""
+    return enforce.run(requests, config, **policy)
 
 
 def risk_of(scores: list[float]) -> float:
