@@ -29,6 +29,7 @@ FREQUENT = frozenset(
 )
 #: What str.isspace() calls white space, as a class body for java.util.regex.
 WS = r"\t-\r\x1c-\x20\x85\xa0  -     　"
+BLANKS = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
 #: A text with anything but white space.
 NONBLANK = rf"[^{WS}]"
 ASCII_LOWER, ASCII_UPPER = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -60,7 +61,7 @@ def is_ascii(c: Column) -> Column:
 
 def stripped(c: Column) -> Column:
     """Without white space at both ends, by Python's notion of it."""
-    return F.regexp_replace(c, rf"^[{WS}]+|[{WS}]+$", "")
+    return F.btrim(c, F.lit(BLANKS))
 
 
 def truncated(c: Column, most: int | None = MOST_INSPECTED) -> Column:

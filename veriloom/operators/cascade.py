@@ -16,6 +16,7 @@ from veriloom.functions import text as T
 from . import segments as S
 from . import stage1, stage2
 from .chunks import Windows
+from .plan import settled
 from .rules import FLAG_RULES, PATTERNS, Rule
 from .stage2 import Scorer, keyword_score, keyword_tokens
 
@@ -59,10 +60,10 @@ def inspected(requests: DataFrame, config: Config = Config(stage2=True)) -> Data
     """
     df = requests.withColumn("_s", S.segment_array(F.col("context"), F.col("messages")))
     df = S.normalised_segments(df, F.col("_s"), config.most_chars)
-    df = df.withColumn("_scan", F.transform("norm", lambda n: S.scannable(n["text"], n["variants"])))
+    df = settled(df.withColumn("_scan", F.transform("norm", lambda n: S.scannable(n["text"], n["variants"]))))
     if config.stage1:
         df = stage1.scanned_each(df, F.col("_scan"), F.col("norm")["flags"], config.block_severity, config.rules, config.flag_rules, config.windows1)
-        blocked = F.exists("stage1", lambda s: s["should_block"])
+        df, blocked = settled(df), F.exists("stage1", lambda s: s["should_block"])
     else:
         df, blocked = df.withColumn("stage1", F.lit(None).cast(f"array<struct<detections:array<{stage1.DETECTION}>,chars:int,windows:int,truncated:boolean,should_block:boolean,outcome:string>>")), F.lit(False)
     shut = F.transform("_scan", lambda _: F.lit(None).cast("array<string>"))
@@ -75,7 +76,7 @@ def inspected(requests: DataFrame, config: Config = Config(stage2=True)) -> Data
             n["flags"].alias("flags"), n["script"].alias("script"), F.col("stage1")[i].alias("stage1"), F.col("stage2")[i].alias("stage2"),
         )
 
-    return df.withColumn("segments", F.transform("_s", segment)).drop("_s", "norm", "_scan", "stage1", "stage2")
+    return settled(settled(df).withColumn("segments", F.transform("_s", segment)).drop("_s", "norm", "_scan", "stage1", "stage2"))
 
 
 def first_by(segs: Column, key, when) -> Column:
@@ -113,6 +114,7 @@ def judged(df: DataFrame, config: Config = Config(stage2=True)) -> DataFrame:
             "_band": any_of("stage2", "uncertain"),
         }
     )
+    df = settled(df)
     top = stage1.highest(F.col("_hit.stage1.detections"))
     strong = F.col("_sem.stage2.score") >= stage2.UNCERTAIN
     first = F.concat(F.when(F.col("stage1_blocked"), "block_").otherwise("signal_"), top["detector_id"])
@@ -134,7 +136,7 @@ def judged(df: DataFrame, config: Config = Config(stage2=True)) -> DataFrame:
             "has_untrusted": F.exists("segments", lambda s: s["trust"] == "untrusted"),
         }
     )
-    return df.drop("_hit", "_sem", "_band", "stage1_truncated")
+    return settled(df.drop("_hit", "_sem", "_band", "stage1_truncated"))
 
 
 def inspect(requests: DataFrame, config: Config = Config(stage2=True)) -> DataFrame:

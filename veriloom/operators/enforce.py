@@ -13,6 +13,7 @@ from pyspark.sql.pandas.types import from_arrow_type
 from veriloom.functions import text as T
 
 from . import cascade
+from .plan import settled
 
 MARKER, LEAST_CHARS, BLOCK_STATUS = "[content removed by security filter]", 4, 403
 _END = re.compile(r"\n+|[.!?]+(?=\s|$)")
@@ -52,6 +53,7 @@ def decided(verdicts: DataFrame, sanitize_untrusted: bool = True, resolve_band_b
     none = F.array().cast(TARGETS)
     df = verdicts.withColumn("_sure", F.concat(stage1_targets(F.col("segments")), stage2_targets(F.col("segments"), False)))
     df = df.withColumn("_band", F.filter(stage2_targets(F.col("segments"), True), lambda t: t["trust"] == "untrusted"))
+    df = settled(df)
     sure, band = F.size("_sure") > 0, F.col("stage2_uncertain") & F.lit(resolve_band_by_trust)
     direct = F.filter("_sure", lambda t: t["trust"] != "untrusted")
     blocks = sure & ((F.size(direct) > 0) | F.lit(not sanitize_untrusted))
@@ -131,7 +133,7 @@ def applied(judged: DataFrame, **policy) -> DataFrame:
     response_status. Only requests to be redacted have work for Python. Messages' texts and blocks are rewritten; contexts
     never leave here. A request in which nothing could be removed is blocked. A row stays one row.
     """
-    df = decided(judged, **policy)
+    df = settled(decided(judged, **policy))
     sanitize = F.col("decision") == "sanitize"
     flat = F.flatten(F.transform("messages", lambda m: F.concat(F.array(m["content"]), F.coalesce(m["blocks"]["text"], F.array().cast("array<string>")))))
     df = df.withColumn("_r", _redact_all(F.when(sanitize, flat), F.when(sanitize, F.col("targets")["text"])))

@@ -186,9 +186,10 @@ def normalised(segs: DataFrame, most: int | None = T.MOST_INSPECTED) -> DataFram
 
 def scannable(text: Column, variants: Column) -> Column:
     """text and variants, without blanks and without those that equal an earlier one but for white space at the ends."""
-    every = F.filter(F.concat(F.array(text), variants), lambda x: x.isNotNull() & (T.stripped(x) != ""))
-    keys = F.transform(every, T.stripped)
-    return F.filter(every, lambda x, i: F.array_position(keys, T.stripped(x)) == i + 1)
+    every = F.filter(F.concat(F.array(text), variants), lambda x: x.isNotNull() & x.rlike(T.NONBLANK))
+    first = lambda e: F.filter(F.transform(e["x"], lambda x, i: F.when(F.array_position(e["k"], e["k"][i]) == i + 1, x)), lambda x: x.isNotNull())
+    bound = lambda e: F.when(F.size(e) <= 1, e).otherwise(F.transform(F.array(F.struct(e.alias("x"), F.transform(e, T.stripped).alias("k"))), first)[0])
+    return F.transform(F.array(every), bound)[0]
 
 
 def combined(text: Column, variants: Column) -> Column:
