@@ -164,3 +164,9 @@ ENFORCEMENT = f"WITH {CTES}, {ENFORCED} SELECT request_id, decision, upper(decis
 TELEMETRY = f"""WITH {CTES}, {ENFORCED} SELECT request_id, source_origin, attack_type, severity_level, {listed("normalization_flags", "segments_inspected", "attributed_tokens", "redacted_origins")}, injection_class, CAST(length(text) AS INTEGER) AS char_length,
   CAST(CASE WHEN length(text) = 0 THEN 0 ELSE greatest(1, length(text) // 4) END AS INTEGER) AS token_length, language, sha256(text) AS content_sha256, stage_1_syntactic, stage_2_semantic, 'n/a' AS stage_3_arbitration,
   semantic_score, {_SPAN}, upper(decision) AS mitigation_action_applied, reason AS mitigation_detail, CAST(n AS INTEGER) AS spans_redacted, response_status, 'default' AS target_model FROM enforced"""
+#: Stage II alone sees every text, also of what Stage I would block.
+ARMS = f"""WITH {CTES}, judged AS (
+  SELECT v.doc_id % {len(PLANTS)} AS plant, stage1_blocked AS b1, coalesce(t.score, 0) >= {stage2.BLOCKS} AS b2 FROM verdicts v LEFT JOIN stage2 t USING (doc_id)
+)
+SELECT arm, CAST(plant AS INTEGER) AS plant, count(*) AS n, CAST(sum(CASE arm WHEN 'baseline' THEN 0 WHEN 'stage1' THEN CAST(b1 AS INTEGER) WHEN 'stage2' THEN CAST(b2 AS INTEGER) ELSE CAST(b1 OR b2 AS INTEGER) END) AS BIGINT) AS blocked
+FROM judged, (VALUES ('baseline'), ('stage1'), ('stage2'), ('stage12')) AS a(arm) GROUP BY ALL"""

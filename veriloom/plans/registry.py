@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from veriloom.functions import markup
 from veriloom.functions import text as T
-from veriloom.operators import cascade, chunks, corpus, enforce, metrics, segments, stage1, stage2, stats
+from veriloom.operators import cascade, chunks, corpus, enforce, matrices, metrics, segments, stage1, stage2, stats
 from veriloom.operators.rules import DETECTORS, FLAG_RULES, PATTERNS, SEVERITIES
 from veriloom.sources import telemetry
 from veriloom.streaming import live
@@ -308,6 +308,28 @@ def decoded_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return n.select("doc_id", F.array_contains("variants", F.concat(F.lit("ignore the system prompt "), F.col("doc_id").cast("string"))).alias("found"), F.array_contains("flags", "base64_decoded").alias("flagged"))
 
 
+def evasion_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What obfuscation hides from a naive reader, and normalisation shows."""
+    return matrices.evasion(spark).select("technique", "source_tag", "naive", "normalised", "passed")
+
+
+def enforcement_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What becomes of a set of requests."""
+    return matrices.enforcement(spark).select("scenario", "action", "reached")
+
+
+def arms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often each arm of an evaluation blocks planted documents, by what is planted."""
+    out, r = None, requests_of_documents(spark, sf_dir)
+    for name in ("baseline", "stage1", "stage2", "stage12"):
+        c = cascade.CONFIGS[name]
+        c = cascade.whole(stage1=c.stage1, stage2=c.stage2)
+        v = cascade.predicted(cascade.judged(cascade.inspected(r, c), c)).groupBy(F.pmod("ord", F.lit(len(cascade_sql.PLANTS))).cast("int").alias("plant")).agg(F.count("*").alias("n"), F.sum("prediction").alias("blocked"))
+        v = v.withColumn("arm", F.lit(name))
+        out = v if out is None else out.unionByName(v)
+    return out
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stage1_outcomes(spark, sf_dir)
 
@@ -315,7 +337,7 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 _ALL = (
     stage1_outcomes, stage1_detections, attack_counts, rule_table, chunk_windows, conversation_segments, trust_profile, payload_profile, unicode_cleanup, special_characters, stage2_scores, audit, dataset_overlaps, label_conflicts,
     clean_dispositions, clean_statistics, subsample, describe, stratified_split, evaluation, fold_evaluation, fold_moments, signal_position, event_latency, session_risk, event_windows, event_sessions, cascade_verdicts, enforcement,
-    telemetry_records, page_channels, decoded_variants,
+    telemetry_records, page_channels, decoded_variants, evasion_matrix, enforcement_matrix, arms,
 )
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}
 
@@ -393,5 +415,8 @@ SELECT user_id, CAST(sum(fresh) AS BIGINT) AS sessions, count(*) AS events FROM
     "cascade_verdicts": cascade_sql.VERDICTS,
     "enforcement": cascade_sql.ENFORCEMENT,
     "telemetry_records": cascade_sql.TELEMETRY,
+    "evasion_matrix": """SELECT * FROM (VALUES ('plain text', 'user_input', true, true, true), ('zero-width characters', 'user_input', false, true, true), ('Cyrillic look-alikes', 'user_input', false, true, true), ('full-width letters', 'user_input', false, true, true), ('Base64', 'user_input', false, true, true), ('Base64 twice', 'user_input', false, true, true), ('hexadecimal', 'user_input', false, true, true), ('rotated by 13', 'user_input', false, true, true), ('hidden element', 'web_content', true, true, true), ('comment', 'web_content', false, true, true), ('attribute', 'web_content', false, true, true), ('white on white', 'web_content', true, true, true), ('Base64 in a hidden element', 'web_content', false, true, true), ('harmless request', 'user_input', false, false, true), ('harmless markup', 'user_input', false, false, true)) AS t(technique, source_tag, naive, normalised, passed)""",
+    "enforcement_matrix": """SELECT * FROM (VALUES ('harmless question', 'ALLOW', true), ('direct injection', 'BLOCK', false), ('injection in a web page', 'SANITIZE', true), ('injection in a tool''s answer', 'SANITIZE', true), ('injection in hidden HTML', 'SANITIZE', true), ('injection in Base64', 'BLOCK', false), ('talk of security', 'ALLOW', true), ('doubt about a web page', 'SANITIZE', true), ('doubt about the user', 'ALLOW', true)) AS t(scenario, action, reached)""",
+    "arms": cascade_sql.ARMS,
     "decoded_variants": "SELECT doc_id, true AS found, true AS flagged FROM documents",
 }

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import warnings
+from collections.abc import Callable
 from functools import reduce
 
 import pandas as pd
@@ -11,12 +12,16 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veriloom.functions import text as T
+from veriloom.operators import segments
 
 TEXT_NAMES = "text prompt input content question instruction user_input query sentence message".split()
 LABEL_NAMES = "label labels is_injection injection malicious target class category is_malicious toxic jailbreak y".split()
 SUFFIXES = (".jsonl", ".json", ".csv", ".tsv", ".parquet")
-#: Data sets that a fetcher may offer, by name; fetching needs a network and is not part of the library.
-REGISTRY: dict[str, str] = {}
+#: Public data sets by name: where a hub keeps them, and the splits to fetch.
+REGISTRY: dict[str, tuple[str, tuple[str, ...]]] = {"jayavibhav": ("jayavibhav/prompt-injection", ("train",)), "promptshield": ("hendzh/PromptShield", ("train", "validation", "test"))}
+#: Data sets that are left out, and why.
+EXCLUDED: dict[str, tuple[str, str]] = {"deepset": ("deepset/prompt-injections", "its rows are all in another set of the registry")}
+TEXT_SUFFIXES = (".txt", ".md", ".csv", ".json", ".yaml", ".yml", ".log")
 DOCUMENT = "body string, metadata_text array<string>, metadata map<string,string>, page_count int, flags array<string>, error string"
 PDF_KEYS = ("Title", "Author", "Subject", "Keywords", "Creator", "Producer")
 
@@ -78,7 +83,7 @@ def normalised(df: DataFrame, dataset: str, source_tag: str = "user_input", text
         F.lit(source_tag).alias("source_tag"),
         (df["`" + attack + "`"].cast("string") if attack else F.lit(None).cast("string")).alias("attack_type"),
     )
-    return rows.where(F.col("text").rlike(r"\S") & F.col("label").isNotNull())
+    return rows.where(F.col("text").rlike(T.NONBLANK) & F.col("label").isNotNull())
 
 
 def load_file(spark: SparkSession, path: str, **options) -> DataFrame:
@@ -89,13 +94,56 @@ def load_file(spark: SparkSession, path: str, **options) -> DataFrame:
     return df
 
 
+def listed(spark: SparkSession, path: str) -> list[str]:
+    """The names in a folder of any file system that Spark reads, in order."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return sorted(x.getPath().getName() for x in at.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(at))
+
+
+def hub_loader(hub_id: str, split: str) -> pd.DataFrame:
+    """A split of a hub's data set; needs a network and the hub's library."""
+    try:
+        from datasets import load_dataset
+    except ImportError as e:
+        raise DatasetError("the hub's library is not installed; give fetch() a loader, or put the files there by hand") from e
+    return load_dataset(hub_id, split=split).to_pandas()
+
+
+def fetch(spark: SparkSession, path: str, *names: str, loader: Callable[[str, str], pd.DataFrame | DataFrame] = hub_loader) -> dict[str, str]:
+    """Data sets of the registry (all, if none is named) as CSV folders below a path, one for each split: what became of each.
+
+    A split that is there already is left as it is; one that can't be loaded does not keep others from it.
+    """
+    unknown = [n for n in names if n not in REGISTRY]
+    if unknown:
+        raise DatasetError(f"no data set {unknown[0]!r}" + (f": {EXCLUDED[unknown[0]][1]}" if unknown[0] in EXCLUDED else f" among {', '.join(REGISTRY)}"))
+    out = {}
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    for name in names or REGISTRY:
+        hub_id, splits = REGISTRY[name]
+        for split in splits:
+            label = f"{name}_{split}" if len(splits) > 1 else name
+            target = f"{path.rstrip('/')}/{label}.csv"
+            if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(target)):
+                out[label] = "present"
+                continue
+            try:
+                got = loader(hub_id, split)
+                (got if isinstance(got, DataFrame) else spark.createDataFrame(got)).write.csv(target, header=True, quoteAll=True, escape='"')
+                out[label] = "fetched"
+            except Exception as e:  # whatever a hub says
+                out[label] = f"failed: {str(e)[:200]}"
+    return out
+
+
 def load_directory(spark: SparkSession, path: str, **options) -> DataFrame:
     """The samples of all files in a folder, in order of their paths; a bad file is a warning."""
     parts = []
-    for k, name in enumerate(sorted(os.listdir(path))):
+    for k, name in enumerate(listed(spark, path)):
         if os.path.splitext(name)[1].lower() in SUFFIXES:
             try:
-                parts.append(load_file(spark, os.path.join(path, name), **options).withColumn("ord", F.col("ord") + (k << 50)))
+                parts.append(load_file(spark, f"{path.rstrip('/')}/{name}", **options).withColumn("ord", F.col("ord") + (k << 50)))
             except Exception as e:  # whatever a reader says of a bad file
                 warnings.warn(f"{name}: {str(e)[:300]}", stacklevel=2)
     if not parts:
@@ -108,10 +156,10 @@ def write_csv(samples: DataFrame, path: str) -> None:
     samples.select("text", "label", "dataset").write.mode("overwrite").partitionBy("dataset").csv(path, header=True, quoteAll=True, escape='"')
 
 
-def extracted(path: str, content: bytes) -> dict:
-    """DOCUMENT of one file: PDF if a reader is installed, text with bad bytes replaced, else an error."""
-    name = path.lower()
-    if name.endswith(".pdf") or content[:5] == b"%PDF-":
+def extracted(path: str, content: bytes, mime: str | None = None, max_pages: int | None = None) -> dict:
+    """DOCUMENT of one file by its MIME type or name: PDF if a reader is installed, text with bad bytes replaced, else an error."""
+    name, kind = path.lower(), (mime or "").lower()
+    if "pdf" in kind or name.endswith(".pdf"):
         try:
             import pdfplumber
         except ImportError:
@@ -120,21 +168,50 @@ def extracted(path: str, content: bytes) -> dict:
 
         try:
             with pdfplumber.open(io.BytesIO(content)) as pdf:
-                meta = {k: str(v) for k, v in (pdf.metadata or {}).items() if k in PDF_KEYS and v}
-                return {"body": "\n".join(p.extract_text() or "" for p in pdf.pages), "metadata": meta, "metadata_text": [f"{k}: {v}" for k, v in meta.items()], "page_count": len(pdf.pages), "flags": ["file_metadata_extracted"] if meta else []}
+                meta = {k: str(v) for k, v in (pdf.metadata or {}).items() if k in PDF_KEYS and str(v).strip()}
+                body = "\n".join(p.extract_text() or "" for p in pdf.pages[:max_pages]).strip()
+                return {"body": body, "metadata": meta, "metadata_text": [f"{k}: {meta[k]}" for k in PDF_KEYS if k in meta], "page_count": len(pdf.pages), "flags": ["file_metadata_extracted"] if meta else []}
         except Exception as e:  # a damaged file must not end the job
             return {"error": f"{type(e).__name__}: {e}"}
-    if name.endswith((".txt", ".md", ".csv", ".json", ".log", ".html", ".htm", ".xml")):
+    if kind.startswith("text/") or "html" in kind or name.endswith((*TEXT_SUFFIXES, ".html", ".htm")):
         return {"body": content.decode("utf-8", "replace")}
-    return {"error": f"unsupported file {os.path.basename(path)}"}
+    return {"error": f"unsupported file {os.path.basename(path)}" + (f" of type {mime}" if mime else "")}
 
 
-def read_documents(spark: SparkSession, path: str) -> DataFrame:
-    """path and DOCUMENT of every file under a path."""
+def documents_of(files: DataFrame, max_pages: int | None = None) -> DataFrame:
+    """path and DOCUMENT of rows (path, content, mime); mime may be null, or no column."""
 
     def run(batches):
         for pdf in batches:
-            rows = [{"path": p, "metadata_text": [], "metadata": {}, "flags": [], "body": None, "page_count": None, "error": None} | extracted(p, bytes(c)) for p, c in zip(pdf["path"], pdf["content"])]
+            kinds = pdf["mime"] if "mime" in pdf else [None] * len(pdf)
+            rows = [{"path": p, "metadata_text": [], "metadata": {}, "flags": [], "body": None, "page_count": None, "error": None} | extracted(p, bytes(c), m, max_pages) for p, c, m in zip(pdf["path"], pdf["content"], kinds)]
             yield pd.DataFrame(rows)[["path", *[x.split()[0] for x in DOCUMENT.split(", ")]]]
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, f"path string, {DOCUMENT}")
+    return files.select("path", "content", *(["mime"] if "mime" in files.columns else [])).mapInPandas(run, f"path string, {DOCUMENT}")
+
+
+def read_documents(spark: SparkSession, path: str, max_pages: int | None = None) -> DataFrame:
+    """path and DOCUMENT of every file under a path."""
+    return documents_of(spark.read.format("binaryFile").load(path), max_pages)
+
+
+def preprocessed(documents: DataFrame, most: int | None = T.MOST_INSPECTED) -> DataFrame:
+    """path, text, variants, flags, script, error of documents: body and metadata normalised piece by piece, and merged.
+
+    The first piece with anything in it gives the text; the others, and what decoding finds, are variants. A file without
+    any text has an empty one. The document's own flags come last.
+    """
+    none = F.array().cast("array<string>")
+    pieces = F.filter(F.concat(F.array("body"), F.coalesce("metadata_text", none)), lambda x: x.isNotNull() & x.rlike(T.NONBLANK))
+    df = segments.normalised_each(documents.withColumn("_p", pieces), F.col("_p"), most)
+    n = F.col("norm")
+    rest = F.flatten(F.transform(F.slice(n, 2, 1 << 30), lambda x: F.concat(F.array(x["text"]), x["variants"])))
+    first = F.try_element_at(n, F.lit(1))
+    return df.select(
+        "path",
+        F.coalesce(first["text"], F.lit("")).alias("text"),
+        F.concat(F.coalesce(first["variants"], none), rest).alias("variants"),
+        F.array_distinct(F.concat(F.flatten(n["flags"]), F.coalesce("flags", none))).alias("flags"),
+        F.try_element_at(F.filter(n["script"], lambda x: x.isNotNull()), F.lit(1)).alias("script"),
+        "error",
+    )
