@@ -12,7 +12,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 #: Characters that one numpy step works on at a time; a longer single text is a step of its own.
-STEP_CHARS = 3_000_000
+STEP_CHARS = 2_000_000
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -140,9 +140,9 @@ def train(spans: list[tuple[str, list[str]]], seed: int = 5) -> Model | None:
     words, labels = words[: rows * T] or words, labels[: rows * T]
     if len(words) < T:
         words, labels = (words * (T // len(words) + 1))[:T], np.resize(labels, T)
-    distinct, code = np.unique(np.array(words, dtype=object).astype(str), return_inverse=True)
-    named = pa.array(distinct.tolist(), pa.string())
-    uses = np.bincount(code.ravel() * K + labels, minlength=len(distinct) * K).reshape(-1, K)[:, :-1] >= LEXICON_LEAST
+    encoded = pa.array(words, pa.string()).dictionary_encode()
+    named, code = encoded.dictionary, encoded.indices.to_numpy()
+    uses = np.bincount(code.ravel() * K + labels, minlength=len(named) * K).reshape(-1, K)[:, :-1] >= LEXICON_LEAST
     known = np.flatnonzero(uses.any(axis=1))
     keys = word_hashes(named)[known]
     known, keys = known[np.argsort(keys)], np.sort(keys)

@@ -181,6 +181,7 @@ def cut(docs: DataFrame, at: str, model_file: str, capacity: int) -> DataFrame:
                 fs.create_dir(path, recursive=True)
                 out = pq.ParquetWriter(f"{path}/{name}", batch.schema, filesystem=fs, compression="zstd", use_dictionary=False)
             out.write_batch(batch)
+        pa.default_memory_pool().release_unused()
         if out is not None:
             out.close()
             yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([f"{at}/{name}"]), pa.array([counts.tolist()], pa.list_(pa.int64()))], ["part", "file", "counts"])
@@ -225,7 +226,7 @@ def packed(docs: DataFrame, model_file: str, id_col: str = "doc_id", text_col: s
                 rank[row["lengths"]] = row["bases"]
                 fs, path = filesystem(row["file"])
                 with fs.open_input_file(path) as f:
-                    for b in pq.ParquetFile(f).iter_batches(2048):
+                    for b in pq.ParquetFile(f).iter_batches(512):
                         n = b.column(3).to_numpy().astype(np.int64)
                         b = b.filter(pa.array((n == capacity) == full))
                         n = n[(n == capacity) == full]
@@ -248,8 +249,8 @@ def packed(docs: DataFrame, model_file: str, id_col: str = "doc_id", text_col: s
     def assemble(batches):
         kind = id_type(spm.vocabulary(model_file))
         for whole in batches:
-            for lo in range(0, whole.num_rows, 1024):
-                b = whole.slice(lo, 1024)
+            for lo in range(0, whole.num_rows, 256):
+                b = whole.slice(lo, 256)
                 lists = b.column(2)
                 cuts = lists.offsets.to_numpy().astype(np.int64)
                 cuts, x = cuts - cuts[0], lists.flatten()

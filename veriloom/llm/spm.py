@@ -31,9 +31,9 @@ BASE = np.uint64(0x9E3779B97F4A7C15)
 #: Words longer than this are encoded one by one.
 LONG = 256
 #: Bytes of texts that are encoded at a time; a longer single text is encoded alone.
-STEP_BYTES = 3 * STEP_CHARS
+STEP_BYTES = STEP_CHARS
 #: A process keeps the ids of so many words, of so many signs at most, from one batch to the next; others are encoded again.
-KEPT_WORDS, KEPT_SIGNS = 200_000, 40
+KEPT_WORDS, KEPT_SIGNS = 100_000, 40
 
 
 @dataclass
