@@ -312,33 +312,32 @@ def encode_words(words: pa.Array, v: Vocabulary, cells: int = 1_000_000, m: Merg
 
 
 class Known:
-    """Ids of words that a process has encoded before, under one vocabulary."""
+    """Ids of words that a process has encoded before, under one vocabulary: those of the word at place[k] are ids[at[k] : at[k + 1]]."""
 
     def __init__(self):
-        self.clear()
-
-    def clear(self) -> None:
-        self.place: dict[str, int] = {}
-        self.ids, self.at = np.zeros(0, np.int32), np.zeros(1, np.int64)
+        self.place, self.ids, self.at = None, np.zeros(0, np.int32), np.zeros(1, np.int64)
 
     def encoded(self, words: pa.Array, v: Vocabulary, m: Merges | None) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, offsets by word) of distinct words; only those not known yet are encoded."""
-        names = words.to_pylist()
-        place = np.array([self.place.get(w, -1) for w in names], np.int64)
+        """(ids, offsets by word) of distinct words; only those not known yet are encoded. Past KEPT_WORDS those of this batch stay."""
+        if self.place is None or self.place.type != words.type:
+            self.place, self.ids, self.at = pa.array([], words.type), np.zeros(0, np.int32), np.zeros(1, np.int64)
+        place = pc.fill_null(pc.index_in(words, value_set=self.place), -1).to_numpy(zero_copy_only=False).astype(np.int64)
         new = np.flatnonzero(place < 0)
-        ids, cuts = encode_words(words.take(pa.array(new)), v, m=m)
+        fresh = words.take(pa.array(new))
+        ids, cuts = encode_words(fresh, v, m=m)
         place[new] = len(self.at) - 1 + np.arange(len(new))
         every, at = np.concatenate((self.ids, ids)), np.concatenate((self.at, len(self.ids) + cuts[1:]))
         n = np.diff(at)[place]
         out = every[gather(at[place], n)], np.concatenate(([0], np.cumsum(n)))
-        short = [k for k in new.tolist() if len(names[k]) <= KEPT_SIGNS]
-        if len(self.place) + len(short) > KEPT_WORDS:
-            self.clear()
-        elif short:
-            kept = np.diff(at)[place[short]]
-            self.place.update({names[k]: len(self.at) - 1 + i for i, k in enumerate(short)})
-            self.ids = np.concatenate((self.ids, every[gather(at[place[short]], kept)]))
-            self.at = np.concatenate((self.at, self.at[-1] + np.cumsum(kept)))
+        short = pc.less_equal(pc.utf8_length(fresh), KEPT_SIGNS).to_numpy(zero_copy_only=False)
+        if len(self.place) + short.sum() > KEPT_WORDS:
+            keep = np.flatnonzero(pc.less_equal(pc.utf8_length(words), KEPT_SIGNS).to_numpy(zero_copy_only=False))[:KEPT_WORDS]
+            self.place, self.ids, self.at = words.take(pa.array(keep)), every[gather(at[place[keep]], n[keep])], np.concatenate(([0], np.cumsum(n[keep])))
+        elif short.any():
+            kept = new[short]
+            self.place = pa.concat_arrays([self.place, words.take(pa.array(kept))])
+            self.ids = np.concatenate((self.ids, every[gather(at[place[kept]], n[kept])]))
+            self.at = np.concatenate((self.at, self.at[-1] + np.cumsum(n[kept])))
         return out
 
 
