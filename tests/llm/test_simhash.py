@@ -126,6 +126,64 @@ def test_strips_group_by_plain_hamming_distance(spark, docs, monkeypatch):
     assert {r["doc_id"]: r["group_id"] for r in S.near_duplicates(docs).collect()} == want
 
 
+@pytest.mark.parametrize("r", [0, 2, 20, S.RADIUS, 130])
+def test_keys_lose_no_pair(r):
+    """Rows at every distance up to 2 r of some others, whose differing bits lie anywhere or all in one word."""
+    rng = np.random.default_rng(r)
+    base = rng.integers(0, 1 << 63, (12, 4), dtype=np.uint64)
+    fp = np.repeat(base, 12, axis=0)
+    for k in range(len(fp)):
+        most = 64 if k % 3 == 0 else 256
+        for bit in rng.choice(most, min(most, rng.integers(0, 2 * r + 2)), replace=False):
+            fp[k, bit // 64] ^= np.uint64(1) << np.uint64(bit % 64)
+    near = np.bitwise_count(fp[:, None] ^ fp[None]).sum(2) <= r
+    apart, cut = np.arange(len(fp)), 60
+    for bits in (None, 0, 5, 16):
+        for cells, width in ((1 << 16, 8192), (64, 7)):
+            same = [p for x in S.places(r) for i, j in S.pairs_by_key(fp, fp, r, x, apart, apart, True, bits, cells, width) for p in zip(i.tolist(), j.tolist())]
+            assert {(min(p), max(p)) for p in same} == set(zip(*(x.tolist() for x in np.nonzero(np.triu(near, 1)))))
+            got = [p for x in S.places(r) for i, j in S.pairs_by_key(fp[:cut], fp[cut:], r, x, apart[:cut], apart[cut:], False, bits, cells, width) for p in zip(i.tolist(), j.tolist())]
+            assert set(got) == set(zip(*(x.tolist() for x in np.nonzero(near[:cut, cut:]))))
+
+
+def test_keys_leave_out_most_pairs(monkeypatch):
+    """Of the pairs of 20,000 unlike rows, all places together compare under an eighth."""
+    fp, met = np.random.default_rng(4).integers(0, 1 << 63, (20_000, 4), dtype=np.uint64) * np.uint64(2654435761), []
+    take = S.gather
+    monkeypatch.setattr(S, "gather", lambda starts, lengths: met.append(len(at := take(starts, lengths))) or at)
+    for x in S.places(S.RADIUS):
+        _, _, start = S.keyed(fp, x[0], x[1], 16)
+        rows, since = np.diff(start)[np.diff(start) > 0], len(met)
+        apart = np.arange(len(fp))
+        assert not list(S.pairs_by_key(fp, fp, S.RADIUS, x, apart, apart, True, 16))
+        met[since:] = [sum(n * m for n, m in zip(rows.tolist(), met[since:]))]
+    assert sum(met) < len(fp) ** 2 / 2 / 8
+
+
+def test_large_groups_under_keys(monkeypatch):
+    """3000 near copies of one row, and of another: labels leave out what is joined, and join all the same."""
+    rng = np.random.default_rng(6)
+    fp = np.repeat(rng.integers(0, 1 << 63, (2, 4), dtype=np.uint64), 3000, axis=0)[rng.permutation(6000)]
+    fp[:, 3] ^= np.uint64(1) << rng.integers(0, 40, len(fp), dtype=np.uint64)
+    label = np.arange(len(fp))
+    for i, j in S.pairs_by_key(fp, fp, S.RADIUS, S.places(S.RADIUS)[0], label, label, True, 4):
+        S.unite(label, i, j)
+        while ((x := label[label]) != label).any():
+            label[:] = x
+    first = [int(np.flatnonzero(fp[:, 0] == w)[0]) for w in fp[:, 0]]
+    assert label.tolist() == first
+
+
+@pytest.mark.parametrize("shard_rows", [12, 300])
+def test_strips_with_keys_match_brute_force(spark, docs, monkeypatch, shard_rows):
+    monkeypatch.setattr(S, "FEW", 0)
+    monkeypatch.setattr(S, "SHARD_ROWS", shard_rows)
+    monkeypatch.setattr(S, "STRIP", 5)
+    rows = docs.select("doc_id", "text").collect()
+    want = brute_groups([r[0] for r in rows], [r[1] for r in rows])
+    assert {r["doc_id"]: r["group_id"] for r in S.near_duplicates(docs).collect()} == want
+
+
 def test_long_chains_are_one_group(spark):
     edges = spark.createDataFrame([(k, k + 1) for k in range(40)] + [(100, 50), (7, 7)], "a long, b long")
     got = dict(tuple(r) for r in S.components(edges, shared_dir(spark)).collect())

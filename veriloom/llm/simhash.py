@@ -3,29 +3,37 @@
 A document's fingerprint has 256 bits over the set of its words and word pairs. The distance of two documents is the
 Hamming distance of their fingerprints, a metric, so the triangle inequality holds for it. A vantage-point tree over that
 metric orders the fingerprints by leaf, and they are cut in that order into shards of SHARD_ROWS, however many there are.
-Every shard is compared with itself and with the shards behind it, a strip of STRIP shards a task; of a visiting shard
-only those rows take part whose ball of the radius overlaps a leaf of the home shard. So each pair within the radius meets
-exactly once, no task holds more than a strip, and its work is bounded whatever the table's size. Pairs are exact in the
-metric; tasks emit only edges to the smallest member, which keep the groups.
+STRIP shards are a strip; every strip is compared with itself and with the strips before it, and of a visiting shard only
+those rows take part whose ball of the radius overlaps a leaf of the home strip. Two strips meet once for every key: by the
+pigeonhole principle (see `places`) a pair within the radius is close in one of four words, and there in one of the word's
+four quarters. So a task takes one quarter as key, compares each row with those rows only whose key is close, first by the
+key's word and then by all four. No pair is lost, no task holds more than two strips, and its work is bounded whatever the
+table's size. Pairs are exact in the metric; tasks emit only edges to the smallest member, which keep the groups.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cleaned, dropped, files_of, filesystem, mix, numbered, only, shared_dir, steps, tokens, word_hashes, written
+from .common import cleaned, dropped, files_of, filesystem, gather, mix, numbered, only, raw, shared_dir, steps, tokens, word_hashes, written
 
 BITS, BUCKETS = 256, 8192
 #: Near duplicates: at most RADIUS of the 256 bits differ.
 RADIUS = 56
 #: The tree's shape is taken from so many fingerprints, LEAF_SAMPLE of them a leaf; every fingerprint is routed through it.
 TREE_SAMPLE, LEAF_SAMPLE = 8192, 16
-#: A shard has about so many rows; a task compares one shard with so many others.
-SHARD_ROWS, STRIP = 8192, 16
+#: A shard has about so many rows, a strip so many shards; a task compares two strips.
+SHARD_ROWS, STRIP = 8192, 128
+#: Tables of at most so many different fingerprints are compared without keys, which would leave out next to nothing.
+FEW = 16_384
+#: A key has at most so many bits (a quarter of a word), and fewer as long as a key would have fewer rows than these.
+KEY_BITS, KEY_ROWS = 16, 16
 #: Tasks of the comparison: beyond so many a task takes several strips, one after the other.
 MOST_TASKS = 20_000
 
@@ -153,6 +161,7 @@ def unite(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
             a = x
         while ((x := label[b]) != b).any():
             b = x
+        label[i], label[j] = a, b
         differ = a != b
         if not differ.any():
             return
@@ -186,6 +195,73 @@ def pairs_within(a: np.ndarray, b: np.ndarray, r: int, same: bool = False, block
                     yield i[close], j[close]
 
 
+def places(r: int) -> list[tuple[int, int, int, int]]:
+    """(word, quarter, most, apart): rows within r differ in at most `most` bits of one such word and `apart` of its quarter.
+
+    r + 1 is dealt out over the words, and a word's share over its quarters. If a row differed from another in as many bits
+    as its share in each word, they would be r + 1 apart; so in some word it differs in fewer, and there in some quarter.
+    """
+    dealt = lambda n: [n // 4 + (k < n % 4) for k in range(4)]
+    found = [(w, q, word - 1, quarter - 1) for w, word in enumerate(dealt(r + 1)) for q, quarter in enumerate(dealt(word)) if quarter]
+    return sorted(found, key=lambda x: -x[3])  # most work first
+
+
+def keyed(fp: np.ndarray, word: int, quarter: int, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(one word of each row, row number, start by key), in the order of the key: the quarter's upper bits."""
+    w = np.ascontiguousarray(fp[:, word])
+    key = ((w >> np.uint64(16 * quarter) & np.uint64(0xFFFF)) >> np.uint64(16 - bits)).astype(np.uint16)
+    order = np.argsort(key, kind="stable")
+    return w[order], order, np.concatenate(([0], np.cumsum(np.bincount(key, minlength=1 << bits))))
+
+
+def pairs_by_key(a: np.ndarray, b: np.ndarray, r: int, place: tuple[int, int, int, int], label_a: np.ndarray, label_b: np.ndarray, same: bool = False, bits: int | None = None, cells: int = 1 << 16, width: int = 8192):
+    """Blocks (i, j) of the pairs of rows of a and b within r that are close at a place; if a and b are the same rows, each once.
+
+    Pairs whose labels are equal when they meet are in one group already and left out; the caller changes the labels.
+    """
+    word, quarter, most, apart = place
+    if bits is None:
+        bits = min(KEY_BITS, max(0, round(np.log2(max(len(a), 1) / KEY_ROWS))))
+    words_a, row_a, start_a = keyed(a, word, quarter, bits)
+    words_b, row_b, start_b = (words_a, row_a, start_a) if same else keyed(b, word, quarter, bits)
+    close, count = np.flatnonzero(np.bitwise_count(np.arange(1 << bits)) <= apart), np.diff(start_b)
+    x, d = np.empty(cells, np.uint64), np.empty(cells, np.uint8)
+    for key in np.flatnonzero(np.diff(start_a)).tolist():
+        others = close ^ key
+        if same:
+            others = others[others >= key]
+        at = gather(start_b[others], count[others])
+        cols, lo, hi, dense = words_b[at], int(start_a[key]), int(start_a[key + 1]), False
+        while lo < hi and len(cols):
+            e = min(hi, lo + max(1, cells // min(len(cols), width)))
+            group = label_a[row_a[lo:e]]
+            if dense and (group == group[0]).all():  # rows of one large group needn't meet the rest of it
+                rest = label_b[row_b[at]] != group[0]
+                at, cols, kept = at[rest], cols[rest], (at, cols)
+            else:
+                kept = (at, cols)
+            hits = 0
+            for c in range(0, len(cols), width):
+                part = cols[c : c + width]
+                n = (e - lo) * len(part)
+                np.bitwise_xor(words_a[lo:e, None], part, out=x[:n].reshape(e - lo, -1))
+                near = np.flatnonzero(np.bitwise_count(x[:n], out=d[:n]) <= most)
+                if not len(near):
+                    continue
+                hits += len(near)
+                p, q = lo + near // len(part), at[c + near % len(part)]
+                i, j = row_a[p], row_b[q]
+                new = label_a[i] != label_b[j]
+                if same:
+                    new &= p < q
+                i, j = i[new], j[new]
+                new = distance(a[i], b[j]) <= r
+                if new.any():
+                    yield i[new], j[new]
+            at, cols = kept
+            dense, lo = hits > len(cols), e
+
+
 def read_shard(uri: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(ids, fingerprints, leaves) of a shard's file."""
     import pyarrow.parquet as pq
@@ -193,31 +269,31 @@ def read_shard(uri: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     fs, path = filesystem(uri)
     with fs.open_input_file(path) as f:
         t = pq.read_table(f, columns=["rep", "fp", "leaf"])
-    return t["rep"].to_numpy(), words64(t["fp"].to_pylist()), t["leaf"].to_numpy()
+    fp = raw(t["fp"].combine_chunks())[0] if len(t) else np.zeros(0, np.uint8)
+    return t["rep"].to_numpy(), fp.view(np.uint64).reshape(-1, BITS // 64), t["leaf"].to_numpy()
 
 
-def strip_edges(home: str, others: list[str], tree, r: int) -> tuple[np.ndarray, np.ndarray]:
-    """Edges (a, b) from each member of a group within a shard and a strip of shards to the group's smallest id.
+def strip_edges(home: list[str], others: list[str], tree, r: int, place: tuple[int, int, int, int] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Edges (a, b) from each member of a group within two strips of shards to the group's smallest id.
 
-    The home shard may be one of the strip; its pairs are then compared too.
+    If the strips are the same, its own pairs are compared. With a place, the pairs are those that are close there.
     """
-    ids, fp, leaf = read_shard(home)
+    ids, fp, leaf = (np.concatenate(x) for x in zip(*map(read_shard, home)))
     if not len(ids):
         return ids, ids
-    members, links, n = [ids], [], len(ids)
-    for other in others:
-        if other == home:
-            links += [(i, j) for i, j in pairs_within(fp, fp, r, same=True)]
-            continue
+    same, n, members, visitors = others == home, len(ids), [ids], [fp[:0]]
+    for other in [] if same else others:
         ids2, fp2, _ = read_shard(other)
         visit = reaching(tree, int(leaf.min()), int(leaf.max()), fp2, r)
-        links += [(i, j + n) for i, j in pairs_within(fp, fp2[visit], r)]
         members.append(ids2[visit])
-        n += int(visit.sum())
-    ids = np.concatenate(members)
+        visitors.append(fp2[visit])
+    ids, fp2, start = np.concatenate(members), fp if same else np.concatenate(visitors), 0 if same else n
     label = np.arange(len(ids))
-    for i, j in links:
-        unite(label, i, j)
+    found = pairs_within(fp, fp2, r, same) if place is None else pairs_by_key(fp, fp2, r, place, label[:n], label[start:], same)
+    for i, j in found:
+        unite(label, i, j + start)
+        while len(i) > 4096 and ((x := label[label]) != label).any():
+            label[:] = x
     while ((x := label[label]) != label).any():
         label = x
     least = np.full(len(ids), np.iinfo(np.int64).max)
@@ -228,7 +304,7 @@ def strip_edges(home: str, others: list[str], tree, r: int) -> tuple[np.ndarray,
 
 
 def edges_within(exact: DataFrame, at: str, radius: int, count: int) -> DataFrame:
-    """(a, b) edges that join the groups of fingerprints (rep, fp) within the radius, from all pairs of shards."""
+    """(a, b) edges that join the groups of fingerprints (rep, fp) within the radius, from all pairs of strips."""
     spark = exact.sparkSession
     taken = exact.orderBy(F.xxhash64("rep"), "rep").limit(TREE_SAMPLE).select("fp").toArrow()["fp"].to_pylist()
     tree = grow(words64(taken))  # TREE_SAMPLE rows, whatever the table's size
@@ -242,18 +318,19 @@ def edges_within(exact: DataFrame, at: str, radius: int, count: int) -> DataFram
     placed = exact.select("rep", "fp").mapInArrow(place, "rep long, fp binary, leaf int")
     placed.repartitionByRange(shards, "leaf", "rep").write.mode("overwrite").parquet(f"{at}/shards")
     names = files_of(f"{at}/shards")  # a name for every SHARD_ROWS rows
-    homes = np.minimum((np.arange(-(-len(names) // STRIP)) + 1) * STRIP, len(names))  # of each strip: all shards up to its end
-    ends, strip = np.cumsum(homes), STRIP
+    strips = [names[k : k + STRIP] for k in range(0, len(names), STRIP)]
+    keys = places(radius) if count > FEW else [None]
+    pairs = len(strips) * (len(strips) + 1) // 2
 
     def compare(batches):
         for b in batches:
             for k in b.column(0).to_pylist():
-                nth = int(np.searchsorted(ends, k, "right"))
-                home = k - int(ends[nth] - homes[nth])
-                a, to = strip_edges(names[home], names[max(home, nth * strip) : (nth + 1) * strip], tree, radius)
+                nth, pair = divmod(k, pairs)
+                home = (math.isqrt(8 * pair + 1) - 1) // 2  # each strip with those up to itself
+                a, to = strip_edges(strips[home], strips[pair - home * (home + 1) // 2], tree, radius, keys[nth])
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(to)], ["a", "b"])
 
-    total = int(ends[-1]) if len(ends) else 0
+    total = pairs * len(keys)
     return spark.range(0, total, 1, max(1, min(total, MOST_TASKS))).mapInArrow(compare, "a long, b long")
 
 
@@ -285,7 +362,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Documents are in one group if a chain of pairs within `radius` joins them. Rows with a null id are left out. Of rows
     that share an id, that of the least fingerprint counts, and the result has one row of that id. Texts without words
     are no duplicates of anything, and stay; short and very long ones are compared like all others, by their whole texts.
-    Ids are cast to long. An empty table gives none. Comparisons grow with the square of the different fingerprints.
+    Ids are cast to long. An empty table gives none. Comparisons grow with the square of the different fingerprints, of which
+    the keys leave about a seventh in large tables.
     """
     at = shared_dir(docs.sparkSession)
     fps = fingerprints(docs, id_col, text_col).where("doc_id is not null")
