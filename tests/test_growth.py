@@ -33,3 +33,10 @@ def test_hits_across_a_windows_edge_come_in_rule_order(spark, tmp_path):
     con = tables(spark, tmp_path, texts)
     agree(spark, tmp_path, con, "stage1_detections")
     agree(spark, tmp_path, con, "stage1_outcomes")
+
+
+def test_arms_inspect_every_document_once(spark, tmp_path):
+    texts = {k: "A plain report about the weather. " * (1 + k % 3) for k in range(40)}
+    con = tables(spark, tmp_path, texts)
+    assert nodes(registry.arms(spark, str(tmp_path)), "Scan parquet") == 1
+    agree(spark, tmp_path, con, "arms")
