@@ -1,7 +1,12 @@
 """Steps whose work must not grow faster than the table, and long texts held against SQL."""
 
+import re
+import unicodedata
+
 import duckdb
+import pyspark.sql.functions as F
 
+from veriloom.functions import text as T
 from veriloom.operators import stage1
 from veriloom.plans import registry
 
@@ -40,3 +45,21 @@ def test_arms_inspect_every_document_once(spark, tmp_path):
     con = tables(spark, tmp_path, texts)
     assert nodes(registry.arms(spark, str(tmp_path)), "Scan parquet") == 1
     agree(spark, tmp_path, con, "arms")
+
+
+def test_a_text_is_cleaned_once(spark, tmp_path):
+    texts = {k: t for k, t in enumerate(["One  two.\r\nThree", "One two.\n\n\n\nThree ", "x", "Straße &amp; Weg, \u00a0 weit", "Straße & Weg, weit"] * 2)}
+    tables(spark, tmp_path, texts)
+    assert nodes(registry.clean_dispositions(spark, str(tmp_path)), r"\r\n?") == 1
+    assert registry.clean_dispositions(spark, str(tmp_path)).count() == 10
+
+
+def test_unusual_characters_and_white_space_are_those_of_python(spark):
+    rows = spark.createDataFrame([(k, chr(k)) for k in range(0x10000) if not 0xD800 <= k <= 0xDFFF], "id int, c string")
+    got = rows.select("id", "c", F.col("c").rlike(T.UNUSUAL).alias("u"), F.col("c").rlike(T.SPACE).alias("s")).collect()
+    assert all(r["s"] == r["c"].isspace() for r in got)
+    plain = {k for a, b in re.findall(r"\\x\{(\w+)\}-\\x\{(\w+)\}", T._plain_points()) for k in range(int(a, 16), int(b, 16) + 1)}
+    assert set(range(0x80)) <= plain
+    assert all(r["u"] == (r["id"] not in plain) for r in got)
+    assert all(unicodedata.normalize("NFKC", r["c"]) == r["c"] for r in got if not r["u"])
+    assert T.UNUSUAL.startswith(r"[\x{80}-\x{10ffff}&&")  # ASCII never meets the many ranges

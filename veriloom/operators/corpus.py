@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from veriloom.functions import text as T
 
+from .plan import settled
+
 LEAST_CHARS, OVER_LIMIT, CHARS_PER_TOKEN = 10, 2_048, 4
 SAMPLE = "ord long, dataset string, text string, label int, source_tag string, attack_type string"
 
@@ -106,7 +108,8 @@ def label_conflicts(samples: DataFrame, ascii_only: bool = False) -> DataFrame:
 
 def dispositions(samples: DataFrame, drop_conflicts: bool = True, ascii_only: bool = False) -> DataFrame:
     """samples with cleaned text and what becomes of each: tiny, conflict, exact, near or kept. One shuffle, by near key."""
-    df = samples.withColumn("chars_before", F.length("text")).withColumn("text", T.clean_text(F.col("text"), ascii_only))
+    # settled: else every column made of the cleaned text would clean it again
+    df = settled(samples.withColumn("chars_before", F.length("text")).withColumn("text", T.clean_text(F.col("text"), ascii_only)))
     df = df.withColumn("tiny", F.length("text") < LEAST_CHARS)
     df = df.withColumn("near", F.when(~F.col("tiny"), F.sha1(T.near_key(F.col("text"), ascii_only))).otherwise(F.concat(F.lit("tiny"), F.col("ord"))))
     w = Window.partitionBy("near")
