@@ -63,3 +63,9 @@ def test_unusual_characters_and_white_space_are_those_of_python(spark):
     assert all(r["u"] == (r["id"] not in plain) for r in got)
     assert all(unicodedata.normalize("NFKC", r["c"]) == r["c"] for r in got if not r["u"])
     assert T.UNUSUAL.startswith(r"[\x{80}-\x{10ffff}&&")  # ASCII never meets the many ranges
+
+
+def test_clean_statistics_clean_a_text_once(spark, tmp_path):
+    con = tables(spark, tmp_path, {k: f"Some  text {k % 3}, \r\n\r\nagain " for k in range(9)})
+    assert nodes(registry.clean_statistics(spark, str(tmp_path)), r"\r\n?") == 1
+    agree(spark, tmp_path, con, "clean_statistics")
