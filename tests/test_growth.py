@@ -69,3 +69,10 @@ def test_clean_statistics_clean_a_text_once(spark, tmp_path):
     con = tables(spark, tmp_path, {k: f"Some  text {k % 3}, \r\n\r\nagain " for k in range(9)})
     assert nodes(registry.clean_statistics(spark, str(tmp_path)), r"\r\n?") == 1
     agree(spark, tmp_path, con, "clean_statistics")
+
+
+def test_rules_run_once_below_a_filter(spark, tmp_path):
+    con = tables(spark, tmp_path, {k: f"Text {k}." for k in range(PLANS)})
+    once = nodes(registry.stage1_detections(spark, str(tmp_path)), "regexp_extract")
+    assert nodes(registry.attack_counts(spark, str(tmp_path)), "regexp_extract") == once
+    agree(spark, tmp_path, con, "attack_counts")
