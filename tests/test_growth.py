@@ -100,3 +100,9 @@ def test_decoding_passes_words_too_short_for_a_run(monkeypatch):
     monkeypatch.setattr(T, "_RUNS", {k: type("Seen", (), {"findall": staticmethod(lambda t: seen.append(len(t)) or [])}) for k in T._RUNS})
     T.layer("short words only " * 1000)
     assert max(seen) == 0
+
+
+def test_white_space_is_told_from_ascii_first_in_audits(spark, tmp_path):
+    con = tables(spark, tmp_path, {k: f"Some   text {k % 3},    again" for k in range(9)})
+    assert nodes(registry.audit(spark, str(tmp_path)), T.SPACE + "{3}") >= 1
+    agree(spark, tmp_path, con, "label_conflicts")

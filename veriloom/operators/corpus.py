@@ -74,7 +74,7 @@ def audited(samples: DataFrame, ascii_only: bool = False) -> DataFrame:
         F.count_if(F.col("n") < LEAST_CHARS).alias("empty_or_tiny"),
         F.count_if(F.col("n") > OVER_LIMIT).alias("over_limit"),
         F.count_if(F.col("text").rlike(r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]")).alias("control_chars"),
-        F.count_if(F.col("text").rlike(rf"[{T.WS}]{{3}}")).alias("excess_whitespace"),
+        F.count_if(F.col("text").rlike(rf"{T.SPACE}{{3}}")).alias("excess_whitespace"),
         F.count_if(F.col("text").rlike(r"&(?:#[0-9]{2,5}|[A-Za-z]{2,10});")).alias("html_entities"),
         F.count_if(F.substring("text", 1, 400).rlike(r"[^\x{0}-\x{24F}]")).alias("non_latin"),
         F.count_if("exact_dupe").alias("exact_dupes"),
