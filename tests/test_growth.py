@@ -9,7 +9,7 @@ import duckdb
 import pyspark.sql.functions as F
 
 from veriloom.functions import text as T
-from veriloom.operators import stage1
+from veriloom.operators import matrices, stage1
 from veriloom.plans import registry
 
 PLANS = len(registry.PLANTS)
@@ -106,3 +106,8 @@ def test_white_space_is_told_from_ascii_first_in_audits(spark, tmp_path):
     con = tables(spark, tmp_path, {k: f"Some   text {k % 3},    again" for k in range(9)})
     assert nodes(registry.audit(spark, str(tmp_path)), T.SPACE + "{3}") >= 1
     agree(spark, tmp_path, con, "label_conflicts")
+
+
+def test_matrices_of_a_few_rows_are_one_task(spark):
+    assert matrices.evasion(spark).rdd.getNumPartitions() == 1
+    assert matrices.enforcement(spark).rdd.getNumPartitions() == 1
